@@ -1,9 +1,60 @@
-"""Corpus pipeline: stages are added as the operators are."""
+"""Corpus pipeline: toxicity, near-duplicates, secrets, mixing, encoding.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir), works on all that the stage before kept, and returns the columns of documents;
+the last returns the encoded documents. run() writes each stage's result to the shared folder and reads it again.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from gridloom.llm import mixing, neardup, pieces, secrets, toxicity
+from gridloom.llm.common import small_batches, table, written
+
+#: Words in a shingle of the near-duplicate stage.
+SHINGLE_WORDS = 5
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored under 0.5 stay."""
+    small_batches(spark)
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
+    return neardup.drop_duplicates(docs, SHINGLE_WORDS).select(docs.columns)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents stay; their secrets are masked."""
+    return secrets.redacted(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are repeated, or left out, by their source's rate, and shuffled."""
+    return mixing.mix(docs).select(docs.columns)
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts become piece ids."""
+    return pieces.encoded(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("secrets", mask_secrets),
+    ("mixing", mix_sources),
+    ("pieces", encode_pieces),
+]
+#: Toxicity, secrets and encoding have no SQL; the tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

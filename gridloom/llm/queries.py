@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, neardup, pieces, secrets, syncmers, token_orc, topk, toxicity
+from . import mixing, neardup, pages, pieces, secrets, suffixes, syncmers, token_orc, topk, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -12,6 +12,8 @@ QUERIES = {
     "op5_minhash": neardup.op5_minhash,
     "op6_secrets": secrets.op6_secrets,
     "op7_fingerprints": syncmers.op7_fingerprints,
+    "op8_suffixes": suffixes.op8_suffixes,
+    "op9_pages": pages.op9_pages,
     "op10_topk": topk.op10_topk,
 }
 ORACLE_SQL = {"op2_mixing": mixing.OP2_SQL, "op5_minhash": neardup.OP5_SQL, "op10_topk": topk.OP10_SQL}
