@@ -34,7 +34,7 @@ MARK = "▁"
 #: What an uncovered character costs beyond the worst piece.
 UNKNOWN_PENALTY = 10.0
 #: Words in the younger half of a Python worker's cache; longer words than LONG_WORD are not kept.
-CACHE_WORDS, LONG_WORD = 250_000, 64
+CACHE_WORDS, LONG_WORD = 600_000, 64
 INF, EPS = float("inf"), 1e-9
 WORDS = re.compile(f"{MARK}+[^{MARK}]*|^[^{MARK}]+")
 
@@ -63,8 +63,8 @@ class Pieces:
         self.unknown = min(s for _, s in self.ids.values()) - UNKNOWN_PENALTY
         self.longest = max(map(len, self.ids))
         self.prefixes: dict[str, tuple[int, float] | None] = {p[:k]: None for p in self.ids for k in range(1, len(p))} | self.ids
-        self.cache: dict[str, tuple[float, float, bytes]] = {}
-        self.old: dict[str, tuple[float, float, bytes]] = {}
+        self.cache: dict[str, tuple[float, float, bytes, bool]] = {}
+        self.old: dict[str, tuple[float, float, bytes, bool]] = {}
         self.lists: dict[str, list[tuple[float, tuple[int, ...]]]] = {}
 
     def edges(self, s: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
@@ -102,37 +102,51 @@ class Pieces:
 
     def viterbi(self, s: str) -> tuple[float, float, bytes]:
         """Best score, what the second best path loses (infinite without one), and the best path's ids."""
-        n, prefixes = len(s), self.prefixes
+        n, get = len(s), self.prefixes.get
         first, second = [0.0] + [-INF] * n, [-INF] * (n + 1)
-        rank: list[tuple] = [(0, ())] + [(0, ())] * n  # of the best path to a place: pieces, then ids from its end
+        back: list[tuple] = [(0, ())] * (n + 1)
+
+        def path(at: int, ids: tuple = ()) -> tuple:
+            while at:
+                at, own = back[at]
+                ids = own + ids
+            return len(ids), ids
+
+        def offer(a: int, b: int, w: float, least: float, ids: tuple) -> None:
+            """A path to b over a: w is its score, least that of a's second best with the same edge."""
+            best = first[b]
+            if w > best + EPS or w > best - EPS and path(a, ids) < path(b):
+                first[b], back[b] = w, (a, ids)
+                second[b] = best if best > least else least
+            elif w > second[b]:
+                second[b] = w
+
         for a in range(n):
-            f, g, (pieces, ids) = first[a], second[a], rank[a]
-            known = False
+            f, g, known = first[a], second[a], False
             for b in range(a + 1, n + 1):
-                piece = s[a:b]
-                if piece not in prefixes:
+                found = get(s[a:b], 0)
+                if not found:
+                    if found is None:
+                        continue
                     break
-                if found := prefixes[piece]:
-                    known = known or b == a + 1
-                    w = f + found[1]
-                    if w > first[b] + EPS or w > first[b] - EPS and (pieces + 1, (found[0], *ids)) < rank[b]:
-                        second[b] = max(first[b], g + found[1])
-                        first[b], rank[b] = w, (pieces + 1, (found[0], *ids))
-                    else:
-                        second[b] = max(second[b], w)
+                i, score = found
+                if b == a + 1:
+                    known = True
+                w = f + score
+                if w < second[b]:
+                    continue
+                offer(a, b, w, g + score, (i,))
             if not known:
-                w, more = f + self.unknown, tuple(self.byte_ids[x] for x in reversed(s[a].encode("utf-8", "surrogatepass")))
-                if w > first[a + 1]:
-                    second[a + 1] = max(first[a + 1], g + self.unknown)
-                    first[a + 1], rank[a + 1] = w, (pieces + len(more), more + ids)
-                else:
-                    second[a + 1] = max(second[a + 1], w)
-        return first[n], first[n] - second[n], np.asarray(rank[n][1][::-1], dtype="<i4").tobytes()
-
-    def entry(self, w: str) -> tuple[float, float, bytes]:
+                offer(a, a + 1, f + self.unknown, g + self.unknown, tuple(self.byte_ids[x] for x in s[a].encode("utf-8", "surrogatepass")))
+        return first[n], first[n] - second[n], np.array(path(n)[1], dtype="<i4").tobytes()
+
+    def entry(self, w: str) -> tuple[float, float, bytes, bool]:
+        """Best score, loss of the second best, ids, and whether these decode to the word; words decode one by one."""
         found = self.cache.get(w) or self.old.get(w)
         if found is None:
             found = self.viterbi(w) if len(w) <= LONG_WORD else self.long_word(w)
+            plain = w.replace(MARK, " ")
+            found = (*found, self.decode(np.frombuffer(found[2], dtype="<i4").tolist()) == (plain[1:] if plain[0] == " " else plain))
         if len(w) <= LONG_WORD:
             self.cache[w] = found
         return found
@@ -147,10 +161,11 @@ class Pieces:
             return WORDS.findall(MARK + text.replace(" ", MARK))
         return (MARK + text.replace(" ", " " + MARK)).split(" ")
 
-    def encode(self, text: str, n: int = N_BEST) -> tuple[np.ndarray, list[float], list[dict[int, tuple[int, ...]]], list[str]]:
-        """Ids of the best path, the N best scores, the words changed in each of the N paths, and the words."""
+    def encode(self, text: str, n: int = N_BEST) -> tuple[np.ndarray, list[float], list[dict[int, tuple[int, ...]]], list[str], bool]:
+        """Ids of the best path, the N best scores, the words changed in each of the N paths, the words, and whether
+        the best path decodes to the text."""
         if not text:
-            return np.zeros(0, np.int32), [0.0], [{}], []
+            return np.zeros(0, np.int32), [0.0], [{}], [], True
         words = self.words(text)
         if len(self.cache) > CACHE_WORDS:
             self.cache, self.old, self.lists = {}, self.cache, {}
@@ -168,7 +183,7 @@ class Pieces:
                 if len(words[i]) <= LONG_WORD:
                     self.lists[words[i]] = options
             paths = sorted(((s + options[0][0] - p, c | {i: ids_} if k else c) for s, c in paths for k, (p, ids_) in enumerate(options)), key=lambda x: x[0])[:n]
-        return ids, [total - s for s, _ in paths], [c for _, c in paths], words
+        return ids, [total - s for s, _ in paths], [c for _, c in paths], words, all([e[3] for e in got])
 
     def decode(self, ids: list[int]) -> str:
         """The text of a path: byte pieces as UTF-8, marks as spaces, without the first."""
@@ -196,10 +211,10 @@ def _encode(path: str, n: int, scores: str, keep: list[str]):
         for batch in batches:
             ids, lists, same = [], [], []
             for text in batch.column("text").to_pylist():
-                got, best, _, _ = pieces.encode(text or "", n)
+                got, best, _, _, whole = pieces.encode(text or "", n)
                 ids.append(got)
                 lists.append(best)
-                same.append(pieces.decode(got.tolist()) == (text or "").replace(MARK, " "))
+                same.append(whole)
             counts = [len(x) for x in ids]
             offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
             values = pa.array(np.concatenate([*ids, np.zeros(0, np.int32)]).astype(np.int32))

@@ -22,7 +22,7 @@ from .common import bucket_of, partitions, range_bounds, shared_path, small_batc
 
 END_ID = 0
 #: Chunks in the younger half of a Python worker's cache; results do not depend on it.
-CACHE_CHUNKS = 300_000
+CACHE_CHUNKS = 600_000
 ORC_OPTIONS = {
     "orc.bloom.filter.columns": "doc_id",
     "orc.bloom.filter.fpp": "0.01",
