@@ -26,6 +26,8 @@ from .common import small_batches, table, written
 
 BANDS, ROWS = 36, 5
 MINIMA = BANDS * ROWS
+#: Members of a random cell of a larger bucket, and such divisions of a bucket.
+CELL, CELLS = 16, 4
 #: Differing bits of two signatures, at most: 5.5 standard deviations beyond the mean at similarity 0.8.
 MAX_BITS = 40
 _RNG = np.random.Generator(np.random.PCG64(20240607))
@@ -204,9 +206,16 @@ def near_duplicates(docs: DataFrame, k: int) -> DataFrame:
         both = pairs.join(full.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(full.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
         return both.select("a", "b", "text_a", "text_b").sortWithinPartitions("a").mapInPandas(_confirm(k), "a long, b long").distinct()
 
-    # 1. Every member of a bucket against the bucket's smallest id: as many pairs as members.
+    # 1. Every member of a bucket against the bucket's smallest id, and in larger buckets against the smallest ids of
+    # CELLS random cells of about CELL members: pairs are as many as members, whatever the buckets' sizes, and in a
+    # group of near copies they are enough for nearly all of it to become one component.
     buckets = bands.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("a")).where("n > 1")
-    led = bands.join(buckets.select("key", "a"), "key").where("id <> a").select("a", F.col("id").alias("b")).distinct()
+    member_of = bands.join(buckets, "key")
+    led = member_of.where("id <> a").select("a", F.col("id").alias("b"))
+    cells = member_of.where(F.col("n") > CELL).select("key", "id", F.ceil(F.col("n") / CELL).alias("cells"), F.explode(F.sequence(F.lit(1), F.lit(CELLS))).alias("salt"))
+    cells = cells.select("key", "salt", F.pmod(F.xxhash64("id", "key", "salt"), F.col("cells")).alias("cell"), "id")
+    heads = cells.groupBy("key", "salt", "cell").agg(F.min("id").alias("a"))
+    led = led.unionByName(cells.join(heads, ["key", "salt", "cell"]).where("id <> a").select("a", F.col("id").alias("b"))).distinct()
     led = led.join(side("a"), "a").join(side("b"), "b").where(agree("a", "b")).select("a", "b")
     links = written(confirmed(led), "links")
     roots = components(links)

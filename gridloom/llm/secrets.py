@@ -35,8 +35,8 @@ DIGEST = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)")
 DIGEST_LENGTHS = frozenset({32, 40, 56, 64, 96, 128})
 UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 NUMBER = re.compile(r"[0-9+/_=-]+")
-#: Words joined by _, -, / or capitals, each of letters with a short number at its end.
-IDENTIFIER = re.compile(r"[-_/]*(?:(?:[A-Z]?[a-z]+|[A-Z]+)[0-9]{0,3}[-_/=]*)+")
+#: Words joined by _, -, / or capitals, each of letters with a short number at its end; possessive, so linear.
+IDENTIFIER = re.compile(r"[-_/]*+(?:(?:[A-Z]?[a-z]++|[A-Z]++)[0-9]{0,3}+[-_/=]*+)++")
 KINDS = ("assign", "access", "hex", "token")
 MASK = "[SECRET]"
 

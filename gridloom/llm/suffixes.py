@@ -74,13 +74,31 @@ def _emit_anchors(batches):
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(dk, n)), pa.array(np.repeat(tk, n)), pa.array(np.concatenate([h for _, h in found])), pa.array(np.concatenate([p for p, _ in found]).astype(np.int32))], schema=schema)
 
 
+def _pack(batches):
+    """Texts compressed for a shuffle."""
+    import zstandard
+
+    codec = zstandard.ZstdCompressor(level=1)
+    schema = pa.schema([("doc_id", pa.int64()), ("dk", pa.int64()), ("tk", pa.int64()), ("packed", pa.binary())])
+    for batch in batches:
+        packed = pa.array([codec.compress((t or "").encode()) for t in batch.column("text").to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "dk", "tk")), packed], schema=schema)
+
+
+def packed(rows: DataFrame) -> DataFrame:
+    return rows.select("doc_id", "dk", "tk", "text").mapInArrow(_pack, "doc_id long, dk long, tk long, packed binary")
+
+
 def _emit_contexts(batches):
     """Each repeated anchor with its context's digest; the context itself once a batch."""
     schema = pa.schema([("dk", pa.int64()), ("tk", pa.int64()), ("pos", pa.int32()), ("h", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("nleft", pa.int32()), ("context", pa.binary())])
+    import zstandard
+
+    codec = zstandard.ZstdDecompressor()
     for batch in batches:
         seen, rows = set(), []
-        for dk, tk, text, marks in zip(*(batch.column(c).to_pylist() for c in ("dk", "tk", "text", "marks")), strict=True):
-            raw = (text or "").encode()
+        for dk, tk, packed_, marks in zip(*(batch.column(c).to_pylist() for c in ("dk", "tk", "packed", "marks")), strict=True):
+            raw = codec.decompress(packed_)
             for m in marks:
                 at = m["pos"]
                 context, nleft = raw[max(0, at - LEFT) : at + LENGTH], min(at, LEFT)
@@ -253,10 +271,13 @@ def _counted_strings(contexts: DataFrame) -> DataFrame:
 
 def _cut(batches):
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
+    import zstandard
+
+    codec = zstandard.ZstdDecompressor()
     for batch in batches:
         rows = []
-        for doc_id, text, spans in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "spans")), strict=True):
-            raw = (text or "").encode()
+        for doc_id, packed_, spans in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "packed", "spans")), strict=True):
+            raw = codec.decompress(packed_)
             kept, runs = kept_bytes(raw, [(s["a"], s["b"]) for s in spans or ()])
             rows.append((doc_id, len(raw), len(raw) - len(kept), runs, hashlib.sha256(kept).hexdigest()))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)] if rows else [pa.array([], t) for t in schema.types], schema=schema)
@@ -279,7 +300,7 @@ def repeated_spans(docs: DataFrame, max_group: int = MAX_GROUP) -> DataFrame:
     marks = written(docs.mapInArrow(_emit_anchors, "dk long, tk long, h long, pos int"), "anchors")
     seen = marks.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     by_doc = marks.join(seen, "h", "left_semi").groupBy("dk", "tk").agg(F.collect_set(F.struct("pos", "h")).alias("marks"))
-    places = written(docs.join(by_doc, ["dk", "tk"]).mapInArrow(_emit_contexts, "dk long, tk long, pos int, h long, c1 long, c2 long, nleft int, context binary"), "contexts")
+    places = written(packed(docs).join(by_doc, ["dk", "tk"]).mapInArrow(_emit_contexts, "dk long, tk long, pos int, h long, c1 long, c2 long, nleft int, context binary"), "contexts")
     counts = places.groupBy("h", "c1", "c2").agg(F.count("*").alias("n"))
     contexts = places.where("context is not null").select("h", "c1", "c2", "nleft", "context").join(counts, ["h", "c1", "c2"])
     large = [r["h"] for r in counts.groupBy("h").agg(F.count("*").alias("m")).where(F.col("m") > max_group).select("h").collect()]  # one in max_group contexts at most
@@ -302,7 +323,7 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every document."""
     rows = keyed(docs)
     spans = written(repeated_spans(rows), "spans")
-    cut = rows.join(spans, ["dk", "tk"], "left").select("doc_id", "text", "spans")
+    cut = packed(rows).join(spans, ["dk", "tk"], "left").select("doc_id", "packed", "spans")
     return cut.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
