@@ -9,7 +9,7 @@ least can change, so the A-star search runs on those, and the text's N best are
 
 Piece scores are the model file's, or (scores="zipf", the default) the logarithm of 1 / (rank + 1): a BPE file holds
 merge ranks rather than log probabilities. Uncovered characters become byte pieces at a penalty, as the library does it.
-Equal scores go to fewer pieces, then to the smaller ids.
+Of equal scores the best path is the one with fewer pieces, then smaller ids; the others come in a fixed order.
 
 Cases: null text is empty: no pieces, one path of score 0; spaces are kept as they are, with a mark before the first;
 texts of any length are encoded whole; repeated rows are encoded each; an empty table gives an empty result. Added
@@ -85,9 +85,9 @@ class Pieces:
         for b in range(1, len(s) + 1):
             reach[b] = max((reach[a] + w for a, w, _ in edges[b]), default=-INF)
         out, order = [], count()
-        heap = [(-reach[-1], 0, (), next(order), len(s), 0.0, None)]
+        heap = [(-round(reach[-1], 9), len(s), next(order), 0.0, None)]
         while heap and len(out) < n:
-            _, pieces, suffix, _, at, done, path = heapq.heappop(heap)
+            _, at, _, done, path = heapq.heappop(heap)
             if at == 0:
                 ids = []
                 while path:
@@ -96,8 +96,8 @@ class Pieces:
                 out.append((done, tuple(ids)))
                 continue
             for a, w, ids in edges[at]:
-                if reach[a] > -INF:
-                    heapq.heappush(heap, (-round(reach[a] + w + done, 9), pieces + len(ids), (*ids, *suffix) if len(s) <= LONG_WORD else (), next(order), a, done + w, (ids, path)))
+                if reach[a] > -INF:  # of equal scores the path that is nearest to the start goes on: ties don't pile up
+                    heapq.heappush(heap, (-round(reach[a] + w + done, 9), a, next(order), done + w, (ids, path)))
         return out
 
     def viterbi(self, s: str) -> tuple[float, float, bytes]:
