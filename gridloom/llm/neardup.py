@@ -5,8 +5,11 @@ one). MINIMA universal hashes give minima, cut into bands; documents of equal se
 representative, so copies never meet again. In every band's bucket each member is paired with the bucket's smallest id;
 a pair must agree in its signatures (one bit a minimum), then in its full sets: 100 * intersection >= 80 * union. The
 links' components come from alternating large-star and small-star. Buckets that then still hold several components have
-their members of different components compared by signature, and what agrees is confirmed on full sets as well, so no
-link between different texts that any band found is lost. A pair at a similarity of exactly 0.8 escapes all BANDS bands
+their members of different components compared, so no link between different texts that any band found is lost: first by
+signature and by an upper bound of their intersection, which leaves out shingles that no other such document has and
+those whose place in the other's bitmap is empty; what passes is confirmed on full sets as well. The bound never lies
+under the true intersection, so it drops no link, and it keeps the pairs of a group of near copies from being emitted.
+A pair at a similarity of exactly 0.8 escapes all BANDS bands
 with a probability of 6e-7.
 
 Cases: without words or text a set is empty and linked with nothing; rows that share a doc_id are linked; rows without
@@ -28,6 +31,8 @@ BANDS, ROWS = 36, 5
 MINIMA = BANDS * ROWS
 #: Members of a random cell of a larger bucket, and such divisions of a bucket.
 CELL, CELLS = 16, 4
+#: Longs of a bitmap of shingles, and shingles that a task holds before it hands on what it has.
+BITMAP, HELD = 16, 1 << 20
 #: Differing bits of two signatures, at most: 5.5 standard deviations beyond the mean at similarity 0.8.
 MAX_BITS = 40
 _RNG = np.random.Generator(np.random.PCG64(20240607))
@@ -149,6 +154,71 @@ def _confirm(k: int):
     return run
 
 
+def _owners(k: int):
+    """Of (id, text): each shingle hash of what the task holds, with the smallest and the largest id that has it."""
+
+    def merged(hashes: list, ids: list) -> pa.RecordBatch:
+        h, owner = np.concatenate(hashes), np.repeat(np.array(ids, dtype=np.int64), [len(x) for x in hashes])
+        order = np.lexsort((owner, h))
+        h, owner = h[order], owner[order]
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+        last = np.append(first[1:], len(h))[: len(first)] - 1
+        return pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(owner[first]), pa.array(owner[last])], names=["h", "lo", "hi"])
+
+    def run(batches):
+        hashes, ids, held = [], [], 0
+        for batch in batches:
+            for i, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                hashes.append(shingles(text, k))
+                ids.append(i)
+                held += len(hashes[-1])
+                if held >= HELD:
+                    yield merged(hashes, ids)
+                    hashes, ids, held = [], [], 0
+        if ids:
+            yield merged(hashes, ids)
+
+    return run
+
+
+_BITMAP_DDL = "id long, n long, shared long, " + ", ".join(f"m{i} long" for i in range(BITMAP))
+
+
+def bitmap(hashes: np.ndarray) -> np.ndarray:
+    """Bitmap, as longs, of the places of the hashes."""
+    seen = np.zeros(BITMAP * 64, dtype=bool)
+    seen[(hashes % _U(BITMAP * 64)).astype(np.int64)] = True
+    return np.packbits(seen).view("<i8")
+
+
+def _bitmaps(k: int):
+    """Of (id, text, own), own being hashes that no other document has: the set's size, that of the rest, its bitmap."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for i, text, own in zip(*(batch.column(c).to_pylist() for c in ("id", "text", "own")), strict=True):
+                s = shingles(text, k)
+                rest = np.setdiff1d(s, np.array(own or [], dtype=np.int64).view(np.uint64))
+                rows.append((i, len(s), len(rest), *bitmap(rest).tolist()))
+            if rows:
+                names = ["id", "n", "shared", *(f"m{i}" for i in range(BITMAP))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=names)
+
+    return run
+
+
+def _may_link(a: str, b: str):
+    """False only if the intersection of a's and b's sets is certainly under 4/9 of the sum of their sizes, which is the
+    same as a similarity under 0.8."""
+
+    def bound(x: str, y: str):
+        missing = sum((F.bit_count(F.col(f"{x}m{i}").bitwiseAND(F.bitwise_not(F.col(f"{y}m{i}")))) for i in range(BITMAP)), F.lit(0))
+        return F.col(f"{x}shared") - missing
+
+    return 9 * F.least(bound(a, b), bound(b, a)) >= 4 * (F.col(f"{a}n") + F.col(f"{b}n"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of every node of the links (a, b); root is the component's smallest node. Alternating large-star
     and small-star on edge lists; every round is written to the shared folder and only its digest comes to the driver."""
@@ -222,10 +292,21 @@ def near_duplicates(docs: DataFrame, k: int) -> DataFrame:
     # 2. Buckets that still hold several components: their members of different components, by signature.
     rooted = bands.join(buckets.where("n > 2").select("key", F.col("a").alias("lead")), "key").join(roots, F.col("id") == F.col("node"), "left").select("key", "lead", "id", F.coalesce("root", "id").alias("root"))
     mixed = rooted.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
-    open_ = rooted.join(mixed, "key").where("id <> lead").join(bits_of, "id")
-    x = open_.select("key", F.col("id").alias("a"), F.col("root").alias("ra"), *[F.col(f"s{i}").alias(f"a{i}") for i in (0, 1, 2)])
-    y = open_.select("key", F.col("id").alias("b"), F.col("root").alias("rb"), *[F.col(f"s{i}").alias(f"b{i}") for i in (0, 1, 2)])
-    rest = x.join(y, (x["key"] == y["key"]) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & agree("a", "b")).select("a", "b").distinct()
+    open_ = written(rooted.join(mixed, "key"), "open")
+    held = written(texts.select(F.col("doc_id").alias("id"), "text").join(open_.select("id").distinct(), "id"), "texts")
+    owners = held.mapInArrow(_owners(k), "h long, lo long, hi long").groupBy("h").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    own = owners.where("lo = hi").groupBy(F.col("lo").alias("id")).agg(F.collect_list("h").alias("own"))
+    maps = written(held.join(own, "id", "left").select("id", "text", "own").mapInArrow(_bitmaps(k), _BITMAP_DDL), "bitmaps")
+    # A member whose shingles known to others too are fewer than a link to the bucket's smallest set asks for has none.
+    sized = open_.join(maps, "id").join(bits_of, "id")
+    least = sized.groupBy("key").agg(F.min("n").alias("least"))
+    sized = written(sized.join(least, "key").where("9 * shared >= 4 * (n + least)").drop("least", "lead"), "sized")
+
+    def member_side(name: str) -> DataFrame:
+        return sized.select("key", F.col("id").alias(name), F.col("root").alias(f"{name}root"), *[F.col(c).alias(f"{name}{c[1:] if c[0] == 's' and c[1:].isdigit() else c}") for c in sized.columns if c not in ("key", "id", "root")])
+
+    x, y = member_side("a"), member_side("b")
+    rest = x.join(y, (x["key"] == y["key"]) & (F.col("a") < F.col("b")) & (F.col("aroot") != F.col("broot")) & agree("a", "b") & _may_link("a", "b")).select("a", "b").distinct()
     more = written(confirmed(rest), "links")
     # A doc_id with several texts links their sets.
     same = member.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("doc_id")
