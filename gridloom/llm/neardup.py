@@ -29,8 +29,8 @@ from .common import small_batches, table, written
 
 BANDS, ROWS = 36, 5
 MINIMA = BANDS * ROWS
-#: Members of a random cell of a larger bucket, and such divisions of a bucket.
-CELL, CELLS = 16, 4
+#: Members of a random cell of a larger bucket.
+CELL = 16
 #: Longs of a bitmap of shingles, and shingles that a task holds before it hands on what it has.
 BITMAP, HELD = 16, 1 << 20
 #: Differing bits of two signatures, at most: 5.5 standard deviations beyond the mean at similarity 0.8.
@@ -276,21 +276,20 @@ def near_duplicates(docs: DataFrame, k: int) -> DataFrame:
         both = pairs.join(full.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(full.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
         return both.select("a", "b", "text_a", "text_b").sortWithinPartitions("a").mapInPandas(_confirm(k), "a long, b long").distinct()
 
-    # 1. Every member of a bucket against the bucket's smallest id, and in larger buckets against the smallest ids of
-    # CELLS random cells of about CELL members: pairs are as many as members, whatever the buckets' sizes, and in a
+    # 1. Every member of a bucket against the bucket's smallest id, and in larger buckets against the smallest id of
+    # a random cell of about CELL members: pairs are as many as members, whatever the buckets' sizes, and in a
     # group of near copies they are enough for nearly all of it to become one component.
     buckets = bands.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("a")).where("n > 1")
-    member_of = bands.join(buckets, "key")
+    member_of = written(bands.join(buckets, "key"), "buckets")
     led = member_of.where("id <> a").select("a", F.col("id").alias("b"))
-    cells = member_of.where(F.col("n") > CELL).select("key", "id", F.ceil(F.col("n") / CELL).alias("cells"), F.explode(F.sequence(F.lit(1), F.lit(CELLS))).alias("salt"))
-    cells = cells.select("key", "salt", F.pmod(F.xxhash64("id", "key", "salt"), F.col("cells")).alias("cell"), "id")
-    heads = cells.groupBy("key", "salt", "cell").agg(F.min("id").alias("a"))
-    led = led.unionByName(cells.join(heads, ["key", "salt", "cell"]).where("id <> a").select("a", F.col("id").alias("b"))).distinct()
+    cells = member_of.where(F.col("n") > CELL).select("key", "id", F.pmod(F.xxhash64("id", "key"), F.ceil(F.col("n") / CELL)).alias("cell"))
+    heads = cells.groupBy("key", "cell").agg(F.min("id").alias("a"))
+    led = led.unionByName(cells.join(heads, ["key", "cell"]).where("id <> a").select("a", F.col("id").alias("b"))).distinct()
     led = led.join(side("a"), "a").join(side("b"), "b").where(agree("a", "b")).select("a", "b")
     links = written(confirmed(led), "links")
     roots = components(links)
     # 2. Buckets that still hold several components: their members of different components, by signature.
-    rooted = bands.join(buckets.where("n > 2").select("key", F.col("a").alias("lead")), "key").join(roots, F.col("id") == F.col("node"), "left").select("key", "lead", "id", F.coalesce("root", "id").alias("root"))
+    rooted = written(member_of.where("n > 2").select("key", "id").join(roots, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("root", "id").alias("root")), "rooted")
     mixed = rooted.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
     open_ = written(rooted.join(mixed, "key"), "open")
     held = written(texts.select(F.col("doc_id").alias("id"), "text").join(open_.select("id").distinct(), "id"), "texts")
@@ -300,7 +299,7 @@ def near_duplicates(docs: DataFrame, k: int) -> DataFrame:
     # A member whose shingles known to others too are fewer than a link to the bucket's smallest set asks for has none.
     sized = open_.join(maps, "id").join(bits_of, "id")
     least = sized.groupBy("key").agg(F.min("n").alias("least"))
-    sized = written(sized.join(least, "key").where("9 * shared >= 4 * (n + least)").drop("least", "lead"), "sized")
+    sized = written(sized.join(least, "key").where("9 * shared >= 4 * (n + least)").drop("least"), "sized")
 
     def member_side(name: str) -> DataFrame:
         return sized.select("key", F.col("id").alias(name), F.col("root").alias(f"{name}root"), *[F.col(c).alias(f"{name}{c[1:] if c[0] == 's' and c[1:].isdigit() else c}") for c in sized.columns if c not in ("key", "id", "root")])
