@@ -269,10 +269,10 @@ def near_duplicates(docs: DataFrame, k: int) -> DataFrame:
         return bits_of.select(F.col("id").alias(name), *[F.col(f"s{i}").alias(f"{name}{i}") for i in (0, 1, 2)])
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) whose full sets are alike; texts move only for documents in a pair."""
+        """Pairs (a, b) whose full sets are alike; texts move only for members of buckets."""
         pairs = written(pairs, "pairs")
         needed = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        full = written(texts.join(needed, "doc_id"), "texts")
+        full = written(member_texts.join(needed, "doc_id"), "texts")
         both = pairs.join(full.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(full.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
         return both.select("a", "b", "text_a", "text_b").sortWithinPartitions("a").mapInPandas(_confirm(k), "a long, b long").distinct()
 
@@ -281,6 +281,8 @@ def near_duplicates(docs: DataFrame, k: int) -> DataFrame:
     # group of near copies they are enough for nearly all of it to become one component.
     buckets = bands.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("a")).where("n > 1")
     member_of = written(bands.join(buckets, "key"), "buckets")
+    # Texts of members move once, by the same join at every size; what follows draws on these.
+    member_texts = written(texts.join(member_of.select(F.col("id").alias("doc_id")).distinct().hint("merge"), "doc_id"), "member-texts")
     led = member_of.where("id <> a").select("a", F.col("id").alias("b"))
     cells = member_of.where(F.col("n") > CELL).select("key", "id", F.pmod(F.xxhash64("id", "key"), F.ceil(F.col("n") / CELL)).alias("cell"))
     heads = cells.groupBy("key", "cell").agg(F.min("id").alias("a"))
@@ -292,7 +294,7 @@ def near_duplicates(docs: DataFrame, k: int) -> DataFrame:
     rooted = written(member_of.where("n > 2").select("key", "id").join(roots, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("root", "id").alias("root")), "rooted")
     mixed = rooted.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
     open_ = written(rooted.join(mixed, "key"), "open")
-    held = written(texts.select(F.col("doc_id").alias("id"), "text").join(open_.select("id").distinct(), "id"), "texts")
+    held = written(member_texts.select(F.col("doc_id").alias("id"), "text").join(open_.select("id").distinct(), "id"), "texts")
     owners = held.mapInArrow(_owners(k), "h long, lo long, hi long").groupBy("h").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     own = owners.where("lo = hi").groupBy(F.col("lo").alias("id")).agg(F.collect_list("h").alias("own"))
     maps = written(held.join(own, "id", "left").select("id", "text", "own").mapInArrow(_bitmaps(k), _BITMAP_DDL), "bitmaps")
