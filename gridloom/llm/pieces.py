@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from functools import lru_cache
 from itertools import count
 
 import numpy as np
@@ -34,7 +35,7 @@ MARK = "▁"
 #: What an uncovered character costs beyond the worst piece.
 UNKNOWN_PENALTY = 10.0
 #: Words in the younger half of a Python worker's cache; longer words than LONG_WORD are not kept.
-CACHE_WORDS, LONG_WORD = 600_000, 64
+CACHE_WORDS, LONG_WORD = 400_000, 64
 INF, EPS = float("inf"), 1e-9
 WORDS = re.compile(f"{MARK}+[^{MARK}]*|^[^{MARK}]+")
 
@@ -133,6 +134,9 @@ class Pieces:
                 if b == a + 1:
                     known = True
                 w = f + score
+                if first[b] == -INF:  # the first path to come here
+                    first[b], second[b], back[b] = w, g + score, (a, (i,))
+                    continue
                 if w < second[b]:
                     continue
                 offer(a, b, w, g + score, (i,))
@@ -205,9 +209,15 @@ _ADDED = [("ids", pa.list_(pa.int32())), ("n_pieces", pa.int64()), ("nbest_score
 _ADDED_DDL = "ids array<int>, n_pieces long, nbest_scores array<double>, round_trip boolean"
 
 
+@lru_cache(maxsize=1)
+def _pieces(path: str, scores: str) -> Pieces:
+    """A Python worker's pieces, with their cache, which its next tasks use again."""
+    return Pieces(path, scores)
+
+
 def _encode(path: str, n: int, scores: str, keep: list[str]):
     def run(batches):
-        pieces = Pieces(path, scores)
+        pieces = _pieces(path, scores)
         for batch in batches:
             ids, lists, same = [], [], []
             for text in batch.column("text").to_pylist():
