@@ -36,6 +36,9 @@ MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Words in the younger half of a Python worker's cache; longer words than LONG_WORD are not kept.
 CACHE_WORDS, LONG_WORD = 400_000, 64
+#: Characters of texts whose new words are looked up together, and the least words of a length worth a joint pass;
+#: results depend on neither.
+GROUP_CHARS, GROUP_WORDS = 1 << 21, 8
 INF, EPS = float("inf"), 1e-9
 WORDS = re.compile(f"{MARK}+[^{MARK}]*|^[^{MARK}]+")
 
@@ -64,10 +67,28 @@ class Pieces:
         self.unknown = min(s for _, s in self.ids.values()) - UNKNOWN_PENALTY
         self.longest = max(map(len, self.ids))
         self.prefixes: dict[str, tuple[int, float] | None] = {p[:k]: None for p in self.ids for k in range(1, len(p))} | self.ids
+        self._build_trie()
         self.cache: dict[str, tuple[float, float, bytes, bool]] = {}
         self.old: dict[str, tuple[float, float, bytes, bool]] = {}
         self.lists: dict[str, list[tuple[float, tuple[int, ...]]]] = {}
 
+    def _build_trie(self) -> None:
+        """The prefixes as a trie in arrays: node 0 is empty, a step from a node by a character's class is a search in
+        sorted keys."""
+        alphabet = sorted({c for p in self.ids for c in p})
+        self.classes = np.zeros(0x110000, dtype=np.int32)  # 0: in no piece
+        self.alone = np.zeros(len(alphabet) + 1, dtype=bool)  # the character is itself a piece
+        for k, c in enumerate(alphabet, 1):
+            self.classes[ord(c)], self.alone[k] = k, c in self.ids
+        self.width, self.covered = len(alphabet) + 1, {c for c in alphabet if c in self.ids}
+        nodes = {p: i for i, p in enumerate(["", *self.prefixes])}
+        keys = np.array([nodes[p[:-1]] * self.width + int(self.classes[ord(p[-1])]) for p in self.prefixes], dtype=np.int64)
+        order = np.argsort(keys)
+        self.keys, self.targets = np.append(keys[order], np.iinfo(np.int64).max), (order + 1).astype(np.int64)
+        self.node_id, self.node_score = np.full(len(nodes), -1, dtype=np.int32), np.zeros(len(nodes))
+        for p, (i, score) in self.ids.items():
+            self.node_id[nodes[p]], self.node_score[nodes[p]] = i, score
+
     def edges(self, s: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
         """For each end, the (start, score, ids) of pieces that end there; an uncovered character is its bytes."""
         n, out, ids = len(s), [[] for _ in range(len(s) + 1)], self.ids
@@ -144,17 +165,93 @@ class Pieces:
                 offer(a, a + 1, f + self.unknown, g + self.unknown, tuple(self.byte_ids[x] for x in s[a].encode("utf-8", "surrogatepass")))
         return first[n], first[n] - second[n], np.array(path(n)[1], dtype="<i4").tobytes()
 
+    def viterbi_many(self, words: list[str]) -> list[tuple[float, float, bytes]]:
+        """viterbi of words of one length, position by position for all of them at once."""
+        n, m = len(words[0]), len(words)
+        chars = np.array(words, dtype=f"U{n}").view(np.uint32).reshape(m, n).T
+        cls = self.classes[chars]
+        known = self.alone[cls]
+        first, second = np.full((n + 1, m), -INF), np.full((n + 1, m), -INF)
+        back, ids = np.zeros((n + 1, m), dtype=np.int32), np.zeros((n + 1, m), dtype=np.int32)
+        first[0] = 0.0
+
+        def own_ids(i: int) -> tuple:
+            return (i,) if i >= 0 else tuple(self.byte_ids[x] for x in chr(-1 - i).encode("utf-8", "surrogatepass"))
+
+        def path(at: int, word: int, out: tuple = ()) -> tuple:
+            while at:
+                at, out = int(back[at, word]), own_ids(int(ids[at, word])) + out
+            return len(out), out
+
+        def offer(a: int, b: int, to: np.ndarray, score: np.ndarray | float, own: np.ndarray) -> None:
+            """Paths to b over a for the words `to`; own: the piece, or -1 less the code point of an uncovered one."""
+            w, least, best, under = first[a, to] + score, second[a, to] + score, first[b, to], second[b, to]
+            better = w > best + EPS
+            for t in np.flatnonzero(~better & (w > best - EPS) & (w >= under)).tolist():
+                better[t] = path(a, to[t], own_ids(int(own[t]))) < path(b, to[t])
+            second[b, to] = np.where(better, np.maximum(best, least), np.maximum(under, w))
+            win = to[better]
+            first[b, win], back[b, win], ids[b, win] = w[better], a, own[better]
+
+        for a in range(n):
+            at, node = np.arange(m), np.zeros(m, dtype=np.int64)
+            for b in range(a + 1, n + 1):
+                key = node * self.width + cls[b - 1, at]
+                place = np.searchsorted(self.keys, key)
+                found = self.keys[place] == key
+                at, node = at[found], self.targets[place[found]]
+                if not len(at):
+                    break
+                own = self.node_id[node]
+                ends = own >= 0
+                offer(a, b, at[ends], self.node_score[node[ends]], own[ends])
+            alien = np.flatnonzero(~known[a])
+            if len(alien):
+                offer(a, a + 1, alien, self.unknown, -1 - chars[a, alien].astype(np.int32))
+        at, columns, steps, on = np.full(m, n, dtype=np.int64), np.arange(m), [], []
+        while at.any():
+            steps.append(ids[at, columns])
+            on.append(at > 0)
+            at = back[at, columns].astype(np.int64)
+        flat = np.stack(steps[::-1]).T[np.stack(on[::-1]).T]  # word by word, in the order of the text
+        data, stops = flat.astype("<i4").tobytes(), (4 * np.sum(on, axis=0).cumsum()).tolist()
+        out = [(f, lost, data[x:y]) for f, lost, x, y in zip(first[n].tolist(), (first[n] - second[n]).tolist(), [0, *stops[:-1]], stops, strict=True)]
+        for k in np.flatnonzero(~known.all(axis=0)).tolist():
+            out[k] = (*out[k][:2], np.array(path(n, k)[1], dtype="<i4").tobytes())
+        return out
+
+    def learn(self, texts: list[list[str]]) -> None:
+        """Keep the entries of the words of these texts; new words of equal length are found together."""
+        if len(self.cache) > CACHE_WORDS:
+            self.cache, self.old, self.lists = {}, self.cache, {}
+        by_length: dict[int, list[str]] = {}
+        for w in set().union(*texts).difference(self.cache):
+            if (found := self.old.get(w)) is not None:
+                self.cache[w] = found
+            elif len(w) <= LONG_WORD:
+                by_length.setdefault(len(w), []).append(w)
+        for words in by_length.values():
+            if len(words) >= GROUP_WORDS:
+                for w, found in zip(words, self.viterbi_many(words), strict=True):
+                    self.cache[w] = (*found, self.round_trip(w, found[2]))
+
     def entry(self, w: str) -> tuple[float, float, bytes, bool]:
         """Best score, loss of the second best, ids, and whether these decode to the word; words decode one by one."""
         found = self.cache.get(w) or self.old.get(w)
         if found is None:
             found = self.viterbi(w) if len(w) <= LONG_WORD else self.long_word(w)
-            plain = w.replace(MARK, " ")
-            found = (*found, self.decode(np.frombuffer(found[2], dtype="<i4").tolist()) == (plain[1:] if plain[0] == " " else plain))
+            found = (*found, self.round_trip(w, found[2]))
         if len(w) <= LONG_WORD:
             self.cache[w] = found
         return found
 
+    def round_trip(self, w: str, ids: bytes) -> bool:
+        """Whether ids decode to the word; pieces of its own characters always do."""
+        if self.covered.issuperset(w):
+            return True
+        plain = w.replace(MARK, " ")
+        return self.decode(np.frombuffer(ids, dtype="<i4").tolist()) == (plain[1:] if plain[0] == " " else plain)
+
     def long_word(self, w: str) -> tuple[float, float, bytes]:
         """As viterbi, by the search: paths of long words are too long to carry along."""
         paths = self.n_best(w, 2)
@@ -165,19 +262,29 @@ class Pieces:
             return WORDS.findall(MARK + text.replace(" ", MARK))
         return (MARK + text.replace(" ", " " + MARK)).split(" ")
 
-    def encode(self, text: str, n: int = N_BEST) -> tuple[np.ndarray, list[float], list[dict[int, tuple[int, ...]]], list[str], bool]:
+    def grouped(self, texts: list[str | None]):
+        """(text, its words) of each text, after the words of a group of texts are learned; null is empty."""
+        group, chars = [], 0
+        for k, text in enumerate(texts, 1):
+            group.append((text or "", self.words(text) if text else []))
+            chars += len(text or "")
+            if chars >= GROUP_CHARS or k == len(texts):
+                self.learn([words for _, words in group])
+                yield from group
+                group, chars = [], 0
+
+    def encode(self, text: str, n: int = N_BEST, words: list[str] | None = None) -> tuple[np.ndarray, list[float], list[dict[int, tuple[int, ...]]], list[str], bool]:
         """Ids of the best path, the N best scores, the words changed in each of the N paths, the words, and whether
         the best path decodes to the text."""
         if not text:
             return np.zeros(0, np.int32), [0.0], [{}], [], True
-        words = self.words(text)
-        if len(self.cache) > CACHE_WORDS:
-            self.cache, self.old, self.lists = {}, self.cache, {}
+        if words is None:
+            self.learn([words := self.words(text)])
         got = list(map(self.cache.get, words))
         if None in got:
             got = [self.entry(w) if e is None else e for w, e in zip(words, got, strict=True)]
-        total, loss = sum([e[0] for e in got]), [e[1] for e in got]
-        ids = np.frombuffer(b"".join([e[2] for e in got]), dtype="<i4")
+        scores, loss, parts, whole = zip(*got, strict=True)
+        total, ids = sum(scores), np.frombuffer(b"".join(parts), dtype="<i4")
         few = heapq.nsmallest(n - 1, range(len(loss)), key=loss.__getitem__)  # equal losses: the first words
         paths: list[tuple[float, dict]] = [(0.0, {})]
         for i in few:
@@ -187,7 +294,7 @@ class Pieces:
                 if len(words[i]) <= LONG_WORD:
                     self.lists[words[i]] = options
             paths = sorted(((s + options[0][0] - p, c | {i: ids_} if k else c) for s, c in paths for k, (p, ids_) in enumerate(options)), key=lambda x: x[0])[:n]
-        return ids, [total - s for s, _ in paths], [c for _, c in paths], words, all([e[3] for e in got])
+        return ids, [total - s for s, _ in paths], [c for _, c in paths], words, all(whole)
 
     def decode(self, ids: list[int]) -> str:
         """The text of a path: byte pieces as UTF-8, marks as spaces, without the first."""
@@ -220,8 +327,8 @@ def _encode(path: str, n: int, scores: str, keep: list[str]):
         pieces = _pieces(path, scores)
         for batch in batches:
             ids, lists, same = [], [], []
-            for text in batch.column("text").to_pylist():
-                got, best, _, _, whole = pieces.encode(text or "", n)
+            for text, words in pieces.grouped(batch.column("text").to_pylist()):
+                got, best, _, _, whole = pieces.encode(text, n, words)
                 ids.append(got)
                 lists.append(best)
                 same.append(whole)
