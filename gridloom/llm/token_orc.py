@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,8 @@ from .common import bucket_of, partitions, range_bounds, shared_path, small_batc
 END_ID = 0
 #: Chunks in the younger half of a Python worker's cache; results do not depend on it.
 CACHE_CHUNKS = 600_000
+#: Characters of texts whose new chunks are looked up together, and chunks given to the library in a call.
+GROUP_CHARS, JOINED = 1 << 21, 4096
 ORC_OPTIONS = {
     "orc.bloom.filter.columns": "doc_id",
     "orc.bloom.filter.fpp": "0.01",
@@ -59,52 +62,71 @@ class ChunkEncoder:
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def chunks(self, text: str) -> list[str] | None:
+        """A text's chunks, or none if a cut could part a run of white space."""
+        if UNSAFE.search(text):
+            return None
+        return text.replace(" ", "\0 ").split("\0") if "\0" not in text else [c if i == 0 else " " + c for i, c in enumerate(text.split(" "))]
+
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        if UNSAFE.search(text):
-            return self.whole(text)
-        chunks = text.replace(" ", "\0 ").split("\0") if "\0" not in text else [c if i == 0 else " " + c for i, c in enumerate(text.split(" "))]
-        got = list(map(self.cache.get, chunks))
-        if None in got:
-            self.learn(chunks, got)
-        return b"".join(got)
-
-    def learn(self, chunks: list[str], got: list[bytes | None]) -> None:
-        """Fill in the chunks that are not in the cache; encode new ones in one text and part its ids by their bytes."""
+        return next(self.encode_all([text]))
+
+    def encode_all(self, texts: list[str | None]):
+        """The ids of each text; null is empty. New chunks of a group of texts are encoded together."""
+        group, chars = [], 0
+        for k, text in enumerate(texts, 1):
+            group.append((text or "", self.chunks(text or "")))
+            chars += len(text or "")
+            if chars >= GROUP_CHARS or k == len(texts):
+                self.learn([chunks for _, chunks in group if chunks is not None])
+                for own, chunks in group:
+                    yield self.whole(own) if chunks is None else b"".join(map(self.cache.__getitem__, chunks))
+                group, chars = [], 0
+
+    def learn(self, texts: list[list[str]]) -> None:
+        """Keep the chunks of these texts; new ones without inner white space are encoded in long texts, whose ids
+        are parted by their bytes."""
         if len(self.cache) > CACHE_CHUNKS:
             self.cache, self.old = {}, self.cache
-        cache, new = self.cache, []
-        for i, c in enumerate(chunks):
-            if got[i] is None and c not in cache:
-                if (e := self.old.get(c)) is not None:
-                    cache[c] = e
-                elif c[:1] == " " and not SPACES.search(c, 1) and len(c) > 1:
-                    cache[c] = b""
-                    new.append(c)
-                else:
-                    cache[c] = self.whole(c)
-        if new:
-            ids = np.asarray(self.tokenizer.encode_batch_fast(["".join(new)], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum([len(c.encode()) for c in new])) + 1
-            start = 0
-            for c, end in zip(new, ends.tolist(), strict=True):
-                cache[c] = ids[start:end].tobytes()
+        cache, old, plain, other = self.cache, self.old, [], []
+        for c in set().union(*texts).difference(cache):
+            if (e := old.get(c)) is not None:
+                cache[c] = e
+            elif c[:1] == " " and len(c) > 1 and not SPACES.search(c, 1):
+                plain.append(c)
+            else:
+                other.append(c)
+        for at in range(0, len(other), JOINED):
+            part = other[at : at + JOINED]
+            for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                cache[c] = np.asarray(e.ids, dtype="<u4").tobytes()
+        for at in range(0, len(plain), JOINED):
+            part = plain[at : at + JOINED]
+            ids = np.asarray(self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = 4 * (np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum([len(c.encode()) for c in part])) + 1)
+            data, start = ids.tobytes(), 0
+            for c, end in zip(part, ends.tolist(), strict=True):
+                cache[c] = data[start:end]
                 start = end
-        for i, e in enumerate(got):
-            if e is None:
-                got[i] = cache[chunks[i]]
+
+
+@lru_cache(maxsize=1)
+def _chunk_encoder(path: str) -> ChunkEncoder:
+    """A Python worker's encoder, with its cache, which its next tasks use again."""
+    return ChunkEncoder(path)
 
 
 def _encoder(path: str):
     def run(batches):
-        encoder, start, block = ChunkEncoder(path), 0, None
+        encoder, start, block = _chunk_encoder(path), 0, None
         schema = pa.schema([("doc_id", pa.int64()), ("block", pa.int32()), ("block_start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
         for batch in batches:
             blocks, starts, counts, parts = batch.column("block").to_pylist(), [], [], []
-            for b, text in zip(blocks, batch.column("text").to_pylist(), strict=True):
+            for b, got in zip(blocks, encoder.encode_all(batch.column("text").to_pylist()), strict=True):
                 if b != block:
                     block, start = b, 0
-                ids = encoder.encode(text or "") + END_ID.to_bytes(4, "little")
+                ids = got + END_ID.to_bytes(4, "little")
                 parts.append(ids)
                 starts.append(start)
                 counts.append(len(ids) // 4)
