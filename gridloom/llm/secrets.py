@@ -3,8 +3,9 @@
 Base spans are whole matches of three patterns, leftmost and non-overlapping per kind, kept if long enough. The test
 adds spans of kind token: strings of STRING letters, digits and +/_-= whose characters per token under a tiktoken
 vocabulary are below MAX_CHARS_PER_TOKEN, for prose and code words have few tokens and random strings many. Known
-digests (hexadecimal of a digest's length), UUIDs, numbers, and identifiers and paths made of words are excluded first;
-base spans stay whatever the test says.
+digests (hexadecimal of a digest's length), UUIDs, numbers, and identifiers and paths made of words are excluded; their
+words are joined by _, -, / or a change of case and are themselves encoded in few tokens, so an unbroken run of letters
+is always tested, however long. Base spans stay whatever the test says.
 
 Cases: null text is empty; positions are code points, end exclusive; a repeated row is scanned as often as it occurs; an
 empty table gives an empty result; in redacted() all columns stay, text and n_chars (if there) are those after redaction.
@@ -35,8 +36,12 @@ DIGEST = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)")
 DIGEST_LENGTHS = frozenset({32, 40, 56, 64, 96, 128})
 UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 NUMBER = re.compile(r"[0-9+/_=-]+")
-#: Words joined by _, -, / or capitals, each of letters with a short number at its end; possessive, so linear.
-IDENTIFIER = re.compile(r"[-_/]*+(?:(?:[A-Z]?[a-z]++|[A-Z]++)[0-9]{0,3}+[-_/=]*+)++")
+SEPARATORS = re.compile(r"[-_/=]+")
+#: A word of an identifier, each with a short number at its end, and a field of such words joined by changes of case.
+WORD = re.compile(r"([A-Z]?[a-z]+|[A-Z]+(?![a-z]))[0-9]{0,3}")
+FIELD = re.compile(r"(?:[A-Z]?[a-z]++|[A-Z]++(?![a-z])|[A-Z]+(?=[A-Z][a-z]))[0-9]{0,3}+(?:(?:[A-Z][a-z]++|[A-Z]++(?![a-z])|[A-Z]+(?=[A-Z][a-z]))[0-9]{0,3}+)*+")
+#: Letters that a word next to a change of case has at least.
+CASE_WORD = 3
 KINDS = ("assign", "access", "hex", "token")
 MASK = "[SECRET]"
 
@@ -64,12 +69,25 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def excluded(s: str) -> bool:
-    return bool(len(s) in DIGEST_LENGTHS and DIGEST.fullmatch(s) or UUID.fullmatch(s) or NUMBER.fullmatch(s) or len(set(s)) < 8 or IDENTIFIER.fullmatch(s) and sum(map(str.isupper, s)) * 4 < len(s))
+def identifier(s: str, tokens) -> bool:
+    """Whether s is several words, joined by separators or changes of case, that the vocabulary has few tokens for."""
+    words: list[str] = []
+    for field in filter(None, SEPARATORS.split(s)):
+        if not FIELD.fullmatch(field):
+            return False
+        own = WORD.findall(field)
+        if len(own) > 1 and min(map(len, own)) < CASE_WORD:
+            return False
+        words += own
+    return len(words) > 1 and sum(map(len, words)) >= MAX_CHARS_PER_TOKEN * sum(len(tokens.encode_ordinary(w)) for w in words)
+
+
+def excluded(s: str, tokens) -> bool:
+    return bool(len(s) in DIGEST_LENGTHS and DIGEST.fullmatch(s) or UUID.fullmatch(s) or NUMBER.fullmatch(s) or len(set(s)) < 8 or sum(map(str.isupper, s)) * 4 < len(s) and identifier(s, tokens))
 
 
 def token_spans(text: str, tokens) -> list[tuple[int, int, int]]:
-    return [(m.start(), 3, m.end()) for m in STRING.finditer(text) if not excluded(m[0]) and len(m[0]) < MAX_CHARS_PER_TOKEN * len(tokens.encode_ordinary(m[0]))]
+    return [(m.start(), 3, m.end()) for m in STRING.finditer(text) if len(m[0]) < MAX_CHARS_PER_TOKEN * len(tokens.encode_ordinary(m[0])) and not excluded(m[0], tokens)]
 
 
 def listed(spans: list[tuple[int, int, int]]) -> str:
