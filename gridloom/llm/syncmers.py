@@ -2,9 +2,9 @@
 
 A k-mer of a text's UTF-8 bytes is a closed syncmer if the least hash of its inner s-mers stands at its first or last
 s-mer; whether it is depends on the k-mer alone, so equal passages give equal anchors whatever surrounds them. The
-fingerprint is the SKETCH syncmers with the smallest hashes, each with the byte position of its first occurrence.
-Likeness counts the anchors that both fingerprints' smallest hashes share and that stand in the same order in both
-texts, over the anchors compared.
+fingerprint is all distinct syncmers (32 bits of their hashes), each with the byte position of its first occurrence, so
+it grows with the text. Likeness counts the anchors that both fingerprints share and that stand in the same order in
+both texts, over the anchors of either.
 
 Cases: null text is empty; an empty text's fingerprint is empty and like only another empty one; a text of under K
 bytes, or without syncmers, is one anchor as a whole; repeated rows and doc_ids are ordered by text as well; a null
@@ -25,9 +25,10 @@ from pyspark.sql import functions as F
 from .common import bucket_of, partitions, range_bounds, small_batches, table
 
 K, S = 21, 6
-SKETCH = 64
 #: Positions past this are written as it.
 MAX_POS = 0xFFFFFFFF
+#: Characters of fingerprints after which a batch is handed on; results do not depend on it.
+OUT_CHARS = 1 << 24
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -60,7 +61,7 @@ def syncmer_places(data: np.ndarray) -> np.ndarray:
 
 
 def anchors(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct anchor hashes in rising order, at most SKETCH, and their first byte positions."""
+    """Distinct anchor hashes in rising order, and their first byte positions."""
     if not raw:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     data = np.frombuffer(raw, dtype=np.uint8)
@@ -74,13 +75,8 @@ def anchors(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     for at in (0, 8, K - 8):
         h = _mixed((h ^ words[places + at]) * _M3)
     h >>= np.uint64(32)
-    if len(h) > 8 * SKETCH:  # the rest can't be among the SKETCH smallest, unless there are many repeats
-        few = np.flatnonzero(h <= np.partition(h, 6 * SKETCH)[6 * SKETCH])
-        u, first = np.unique(h[few], return_index=True)
-        if len(u) >= SKETCH:
-            return u[:SKETCH], places[few[first[:SKETCH]]]
     u, first = np.unique(h, return_index=True)
-    return u[:SKETCH], places[first[:SKETCH]]
+    return u, places[first]
 
 
 def to_string(hashes: np.ndarray, places: np.ndarray) -> str:
@@ -95,18 +91,16 @@ def from_string(fingerprint: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """0 to 1: shared anchors in the same order, over the smallest anchors of both together."""
+    """0 to 1: shared anchors in the same order, over the anchors of both together."""
     if not len(a[0]) or not len(b[0]):
         return float(len(a[0]) == len(b[0]))
-    both, ia, ib = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    n = len(a[0]) + len(b[0]) - len(both)
-    if n > SKETCH:  # only hashes among the smallest of both together are sure to be known on both sides
-        n = SKETCH
-        limit = np.partition(np.union1d(a[0], b[0]), SKETCH - 1)[SKETCH - 1]
-        keep = both <= limit
-        ia, ib = ia[keep], ib[keep]
+    at = np.searchsorted(b[0], a[0])
+    at[at == len(b[0])] = 0
+    ia = np.flatnonzero(b[0][at] == a[0])
+    ib = at[ia]
     if not len(ia):
         return 0.0
+    n = len(a[0]) + len(b[0]) - len(ia)
     pa_, pb = np.minimum(a[1][ia], MAX_POS), np.minimum(b[1][ib], MAX_POS)
     tails: list[int] = []
     for p in pb[np.lexsort((pb, pa_))].tolist():
@@ -124,9 +118,13 @@ _DDL = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edi
 
 def _walk(batches):
     """Rows in order; each is finished when the next, or the copy of the next bucket's first, has come."""
+
+    def packed(out):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _OUT.types, strict=True)] if out else [pa.array([], t) for t in _OUT.types], schema=_OUT)
+
     last = None
     for batch in batches:
-        out = []
+        out, chars = [], 0
         for doc_id, text, sentinel in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("sentinel").to_pylist(), strict=True):
             text = text or ""
             marks = anchors(text.encode())
@@ -136,8 +134,12 @@ def _walk(batches):
                 edited = (own[: len(own) - cut] + text[:cut]).encode()
                 edited_marks = anchors(edited)
                 out.append((own_id, len(own), hashlib.sha256(edited).hexdigest(), to_string(*own_marks), to_string(*edited_marks), likeness(own_marks, edited_marks), likeness(own_marks, marks)))
+                chars += len(out[-1][3]) + len(out[-1][4])
+                if chars > OUT_CHARS:
+                    yield packed(out)
+                    out, chars = [], 0
             last = None if sentinel else (doc_id, text, marks)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _OUT.types, strict=True)] if out else [pa.array([], t) for t in _OUT.types], schema=_OUT)
+        yield packed(out)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:

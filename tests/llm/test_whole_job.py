@@ -4,7 +4,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from gridloom.llm import secrets
+from gridloom.llm import secrets, syncmers
 
 TIK = public_tokenizers.path("byte_bpe_50k.tiktoken")
 SPM = public_tokenizers.path("piece_bpe_32k.model")
@@ -23,3 +23,21 @@ def test_identifiers_of_words_are_no_secrets():
     for s in ["src/main/java/org/apache/Handler", "max_retry_count_per_host", "parseHTTPServerResponseCode2", "/usr/local/share/doc/x11/readme", "day-of-the-week-by-row"]:
         assert secrets.token_spans(s, k) == []
     assert secrets.identifier("/usr/lib/src/bin/doc/tmp/var", k) and not secrets.identifier("xqzv-kjwp-bnqx-zrtl", k)
+
+
+def test_fingerprints_keep_every_syncmer(spark):
+    rng = np.random.default_rng(7)
+    passage, own, other = ("".join(rng.choice(list("abcdefghij klm"), n)) for n in (600, 9000, 9000))
+    texts = [own[:4500] + passage + own[4500:], other[:2000] + passage + other[2000:]]
+    marks = [syncmers.anchors(t.encode()) for t in texts]
+    kmers = []
+    for t, (hashes, places) in zip(texts, marks, strict=True):
+        all_ = syncmers.syncmer_places(np.frombuffer(t.encode(), np.uint8)).tolist()
+        first = {t[p : p + syncmers.K]: p for p in reversed(all_)}
+        assert len(hashes) == len(first) > 64 and sorted(places.tolist()) == sorted(first.values())
+        kmers.append(first)
+    shared = len(kmers[0].keys() & kmers[1].keys())  # the passage's, in the same order in both
+    want = shared / len(kmers[0].keys() | kmers[1].keys())
+    assert shared > 40 and syncmers.likeness(*marks) == want
+    got = {r.doc_id: r for r in syncmers.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got[1].near_next == got[0].near_next == want and got[0].fingerprint == syncmers.to_string(*marks[0])
