@@ -25,6 +25,7 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +40,8 @@ CACHE_WORDS, LONG_WORD = 400_000, 64
 #: Characters of texts whose new words are looked up together, and the least words of a length worth a joint pass;
 #: results depend on neither.
 GROUP_CHARS, GROUP_WORDS = 1 << 21, 8
+#: Ids that are decoded together; results do not depend on it.
+DECODE_IDS = 1 << 22
 INF, EPS = float("inf"), 1e-9
 WORDS = re.compile(f"{MARK}+[^{MARK}]*|^[^{MARK}]+")
 
@@ -68,8 +71,10 @@ class Pieces:
         self.longest = max(map(len, self.ids))
         self.prefixes: dict[str, tuple[int, float] | None] = {p[:k]: None for p in self.ids for k in range(1, len(p))} | self.ids
         self._build_trie()
-        self.cache: dict[str, tuple[float, float, bytes, bool]] = {}
-        self.old: dict[str, tuple[float, float, bytes, bool]] = {}
+        self.spaced = pa.array([x.replace(MARK, " ") for x in self.text])
+        self.is_byte = np.array([b is not None for b in self.bytes])
+        self.cache: dict[str, tuple[float, float, bytes]] = {}
+        self.old: dict[str, tuple[float, float, bytes]] = {}
         self.lists: dict[str, list[tuple[float, tuple[int, ...]]]] = {}
 
     def _build_trie(self) -> None:
@@ -80,7 +85,7 @@ class Pieces:
         self.alone = np.zeros(len(alphabet) + 1, dtype=bool)  # the character is itself a piece
         for k, c in enumerate(alphabet, 1):
             self.classes[ord(c)], self.alone[k] = k, c in self.ids
-        self.width, self.covered = len(alphabet) + 1, {c for c in alphabet if c in self.ids}
+        self.width = len(alphabet) + 1
         nodes = {p: i for i, p in enumerate(["", *self.prefixes])}
         keys = np.array([nodes[p[:-1]] * self.width + int(self.classes[ord(p[-1])]) for p in self.prefixes], dtype=np.int64)
         order = np.argsort(keys)
@@ -232,26 +237,17 @@ class Pieces:
                 by_length.setdefault(len(w), []).append(w)
         for words in by_length.values():
             if len(words) >= GROUP_WORDS:
-                for w, found in zip(words, self.viterbi_many(words), strict=True):
-                    self.cache[w] = (*found, self.round_trip(w, found[2]))
+                self.cache.update(zip(words, self.viterbi_many(words), strict=True))
 
-    def entry(self, w: str) -> tuple[float, float, bytes, bool]:
-        """Best score, loss of the second best, ids, and whether these decode to the word; words decode one by one."""
+    def entry(self, w: str) -> tuple[float, float, bytes]:
+        """Best score, loss of the second best, and ids."""
         found = self.cache.get(w) or self.old.get(w)
         if found is None:
             found = self.viterbi(w) if len(w) <= LONG_WORD else self.long_word(w)
-            found = (*found, self.round_trip(w, found[2]))
         if len(w) <= LONG_WORD:
             self.cache[w] = found
         return found
 
-    def round_trip(self, w: str, ids: bytes) -> bool:
-        """Whether ids decode to the word; pieces of its own characters always do."""
-        if self.covered.issuperset(w):
-            return True
-        plain = w.replace(MARK, " ")
-        return self.decode(np.frombuffer(ids, dtype="<i4").tolist()) == (plain[1:] if plain[0] == " " else plain)
-
     def long_word(self, w: str) -> tuple[float, float, bytes]:
         """As viterbi, by the search: paths of long words are too long to carry along."""
         paths = self.n_best(w, 2)
@@ -276,14 +272,19 @@ class Pieces:
     def encode(self, text: str, n: int = N_BEST, words: list[str] | None = None) -> tuple[np.ndarray, list[float], list[dict[int, tuple[int, ...]]], list[str], bool]:
         """Ids of the best path, the N best scores, the words changed in each of the N paths, the words, and whether
         the best path decodes to the text."""
+        out = self.paths(text, n, words)
+        return *out, self.decode(out[0].tolist()) == (text or "").replace(MARK, " ")
+
+    def paths(self, text: str, n: int = N_BEST, words: list[str] | None = None) -> tuple[np.ndarray, list[float], list[dict[int, tuple[int, ...]]], list[str]]:
+        """encode without the decoding, which decode_all does for many texts."""
         if not text:
-            return np.zeros(0, np.int32), [0.0], [{}], [], True
+            return np.zeros(0, np.int32), [0.0], [{}], []
         if words is None:
             self.learn([words := self.words(text)])
         got = list(map(self.cache.get, words))
         if None in got:
             got = [self.entry(w) if e is None else e for w, e in zip(words, got, strict=True)]
-        scores, loss, parts, whole = zip(*got, strict=True)
+        scores, loss, parts = zip(*got, strict=True)
         total, ids = sum(scores), np.frombuffer(b"".join(parts), dtype="<i4")
         few = heapq.nsmallest(n - 1, range(len(loss)), key=loss.__getitem__)  # equal losses: the first words
         paths: list[tuple[float, dict]] = [(0.0, {})]
@@ -294,7 +295,7 @@ class Pieces:
                 if len(words[i]) <= LONG_WORD:
                     self.lists[words[i]] = options
             paths = sorted(((s + options[0][0] - p, c | {i: ids_} if k else c) for s, c in paths for k, (p, ids_) in enumerate(options)), key=lambda x: x[0])[:n]
-        return ids, [total - s for s, _ in paths], [c for _, c in paths], words, all(whole)
+        return ids, [total - s for s, _ in paths], [c for _, c in paths], words
 
     def decode(self, ids: list[int]) -> str:
         """The text of a path: byte pieces as UTF-8, marks as spaces, without the first."""
@@ -311,6 +312,25 @@ class Pieces:
         out = "".join(parts).replace(MARK, " ")
         return out[1:] if out.startswith(" ") else out
 
+    def decode_all(self, offsets: np.ndarray, values: np.ndarray) -> pa.ChunkedArray:
+        """decode of each of many paths: path i is values[offsets[i]:offsets[i + 1]]. Paths without byte pieces are
+        joined together, the others decoded one by one."""
+        chunks, at, n = [], 0, len(offsets) - 1
+        while at < n:
+            end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + DECODE_IDS, "right")) - 1)
+            own, cuts = values[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at]
+            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), self.spaced.take(pa.array(own))), "")
+            joined = pc.if_else(pc.starts_with(joined, " "), pc.binary_replace_slice(joined.cast(pa.binary()), 0, 1, b"").cast(pa.string()), joined)
+            n_bytes = np.concatenate([[0], np.cumsum(self.is_byte[own])])[cuts]
+            odd = np.flatnonzero(np.diff(n_bytes))
+            if len(odd):
+                mask = np.zeros(end - at, dtype=bool)
+                mask[odd] = True
+                joined = pc.replace_with_mask(joined, pa.array(mask), pa.array([self.decode(own[cuts[i] : cuts[i + 1]].tolist()) for i in odd.tolist()], pa.string()))
+            chunks.append(joined)
+            at = end
+        return pa.chunked_array(chunks, pa.string())
+
 
 _ADDED = [("ids", pa.list_(pa.int32())), ("n_pieces", pa.int64()), ("nbest_scores", pa.list_(pa.float64())), ("round_trip", pa.bool_())]
 _ADDED_DDL = "ids array<int>, n_pieces long, nbest_scores array<double>, round_trip boolean"
@@ -326,24 +346,25 @@ def _encode(path: str, n: int, scores: str, keep: list[str]):
     def run(batches):
         pieces = _pieces(path, scores)
         for batch in batches:
-            ids, lists, same = [], [], []
+            ids, lists = [], []
             for text, words in pieces.grouped(batch.column("text").to_pylist()):
-                got, best, _, _, whole = pieces.encode(text, n, words)
+                got, best, _, _ = pieces.paths(text, n, words)
                 ids.append(got)
                 lists.append(best)
-                same.append(whole)
             counts = [len(x) for x in ids]
-            offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
-            values = pa.array(np.concatenate([*ids, np.zeros(0, np.int32)]).astype(np.int32))
-            added = [pa.ListArray.from_arrays(offsets, values), pa.array(counts, pa.int64()), pa.array(lists, _ADDED[2][1]), pa.array(same, pa.bool_())]
+            offsets = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+            values = np.concatenate([*ids, np.zeros(0, np.int32)]).astype(np.int32)
+            wanted = pc.replace_substring(pc.fill_null(batch.column("text").cast(pa.string()), ""), MARK, " ")
+            same = pc.equal(pieces.decode_all(offsets, values), pa.chunked_array([wanted])).combine_chunks()
+            added = [pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values)), pa.array(counts, pa.int64()), pa.array(lists, _ADDED[2][1]), same]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *added], names=[*keep, *(a for a, _ in _ADDED)])
 
     return run
 
 
 def encoded(docs: DataFrame, model: str, n: int = N_BEST, scores: str = "zipf") -> DataFrame:
-    """All columns but text, and ids of the best path, n_pieces, nbest_scores (best first) and round_trip (decoding
-    the ids gives the text; literal space marks in a text decode to spaces, as in the library)."""
+    """All columns but text, and ids of the best path, n_pieces, nbest_scores (best first) and round_trip (each text's
+    ids were decoded and gave the text; literal space marks in a text decode to spaces, as in the library)."""
     small_batches(docs.sparkSession)
     docs = docs.drop(*[a for a, _ in _ADDED]).withColumn("text", F.col("text").cast("string"))
     keep = [c for c in docs.columns if c != "text"]
@@ -351,6 +372,29 @@ def encoded(docs: DataFrame, model: str, n: int = N_BEST, scores: str = "zipf")
     return docs.mapInArrow(_encode(model, n, scores, keep), ddl)
 
 
+def _decode(path: str, keep: list[str], column: str):
+    def run(batches):
+        pieces = _pieces(path, "zipf")  # decoding needs no scores
+        for batch in batches:
+            ids = batch.column(column)
+            ids = ids.cast(pa.list_(pa.int32()))
+            offsets = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False), dtype=np.int64)])
+            texts = pieces.decode_all(offsets, ids.flatten().to_numpy(zero_copy_only=False))
+            texts = texts.combine_chunks() if len(ids) else pa.array([], pa.string())
+            texts = pc.if_else(ids.is_valid(), texts, pa.scalar(None, pa.string()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), texts], names=[*keep, "text"])
+
+    return run
+
+
+def decoded(rows: DataFrame, model: str, column: str = "ids") -> DataFrame:
+    """All columns, and text: what the ids of a column decode to; null ids give null."""
+    small_batches(rows.sparkSession)
+    rows = rows.drop("text")
+    ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), "text string"])
+    return rows.mapInArrow(_decode(model, rows.columns, column), ddl)
+
+
 def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

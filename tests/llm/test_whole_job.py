@@ -4,7 +4,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from gridloom.llm import secrets, syncmers
+from gridloom.llm import pieces, secrets, syncmers
 
 TIK = public_tokenizers.path("byte_bpe_50k.tiktoken")
 SPM = public_tokenizers.path("piece_bpe_32k.model")
@@ -41,3 +41,35 @@ def test_fingerprints_keep_every_syncmer(spark):
     assert shared > 40 and syncmers.likeness(*marks) == want
     got = {r.doc_id: r for r in syncmers.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert got[1].near_next == got[0].near_next == want and got[0].fingerprint == syncmers.to_string(*marks[0])
+
+
+TEXTS = ["hello world", None, "", "a  b \n c", "☃ 漢字 🙂 x", " lead", "tail ", "▁marked▁ text", "q" * 90 + " tail"]
+
+
+def test_round_trip_decodes_every_text(spark, monkeypatch):
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string").coalesce(1)
+    out = pieces.encoded(docs, SPM).localCheckpoint()
+    assert all(r.round_trip for r in out.collect())
+    assert {r.doc_id: r.text for r in pieces.decoded(out, SPM).collect()} == {i: (t or "").replace("▁", " ") for i, t in enumerate(TEXTS)}
+    assert [r.text for r in pieces.decoded(out.limit(1).selectExpr("cast(null as array<int>) as ids"), SPM).collect()] == [None]
+    # A wrong segmentation of a word of covered characters must show.
+    p = pieces.Pieces(SPM)
+    p.learn([["▁hello", "▁world"]])
+    for w in ("▁hello", "▁world"):
+        p.entry(w)
+    p.cache["▁hello"] = (*p.cache["▁hello"][:2], p.cache["▁world"][2], *p.cache["▁hello"][3:])
+    assert p.encode("hello world")[4] is False
+    monkeypatch.setattr(pieces, "_pieces", lambda *_: p)
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"text": ["hello world", "world"]})
+    assert next(pieces._encode(SPM, 4, "zipf", [])([batch])).column("round_trip").to_pylist() == [False, True]
+
+
+def test_decoding_of_many_equals_that_of_each(monkeypatch):
+    p = pieces.Pieces(SPM)
+    ids = [p.encode(t)[0] for t in TEXTS]
+    offsets = np.cumsum([0, *map(len, ids)])
+    for size in (1, 7, 1 << 22):
+        monkeypatch.setattr(pieces, "DECODE_IDS", size)
+        assert p.decode_all(offsets, np.concatenate(ids).astype(np.int32)).to_pylist() == [p.decode(i.tolist()) for i in ids]
