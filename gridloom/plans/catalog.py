@@ -347,6 +347,14 @@ def centroid_voronoi(spark, d):
     return out.select(*KEYS, *r6("dist"))
 
 
+@query(f"{VOX}, {LABELS}, c AS (SELECT label, AVG(x) AS cx, AVG(y) AS cy, AVG(z) AS cz FROM lab GROUP BY label), p AS (SELECT x, y, z, label, sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy) + (z - cz) * (z - cz)) AS dist FROM vox CROSS JOIN c), n AS (SELECT *, row_number() OVER (PARTITION BY x, y, z ORDER BY dist, label) AS nth FROM p) SELECT x, y, z, label, ROUND(dist, 6) AS dist FROM n WHERE nth = 1")
+def centroid_voronoi_labels(spark, d):
+    """Of all labels, where centroid_voronoi and its SQL take those up to 20 and give the distance alone."""
+    lab = labelled(spark, d)
+    out = grow.cvoronoi(lab, lab.select(*KEYS, F.lit(True).alias("v")))
+    return out.select(*KEYS, "label", *r6("dist"))
+
+
 @query(None)
 def region_growing(spark, d):
     lab = components.label(sparse(spark, d), DIM, kernels.cross(), min_voxels=3)

@@ -1,4 +1,4 @@
-"""Cases that earlier versions of the operators left out."""
+"""Cases that earlier versions of the operators and queries left out."""
 
 import numpy as np
 import public_tokenizers
@@ -73,3 +73,16 @@ def test_decoding_of_many_equals_that_of_each(monkeypatch):
     for size in (1, 7, 1 << 22):
         monkeypatch.setattr(pieces, "DECODE_IDS", size)
         assert p.decode_all(offsets, np.concatenate(ids).astype(np.int32)).to_pylist() == [p.decode(i.tolist()) for i in ids]
+
+
+def test_voronoi_query_takes_all_labels(spark):
+    from gridloom.plans import catalog
+
+    d = "/root/testdata/sf0.001"
+    lab = catalog.labelled(spark, d).toPandas()
+    centres = lab.groupby("label")[["x", "y", "z"]].mean().sort_index()
+    points = lab[["x", "y", "z"]].drop_duplicates().to_numpy()
+    dist = np.sqrt(((points[:, None, :] - centres.to_numpy()[None]) ** 2).sum(axis=2))
+    want = {tuple(p): (int(centres.index[i]), round(float(row[i]), 6)) for p, row, i in zip(points.tolist(), dist, dist.argmin(axis=1).tolist(), strict=True)}
+    got = {(r.x, r.y, r.z): (r.label, r.dist) for r in catalog.QUERIES["centroid_voronoi_labels"](spark, d).collect()}
+    assert got == want and centres.index.max() > 20 and {v[0] for v in got.values()} - set(range(21))
