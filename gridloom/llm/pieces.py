@@ -5,7 +5,8 @@ scores. A forward Viterbi pass gives the best score to reach each place, and the
 search backward from the end, which so finds the N best paths in order. No piece but runs of the space mark has that
 mark after its first character, so the lattice falls apart at words. The forward pass keeps two scores a place, so each
 word's best path and what its second best loses are known; among a text's N best paths only the N - 1 words that lose
-least can change, so the A-star search runs on those, and the text's N best are merged from their lists.
+least can change, so the A-star search runs on those, and the text's N best are merged from their lists. The output has
+the best path's ids and what each other path changes in them; path_ids() puts a path together.
 
 Piece scores are the model file's, or (scores="zipf", the default) the logarithm of 1 / (rank + 1): a BPE file holds
 merge ranks rather than log probabilities. Uncovered characters become byte pieces at a penalty, as the library does it.
@@ -273,12 +274,13 @@ class Pieces:
         """Ids of the best path, the N best scores, the words changed in each of the N paths, the words, and whether
         the best path decodes to the text."""
         out = self.paths(text, n, words)
-        return *out, self.decode(out[0].tolist()) == (text or "").replace(MARK, " ")
+        return *out[:4], self.decode(out[0].tolist()) == (text or "").replace(MARK, " ")
 
-    def paths(self, text: str, n: int = N_BEST, words: list[str] | None = None) -> tuple[np.ndarray, list[float], list[dict[int, tuple[int, ...]]], list[str]]:
-        """encode without the decoding, which decode_all does for many texts."""
+    def paths(self, text: str, n: int = N_BEST, words: list[str] | None = None) -> tuple:
+        """encode without the decoding, which decode_all does for many texts, and with each path's changed words as
+        (first id in the best path, ids there, own ids), in rising order."""
         if not text:
-            return np.zeros(0, np.int32), [0.0], [{}], []
+            return np.zeros(0, np.int32), [0.0], [{}], [], [[]]
         if words is None:
             self.learn([words := self.words(text)])
         got = list(map(self.cache.get, words))
@@ -295,7 +297,12 @@ class Pieces:
                 if len(words[i]) <= LONG_WORD:
                     self.lists[words[i]] = options
             paths = sorted(((s + options[0][0] - p, c | {i: ids_} if k else c) for s, c in paths for k, (p, ids_) in enumerate(options)), key=lambda x: x[0])[:n]
-        return ids, [total - s for s, _ in paths], [c for _, c in paths], words
+        starts, at, word = {}, 0, 0
+        for i in sorted({i for _, c in paths for i in c}):
+            at, word = at + sum(map(len, parts[word:i])), i
+            starts[i] = at // 4, len(parts[i]) // 4
+        spans = [[(*starts[i], c[i]) for i in sorted(c)] for _, c in paths]
+        return ids, [total - s for s, _ in paths], [c for _, c in paths], words, spans
 
     def decode(self, ids: list[int]) -> str:
         """The text of a path: byte pieces as UTF-8, marks as spaces, without the first."""
@@ -332,8 +339,31 @@ class Pieces:
         return pa.chunked_array(chunks, pa.string())
 
 
-_ADDED = [("ids", pa.list_(pa.int32())), ("n_pieces", pa.int64()), ("nbest_scores", pa.list_(pa.float64())), ("round_trip", pa.bool_())]
-_ADDED_DDL = "ids array<int>, n_pieces long, nbest_scores array<double>, round_trip boolean"
+_CHANGE = pa.struct([("at", pa.int32()), ("n", pa.int32()), ("ids", pa.list_(pa.int32()))])
+_ADDED = [("ids", pa.list_(pa.int32())), ("n_pieces", pa.int64()), ("nbest_scores", pa.list_(pa.float64())), ("nbest_changes", pa.list_(pa.list_(_CHANGE))), ("round_trip", pa.bool_())]
+_ADDED_DDL = "ids array<int>, n_pieces long, nbest_scores array<double>, nbest_changes array<array<struct<at:int,n:int,ids:array<int>>>>, round_trip boolean"
+
+
+def path_ids(ids, changes) -> list[int]:
+    """Ids of one of the N best paths, from those of the best and the path's (at, n, ids) of nbest_changes."""
+    out, done = [], 0
+    for at, n, own in changes:
+        out += [*ids[done:at], *own]
+        done = at + n
+    return [*out, *ids[done:]]
+
+
+def _lists(counts, values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts, dtype=np.int64)]).astype(np.int32)), values)
+
+
+def _changes(paths: list[list[list[tuple[int, int, tuple[int, ...]]]]]) -> pa.ListArray:
+    """A column of each row's paths' changes."""
+    rows = [c for row in paths for c in row]
+    flat = [x for c in rows for x in c]
+    ids = _lists([len(x[2]) for x in flat], pa.array([i for x in flat for i in x[2]], pa.int32()))
+    structs = pa.StructArray.from_arrays([pa.array([x[0] for x in flat], pa.int32()), pa.array([x[1] for x in flat], pa.int32()), ids], fields=list(_CHANGE))
+    return _lists([len(row) for row in paths], _lists([len(c) for c in rows], structs))
 
 
 @lru_cache(maxsize=1)
@@ -346,25 +376,29 @@ def _encode(path: str, n: int, scores: str, keep: list[str]):
     def run(batches):
         pieces = _pieces(path, scores)
         for batch in batches:
-            ids, lists = [], []
+            ids, lists, changed = [], [], []
             for text, words in pieces.grouped(batch.column("text").to_pylist()):
-                got, best, _, _ = pieces.paths(text, n, words)
+                got, best, _, _, spans = pieces.paths(text, n, words)
                 ids.append(got)
                 lists.append(best)
+                changed.append(spans)
             counts = [len(x) for x in ids]
             offsets = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
             values = np.concatenate([*ids, np.zeros(0, np.int32)]).astype(np.int32)
             wanted = pc.replace_substring(pc.fill_null(batch.column("text").cast(pa.string()), ""), MARK, " ")
             same = pc.equal(pieces.decode_all(offsets, values), pa.chunked_array([wanted])).combine_chunks()
-            added = [pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values)), pa.array(counts, pa.int64()), pa.array(lists, _ADDED[2][1]), same]
+            added = [pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values)), pa.array(counts, pa.int64()), pa.array(lists, _ADDED[2][1]), _changes(changed), same]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *added], names=[*keep, *(a for a, _ in _ADDED)])
 
     return run
 
 
 def encoded(docs: DataFrame, model: str, n: int = N_BEST, scores: str = "zipf") -> DataFrame:
-    """All columns but text, and ids of the best path, n_pieces, nbest_scores (best first) and round_trip (each text's
-    ids were decoded and gave the text; literal space marks in a text decode to spaces, as in the library)."""
+    """All columns but text, and ids of the best path, n_pieces, nbest_scores (best first), nbest_changes and round_trip
+    (each text's ids were decoded and gave the text; literal space marks in a text decode to spaces, as in the library).
+
+    nbest_changes has for each of the N paths the places, in rising order, where it differs from the best: its ids
+    stand for the n ids of the best path from position at. The first path's list is empty."""
     small_batches(docs.sparkSession)
     docs = docs.drop(*[a for a, _ in _ADDED]).withColumn("text", F.col("text").cast("string"))
     keep = [c for c in docs.columns if c != "text"]

@@ -86,3 +86,19 @@ def test_voronoi_query_takes_all_labels(spark):
     want = {tuple(p): (int(centres.index[i]), round(float(row[i]), 6)) for p, row, i in zip(points.tolist(), dist, dist.argmin(axis=1).tolist(), strict=True)}
     got = {(r.x, r.y, r.z): (r.label, r.dist) for r in catalog.QUERIES["centroid_voronoi_labels"](spark, d).collect()}
     assert got == want and centres.index.max() > 20 and {v[0] for v in got.values()} - set(range(21))
+
+
+def test_all_n_best_paths_can_be_rebuilt(spark):
+    texts = [*TEXTS, "the erou tionhe the erou"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    p = pieces.Pieces(SPM)
+    score = {i: s for i, s in p.ids.values()}
+    for r in pieces.encoded(docs, SPM).collect():
+        text = texts[r.doc_id] or ""
+        paths = [pieces.path_ids(r.ids, c) for c in r.nbest_changes]
+        assert len(paths) == len(r.nbest_scores) and paths[0] == r.ids and len({tuple(x) for x in paths}) == len(paths)
+        for ids, want in zip(paths, r.nbest_scores, strict=True):
+            assert p.decode(ids) == text.replace("▁", " ")
+            if not p.is_byte[ids].any():
+                assert sum(score[i] for i in ids) == pytest.approx(want, abs=1e-6)
+    assert max(map(len, (r.nbest_scores for r in pieces.encoded(docs, SPM).collect()))) == 4
