@@ -43,7 +43,8 @@ class ChunkEncoder:
     """Byte-level BPE through the tokenizers library.
 
     The pre-tokenizer always cuts before a space that has no white space on both sides, and merges never cross such a
-    cut, so a text's ids are those of its chunks; each distinct chunk is encoded by the library once.
+    cut, so a text's ids are those of its chunks; each distinct chunk is encoded by the library once. Texts that hold an
+    added token are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -51,7 +52,8 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         vocab = self.tokenizer.get_vocab()
         self.lengths = np.zeros(max(vocab.values()) + 1, dtype=np.int64)  # a byte-level token has a character a byte
         for token, i in vocab.items():
@@ -63,8 +65,8 @@ class ChunkEncoder:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def chunks(self, text: str) -> list[str] | None:
-        """A text's chunks, or none if a cut could part a run of white space."""
-        if UNSAFE.search(text):
+        """A text's chunks, or none if a cut could part a run of white space or the text holds an added token."""
+        if UNSAFE.search(text) or self.added and self.added.search(text):
             return None
         return text.replace(" ", "\0 ").split("\0") if "\0" not in text else [c if i == 0 else " " + c for i, c in enumerate(text.split(" "))]
 

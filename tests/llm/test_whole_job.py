@@ -4,7 +4,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from gridloom.llm import pieces, secrets, syncmers
+from gridloom.llm import pieces, secrets, syncmers, token_orc
 
 TIK = public_tokenizers.path("byte_bpe_50k.tiktoken")
 SPM = public_tokenizers.path("piece_bpe_32k.model")
@@ -102,3 +102,13 @@ def test_all_n_best_paths_can_be_rebuilt(spark):
             if not p.is_byte[ids].any():
                 assert sum(score[i] for i in ids) == pytest.approx(want, abs=1e-6)
     assert max(map(len, (r.nbest_scores for r in pieces.encoded(docs, SPM).collect()))) == 4
+
+
+def test_added_tokens_are_encoded_as_the_plain_library_call_does():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok, e = Tokenizer.from_file(path), token_orc.ChunkEncoder(path)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y <|endoftext|>", "<|endoftext |> <|endof text|>", "plain text", None, *(f"c{i} d" for i in range(20))]
+    want = [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in e.encode_all(texts)] == want and want[0] == [64, 220, 50256, 275]
