@@ -57,9 +57,8 @@ CACHE_WORDS = 400_000
 _LETTER = np.zeros(256, dtype=bool)
 for _c in range(256):
     _LETTER[_c] = chr(_c).isalpha() if _c < 128 else True
-_SIGN = np.zeros(256, dtype=bool)
-for _c in b"0123456789@$!*._-":
-    _SIGN[_c] = True
+_LETTER[ord("_")] = True
+_DIGIT, _SIGN, _JOIN = (np.isin(np.arange(256), list(s)) for s in (b"0123456789", b"0123456789@$!*", b".-_*"))
 
 
 class Words:
@@ -84,6 +83,13 @@ class Words:
         return [(i, e) for i, e in enumerate(got) if e]
 
 
+def may_mask(data: np.ndarray) -> bool:
+    """False only if MASKED matches nowhere: it needs a letter or _ beside a sign, or a join between word characters."""
+    letter, sign = _LETTER[data], _SIGN[data]
+    word = letter | _DIGIT[data]
+    return bool((letter[:-1] & sign[1:] | sign[:-1] & letter[1:]).any() or (word[:-2] & _JOIN[data][1:-1] & word[2:]).any())
+
+
 def features(text: str, lexicon: Words) -> list[float]:
     data = np.frombuffer(text.encode(), dtype=np.uint8)
     classes = np.bincount(_CLASS[data], minlength=6)
@@ -97,8 +103,7 @@ def features(text: str, lexicon: Words) -> list[float]:
         for i in hits:
             at = bisect_left(persons, i)
             near = max(near, max(1 / (1 + abs(i - p)) for p in persons[max(0, at - 1) : at + 1]))
-    letter, sign = _LETTER[data], _SIGN[data]
-    masked = MASKED.findall(text) if (letter[:-2] & sign[1:-1] & (letter | sign)[2:]).any() else []
+    masked = MASKED.findall(text) if may_mask(data) else []
     plain = [re.sub(r"[^a-z]", "", m.lower().translate(LEET)) for m in masked]
     same = data[1:] == data[:-1]
     run = same[1:] & same[:-1]
@@ -107,7 +112,7 @@ def features(text: str, lexicon: Words) -> list[float]:
     hidden = sum(w in GENERAL or w in lexicon.words for w in plain + shortened)
     return [
         np.log1p(len(words)), np.log1p(len(text)), 100 * sum(e[0] for _, e in found) / n, 100 * sum(e[1] > 0 for _, e in found) / n, 100 * sum(e[2] > 0 for _, e in found) / n, float(len(hits) + hidden),
-        max([max(e[1], e[2]) for _, e in found], default=0.0), 100 * len(persons) / n, near, classes[1] / n_chars, sum(map(str.isupper, WORD.findall(text))) / n if classes[1] > len(words) else 0.0, classes[2] / n_chars, classes[3] / n_chars,
+        max([max(e[1], e[2]) for _, e in found], default=0.0), 100 * len(persons) / n, near, classes[1] / n_chars, sum(map(str.isupper, WORD.findall(text))) / n, classes[2] / n_chars, classes[3] / n_chars,
         classes[4] / n_chars, classes[5] / n_chars, 100 * len(masked) / n, float(hidden), 100 * n_runs / n, sum(map(len, words)) / n,
     ]
 

@@ -4,7 +4,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from gridloom.llm import pieces, secrets, syncmers, token_orc
+from gridloom.llm import pieces, secrets, syncmers, token_orc, toxicity
 
 TIK = public_tokenizers.path("byte_bpe_50k.tiktoken")
 SPM = public_tokenizers.path("piece_bpe_32k.model")
@@ -112,3 +112,15 @@ def test_added_tokens_are_encoded_as_the_plain_library_call_does():
     texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y <|endoftext|>", "<|endoftext |> <|endof text|>", "plain text", None, *(f"c{i} d" for i in range(20))]
     want = [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
     assert [np.frombuffer(x, "<u4").tolist() for x in e.encode_all(texts)] == want and want[0] == [64, 220, 50256, 275]
+
+
+def test_masked_and_capital_words_are_always_counted():
+    words, at = toxicity.Words({}, {}), toxicity.NAMES.index
+    for w in ["1diot", "idio7", "4sshole", "idiot!", "l0ser", "i.d.i.o.t"]:
+        got = toxicity.features(f"so {w} it is", words)
+        assert got[at("masked")] > 0 and (w not in ("1diot", "l0ser") or got[at("masked_hits")] == 1)
+    assert toxicity.features("you IDIOT man", words)[at("capital_words")] > 0
+    rng = np.random.default_rng(3)
+    for _ in range(20_000):
+        t = "".join(rng.choice(list("aZé1@!*._- "), rng.integers(0, 9)))
+        assert toxicity.may_mask(np.frombuffer(t.encode(), np.uint8)) or not toxicity.MASKED.search(t), t
