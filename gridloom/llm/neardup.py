@@ -321,15 +321,17 @@ def near_duplicates(docs: DataFrame, k: int) -> DataFrame:
 
 
 def drop_duplicates(docs: DataFrame, k: int) -> DataFrame:
-    """One document of each group, with all its columns; of rows that share the kept doc_id, the first by text."""
+    """One document of each group, with all its columns; of rows that share the kept doc_id, the first by text. Rows
+    without words are linked with nothing, so all of them stay, whatever their doc_id."""
     out = near_duplicates(docs, k)
-    out = written(out.select(F.col("doc_id").alias("dup_id"), "kept"), "kept")
-    left = docs.join(out.where("not kept").select("dup_id").distinct(), F.col("doc_id") == F.col("dup_id"), "left_anti")
-    repeated = out.where("kept and dup_id is not null").groupBy("dup_id").agg(F.count("*").alias("n")).where("n > 1").select("dup_id")
+    out = written(out.select(F.col("doc_id").alias("dup_id"), "n_shingles", "kept"), "kept")
+    linked = (F.col("doc_id") == F.col("dup_id")) & F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(r"[^ \t\n\x0B\f\r]")
+    left = docs.join(out.where("not kept").select("dup_id").distinct(), linked, "left_anti")
+    repeated = out.where("kept and n_shingles > 0 and dup_id is not null").groupBy("dup_id").agg(F.count("*").alias("n")).where("n > 1").select("dup_id")
     if repeated.isEmpty():
         return left
-    again = left.join(repeated, F.col("doc_id") == F.col("dup_id"), "left_semi").dropDuplicates(["doc_id"])
-    return left.join(repeated, F.col("doc_id") == F.col("dup_id"), "left_anti").unionByName(again)
+    again = left.join(repeated, linked, "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.struct("text", F.xxhash64(*docs.columns))).alias("row")).select("row.*")
+    return left.join(repeated, linked, "left_anti").unionByName(again)
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

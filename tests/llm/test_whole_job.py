@@ -4,7 +4,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from gridloom.llm import pieces, secrets, syncmers, token_orc, toxicity
+from gridloom.llm import neardup, pieces, secrets, syncmers, token_orc, toxicity
 
 TIK = public_tokenizers.path("byte_bpe_50k.tiktoken")
 SPM = public_tokenizers.path("piece_bpe_32k.model")
@@ -124,3 +124,11 @@ def test_masked_and_capital_words_are_always_counted():
     for _ in range(20_000):
         t = "".join(rng.choice(list("aZé1@!*._- "), rng.integers(0, 9)))
         assert toxicity.may_mask(np.frombuffer(t.encode(), np.uint8)) or not toxicity.MASKED.search(t), t
+
+
+def test_rows_that_share_a_doc_id_keep_the_first_text_and_empty_rows(spark):
+    b, a = " ".join(f"b{i}" for i in range(30)), " ".join(f"a{i}" for i in range(30))
+    data = [(1, ""), (1, b), (1, a), (2, b), (2, " \n"), (3, None), (3, "one two")]
+    for rows in (data, data[::-1]):
+        kept = neardup.drop_duplicates(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), 5).collect()
+        assert sorted((r.doc_id, r.text or "") for r in kept) == [(1, ""), (1, a), (2, " \n"), (3, ""), (3, "one two")]
