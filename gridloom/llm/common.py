@@ -8,8 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in an Arrow batch handed to Python: with texts of 100 KB, 50 MB at most.
-BATCH_ROWS = 512
+#: Rows in an Arrow batch handed to Python, and bytes after which Spark ends one early: a very long text is a batch alone.
+BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
+#: Spark removes a query's shuffle files at its end if this is set.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,18 +30,35 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage with a Parquet table in the shared folder; survives the loss of executors."""
+    """Cut lineage with a Parquet table in the shared folder; survives the loss of executors. The shuffle files that
+    led to the table go as soon as it is there."""
     spark = df.sparkSession
     path = shared_path(spark, name)
     schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(schema).parquet(path)
+    out.table_path = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables of written() that nothing reads any more."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.table_path)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_batches(spark: SparkSession) -> None:
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > BATCH_ROWS or int(spark.conf.get(key)) <= 0:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Lower the session's Arrow batches to the bounds above; plans read them when they run, so they stay lowered."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = int(spark.conf.get(key).lower().removesuffix("b"))
+        if now > most or now <= 0:
+            spark.conf.set(key, str(most))
 
 
 def partitions(spark: SparkSession) -> int:

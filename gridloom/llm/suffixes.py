@@ -2,13 +2,19 @@
 
 Anchors thin out the suffixes: of the hashed GRAM-byte windows of every LENGTH bytes the least ones are anchors, so equal
 strings hold equal anchors at equal places. Anchors seen once in the corpus cannot be in a repeat. Around each other
-anchor the context is cut that strings of LENGTH bytes around it can touch; equal contexts are folded and counted. The
-contexts of an anchor are then put in suffix order by deep-shallow sorting, forward from the anchor and backward from
-it: multikey quicksort, eight bytes a key, to SHALLOW bytes, then blind tries for the groups that still agree. With the
-common prefixes of neighbours in both orders, two contexts share the string that starts d bytes before the anchor if and
-only if they are in one run of at least d bytes backward and LENGTH - d forward. All comparisons are of the bytes
-themselves. An anchor with over MAX_GROUP different contexts has its strings counted one by one in SQL instead, so no
-task holds an unbounded group.
+anchor the context is cut that strings of LENGTH bytes around it can touch; equal contexts (by 128-bit digests) are
+folded and counted. The contexts of an anchor are then put in suffix order by deep-shallow sorting, forward from the
+anchor and backward from it: multikey quicksort, eight bytes a key, to SHALLOW bytes, then blind tries for the groups
+that still agree. With the common prefixes of neighbours in both orders, two contexts share the string that starts d
+bytes before the anchor if and only if they are in one run of at least d bytes backward and LENGTH - d forward.
+
+A group of over MAX_GROUP contexts is parted by further bytes before it is sorted: its places d are halved, and for each
+half the contexts that agree in all bytes that every string of that half covers form a group. Parting goes on while
+groups are too large; at a single d the group is one string, and all its contexts are hits. So no task holds an
+unbounded group, and a part only ever loses contexts that cannot match the others there.
+
+Inside a long run of a short period (padding, rules of one sign) every string repeats within the run, so the run is
+removed as it is, and only the anchors near its ends stand for it elsewhere.
 
 Cases: null text is empty; texts under LENGTH bytes keep all; matches never cross documents but may overlap in one;
 repeated rows repeat each other's text and lose it; null and repeated doc_ids are rows like others; an empty table gives
@@ -18,21 +24,28 @@ an empty result; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table, written
+from .common import dropped, small_batches, table, written
 
 LENGTH, GRAM = 200, 32
 WINDOW = LENGTH - GRAM + 1
 LEFT = LENGTH - GRAM
 SHALLOW = 64
-MAX_GROUP = 50_000
-#: Contexts sorted together in a task.
-CHUNK = 20_000
+#: Contexts of a group that is sorted as a whole; larger ones are parted.
+MAX_GROUP = 32_768
+#: Contexts sorted together in a task, and bytes of contexts that a task folds before it hands them on.
+CHUNK, HELD_BYTES = 20_000, 32 << 20
+#: Bytes of a text searched for anchors at a time; results do not depend on it.
+PIECE = 4 << 20
+#: Runs of at least LONG_RUN bytes with a period of at most PERIODS are taken as a whole; anchors KEEP from their ends stay.
+LONG_RUN, PERIODS = 2048, 16
+KEEP = 2 * LENGTH + PERIODS
 _U = np.uint64
 
 
@@ -45,10 +58,25 @@ def _slide(v: np.ndarray, w: int, pick) -> np.ndarray:
     return pick(v[:n], v[w - span : w - span + n]) if span < w else v
 
 
-def anchors(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(places, hashes) of the grams that are least in some LENGTH bytes of the text."""
-    if len(raw) < LENGTH:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+def periodic_runs(raw: bytes) -> list[tuple[int, int]]:
+    """Maximal runs (a, b) of at least LONG_RUN bytes that repeat with a period of at most PERIODS."""
+    if len(raw) < LONG_RUN:
+        return []
+    data, step = np.frombuffer(raw, np.uint8), LONG_RUN // 4
+    heads = data[: len(data) // step * step].reshape(-1, step)[:, : 4 * PERIODS]  # every long run holds several heads
+    todo = np.ones(len(heads), dtype=bool)
+    found = set()
+    for q in range(1, PERIODS + 1):
+        at = np.flatnonzero((heads[:, q:] == heads[:, :-q]).all(axis=1) & todo)
+        if len(at):
+            todo[at] = False
+            parts = np.concatenate([[-1], np.flatnonzero(data[q:] != data[:-q]), [len(data) - q]])
+            i = np.searchsorted(parts, at * step)
+            found |= {(a, b) for a, b in zip((parts[i - 1] + 1).tolist(), (parts[i] + q).tolist(), strict=True) if b - a >= LONG_RUN}
+    return sorted(found)
+
+
+def _least_grams(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     h = np.ndarray((len(raw) - 7,), dtype="<u8", buffer=raw, strides=(1,)) * _U(0x9E3779B97F4A7C15)
     h ^= h >> _U(32)
     for span, c in ((8, 0xBF58476D1CE4E5B9), (16, 0x94D049BB133111EB)):
@@ -63,6 +91,23 @@ def anchors(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return places, h[places].view(np.int64)
 
 
+def anchors(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(places, hashes) of the grams that are least in some LENGTH bytes of the text, without those inside long runs."""
+    if len(raw) < LENGTH:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if len(raw) <= PIECE + LENGTH:
+        places, hashes = _least_grams(raw)
+    else:  # a string of LENGTH bytes starts in one piece
+        starts = range(0, len(raw) - LENGTH + 1, PIECE)
+        got = [_least_grams(raw[a : a + PIECE + LENGTH - 1]) for a in starts]
+        places, first = np.unique(np.concatenate([p + a for a, (p, _) in zip(starts, got, strict=True)]), return_index=True)
+        hashes = np.concatenate([h for _, h in got])[first]
+    for a, b in periodic_runs(raw):
+        stay = (places < a + KEEP) | (places >= b - KEEP)
+        places, hashes = places[stay], hashes[stay]
+    return places, hashes
+
+
 def _emit_anchors(batches):
     schema = pa.schema([("dk", pa.int64()), ("tk", pa.int64()), ("h", pa.int64()), ("pos", pa.int32())])
     for batch in batches:
@@ -89,24 +134,50 @@ def packed(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "dk", "tk", "text").mapInArrow(_pack, "doc_id long, dk long, tk long, packed binary")
 
 
+_PLACES = pa.schema([("dk", pa.int64()), ("tk", pa.int64()), ("pos", pa.int32()), ("c1", pa.int64()), ("c2", pa.int64()), ("k", pa.int64()), ("n", pa.int64()), ("nleft", pa.int32()), ("context", pa.binary())])
+_PLACES_DDL = "dk long, tk long, pos int, c1 long, c2 long, k long, n long, nleft int, context binary"
+
+
 def _emit_contexts(batches):
-    """Each repeated anchor with its context's digest; the context itself once a batch."""
-    schema = pa.schema([("dk", pa.int64()), ("tk", pa.int64()), ("pos", pa.int32()), ("h", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("nleft", pa.int32()), ("context", pa.binary())])
+    """Rows of two kinds: each repeated anchor's place with its context's digest, and (pos null) each context that the
+    task has seen, with its anchor's hash and how often it was seen."""
     import zstandard
 
     codec = zstandard.ZstdDecompressor()
+    held: dict[bytes, list] = {}
+    size = 0
+
+    def contexts() -> pa.RecordBatch:
+        digests = np.frombuffer(b"".join(held), dtype="<i8").reshape(-1, 2)
+        n, nleft, k, context = zip(*held.values(), strict=True)
+        columns = {"c1": digests[:, 0], "c2": digests[:, 1], "k": k, "n": n, "nleft": nleft, "context": context}
+        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(len(n), f.type) for f in _PLACES], schema=_PLACES)
+
     for batch in batches:
-        seen, rows = set(), []
+        rows: list[tuple] = []
+        digests: list[bytes] = []
         for dk, tk, packed_, marks in zip(*(batch.column(c).to_pylist() for c in ("dk", "tk", "packed", "marks")), strict=True):
             raw = codec.decompress(packed_)
             for m in marks:
                 at = m["pos"]
                 context, nleft = raw[max(0, at - LEFT) : at + LENGTH], min(at, LEFT)
                 digest = hashlib.blake2b(context, digest_size=16, salt=nleft.to_bytes(2, "little")).digest()
-                rows.append((dk, tk, at, m["h"], int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), nleft, None if digest in seen else context))
-                seen.add(digest)
+                digests.append(digest)
+                rows.append((dk, tk, at))
+                if (seen := held.get(digest)) is not None:
+                    seen[0] += 1
+                else:
+                    held[digest] = [1, nleft, m["h"], context]
+                    size += len(context)
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+            both = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
+            own = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _PLACES.types, strict=False)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(both[:, 0]), pa.array(both[:, 1]), *(pa.nulls(len(rows), t) for t in _PLACES.types[5:])], schema=_PLACES)
+        if size > HELD_BYTES:
+            yield contexts()
+            held, size = {}, 0
+    if held:
+        yield contexts()
 
 
 class BlindTrie:
@@ -226,27 +297,39 @@ def repeated_starts(group: np.ndarray, lefts: list[bytes], rights: list[bytes],
     return out
 
 
-_FOUND = pa.schema([("h", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("spans", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))])
-_FOUND_DDL = "h long, c1 long, c2 long, spans array<struct<a:int,b:int>>"
+_FOUND = pa.schema([("c1", pa.int64()), ("c2", pa.int64()), ("spans", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))])
+_FOUND_DDL = "c1 long, c2 long, spans array<struct<a:int,b:int>>"
 
 
 def _spans(rows: list[tuple]) -> pa.RecordBatch:
-    """Covered bytes, from the anchor on, of complete groups of (h, c1, c2, n, nleft, context)."""
-    distinct = list({r[:3]: r for r in rows}.values())
-    group = np.array([r[0] for r in distinct], dtype=np.int64)
-    hit = repeated_starts(group, [r[5][: r[4]] for r in distinct], [r[5][r[4] :] for r in distinct], np.array([r[3] > 1 for r in distinct]))
+    """Covered bytes, from the anchor on, of complete groups of (k, d0, d1, c1, c2, n, nleft, context): strings that
+    start d0 to d1 bytes before it. A context may come several times, with its counts."""
+    distinct: dict[tuple, list] = {}
+    for k, d0, d1, c1, c2, n, nleft, context in rows:
+        if (seen := distinct.get((k, d0, c1, c2))) is not None:
+            seen[0] += n
+        else:
+            distinct[k, d0, c1, c2] = [n, d1, nleft, context]
+    keys = list(distinct)
+    group = np.unique(np.array([x[:2] for x in keys], dtype=np.int64), axis=0, return_inverse=True)[1].ravel()
+    hit = repeated_starts(group, [context[:nleft] for _, _, nleft, context in distinct.values()], [context[nleft:] for _, _, nleft, context in distinct.values()], np.array([x[0] > 1 for x in distinct.values()]))
+    d = np.arange(LEFT + 1)
+    hit &= (d >= np.array([x[1] for x in keys])[:, None]) & (d <= np.array([x[1] for x in distinct.values()])[:, None])
     out = []
     for i in np.flatnonzero(hit.any(axis=1)).tolist():
         edges = np.flatnonzero(np.diff(np.concatenate([[False], hit[i], [False]]).astype(np.int8)))
-        out.append((*distinct[i][:3], [{"a": -(int(e) - 1), "b": LENGTH - int(s)} for s, e in zip(edges[::2], edges[1::2], strict=True)]))
+        out.append((*keys[i][2:], [{"a": -(int(e) - 1), "b": LENGTH - int(s)} for s, e in zip(edges[::2], edges[1::2], strict=True)]))
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _FOUND.types, strict=True)] if out else [pa.array([], t) for t in _FOUND.types], schema=_FOUND)
 
 
+_GROUPED = ("k", "d0", "d1", "c1", "c2", "n", "nleft", "context")
+
+
 def _sort_groups(batches):
-    """Rows sorted by h: whole groups, CHUNK contexts or more at a time."""
+    """Rows sorted by k: whole groups, CHUNK contexts or more at a time."""
     held: list[tuple] = []
     for batch in batches:
-        held += zip(*(batch.column(c).to_pylist() for c in ("h", "c1", "c2", "n", "nleft", "context")), strict=True)
+        held += zip(*(batch.column(c).to_pylist() for c in _GROUPED), strict=True)
         if len(held) >= CHUNK and held[0][0] != held[-1][0]:
             at = len(held) - 1
             while held[at - 1][0] == held[-1][0]:
@@ -257,16 +340,23 @@ def _sort_groups(batches):
         yield _spans(held)
 
 
-def _counted_strings(contexts: DataFrame) -> DataFrame:
-    """Spans of contexts of oversized groups: every string around the anchor by its digest, counted over all."""
-    d = F.explode(F.sequence(F.greatest(F.lit(0), F.lit(LENGTH) - (F.length("context") - F.col("nleft"))), F.least(F.col("nleft"), F.lit(LEFT))))
-    one = contexts.where(F.greatest(F.lit(0), F.lit(LENGTH) - (F.length("context") - F.col("nleft"))) <= F.least(F.col("nleft"), F.lit(LEFT)))
-    one = one.select("h", "c1", "c2", "n", "nleft", "context", d.alias("d"))
-    one = one.select("h", "c1", "c2", "n", "d", F.unhex(F.md5(F.expr(f"substring(context, nleft - d + 1, {LENGTH})"))).alias("key"))
-    twice = one.groupBy("h", "d", "key").agg(F.sum("n").alias("times")).where("times > 1").select("h", "d", "key")
-    hit = one.join(twice, ["h", "d", "key"])
-    span = F.struct((-F.col("d")).cast("int").alias("a"), (F.lit(LENGTH) - F.col("d")).cast("int").alias("b"))
-    return hit.groupBy("h", "c1", "c2").agg(F.collect_list(span).alias("spans"))  # LEFT + 1 at most
+def _halves(groups: DataFrame) -> DataFrame:
+    """The groups' contexts in groups of the lower and the upper half of d0 to d1, by all bytes that a half's strings
+    share; contexts too short for a half are not in it."""
+    middle = F.floor((F.col("d0") + F.col("d1")) / 2).cast("int")
+    half = F.explode(F.array(F.struct(F.col("d0").alias("a"), middle.alias("b")), F.struct((middle + 1).alias("a"), F.col("d1").alias("b"))))
+    rows = groups.select("c1", "c2", "n", "nleft", "context", half.alias("half")).select("c1", "c2", "n", "nleft", "context", F.col("half.a").alias("d0"), F.col("half.b").alias("d1"))
+    rows = rows.where(f"d0 <= d1 and d0 <= nleft and length(context) - nleft >= {LENGTH} - d1")
+    bytes_ = F.expr(f"substring(context, nleft - d0 + 1, d0 + {LENGTH} - d1)")
+    return rows.select(F.xxhash64("d0", bytes_).alias("k"), "d0", "d1", "c1", "c2", "n", "nleft", "context")
+
+
+def _one_string(groups: DataFrame) -> DataFrame:
+    """Spans of the contexts of groups of a single d: the string's 128-bit digest, counted over all contexts."""
+    one = groups.select("d0", "c1", "c2", "n", F.unhex(F.md5(F.expr(f"substring(context, nleft - d0 + 1, {LENGTH})"))).alias("key"))
+    twice = one.groupBy("d0", "key").agg(F.sum("n").alias("times")).where("times > 1").select("d0", "key")
+    span = F.struct((-F.col("d0")).alias("a"), (F.lit(LENGTH) - F.col("d0")).cast("int").alias("b"))
+    return one.join(twice, ["d0", "key"], "left_semi").select("c1", "c2", F.array(span).alias("spans"))
 
 
 def _cut(batches):
@@ -278,7 +368,7 @@ def _cut(batches):
         rows = []
         for doc_id, packed_, spans in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "packed", "spans")), strict=True):
             raw = codec.decompress(packed_)
-            kept, runs = kept_bytes(raw, [(s["a"], s["b"]) for s in spans or ()])
+            kept, runs = kept_bytes(raw, [*((s["a"], s["b"]) for s in spans or ()), *periodic_runs(raw)])
             rows.append((doc_id, len(raw), len(raw) - len(kept), runs, hashlib.sha256(kept).hexdigest()))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)] if rows else [pa.array([], t) for t in schema.types], schema=schema)
 
@@ -295,22 +385,36 @@ def kept_bytes(raw: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int]:
 
 
 def repeated_spans(docs: DataFrame, max_group: int = MAX_GROUP) -> DataFrame:
-    """(dk, tk, spans): per document, by keys(), the byte spans that repeated strings cover around each anchor."""
+    """(dk, tk, spans): per document, by keyed(), the byte spans that repeated strings cover around each anchor. Every
+    table is deleted once the next one is there."""
     small_batches(docs.sparkSession)
-    marks = written(docs.mapInArrow(_emit_anchors, "dk long, tk long, h long, pos int"), "anchors")
-    seen = marks.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    by_doc = marks.join(seen, "h", "left_semi").groupBy("dk", "tk").agg(F.collect_set(F.struct("pos", "h")).alias("marks"))
-    places = written(packed(docs).join(by_doc, ["dk", "tk"]).mapInArrow(_emit_contexts, "dk long, tk long, pos int, h long, c1 long, c2 long, nleft int, context binary"), "contexts")
-    counts = places.groupBy("h", "c1", "c2").agg(F.count("*").alias("n"))
-    contexts = places.where("context is not null").select("h", "c1", "c2", "nleft", "context").join(counts, ["h", "c1", "c2"])
-    large = [r["h"] for r in counts.groupBy("h").agg(F.count("*").alias("m")).where(F.col("m") > max_group).select("h").collect()]  # one in max_group contexts at most
-    usual = contexts.where(~F.col("h").isin(large)) if large else contexts
-    found = usual.repartition("h").sortWithinPartitions("h").select("h", "c1", "c2", "n", "nleft", "context").mapInArrow(_sort_groups, _FOUND_DDL)
-    if large:
-        found = found.unionByName(_counted_strings(contexts.where(F.col("h").isin(large)).dropDuplicates(["h", "c1", "c2"])))
-    hits = places.select("dk", "tk", "pos", "h", "c1", "c2").join(found, ["h", "c1", "c2"])
+    every = written(docs.mapInArrow(_emit_anchors, "dk long, tk long, h long, pos int"), "anchors")
+    seen = every.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    marks = written(every.join(seen, "h", "left_semi").groupBy("dk", "tk").agg(F.collect_set(F.struct("pos", "h")).alias("marks")), "marks")
+    dropped(every)
+    places = written(packed(docs).join(marks, ["dk", "tk"]).mapInArrow(_emit_contexts, _PLACES_DDL), "contexts")
+    dropped(marks)
+    groups, parts, done = places.where("pos is null").select("k", F.lit(0).alias("d0"), F.lit(LEFT).alias("d1"), *_GROUPED[3:]), [], []
+    while True:
+        large = written(groups.groupBy("k").agg(F.count("*").alias("m")).where(F.col("m") > max_group).select("k"), "large")
+        some = not large.isEmpty()
+        usual = groups.join(large, "k", "left_anti") if some else groups
+        parts.append(written(usual.repartition("k").sortWithinPartitions("k").select(*_GROUPED).mapInArrow(_sort_groups, _FOUND_DDL), "found"))
+        if not some:
+            dropped(large, *done)
+            break
+        halves = written(_halves(groups.join(large, "k", "left_semi")), "halves")
+        dropped(large, *done)
+        done, ends = [halves], halves.where("d0 = d1")
+        if not ends.isEmpty():
+            parts.append(written(_one_string(ends), "found"))
+        groups = halves.where("d0 < d1")
+    found = reduce(DataFrame.unionByName, parts)
+    hits = places.where("pos is not null").select("dk", "tk", "pos", "c1", "c2").join(found, ["c1", "c2"])
     one = hits.select("dk", "tk", "pos", F.explode("spans").alias("s")).select("dk", "tk", F.struct((F.col("pos") + F.col("s.a")).alias("a"), (F.col("pos") + F.col("s.b")).alias("b")).alias("s"))
-    return one.groupBy("dk", "tk").agg(F.collect_set("s").alias("spans"))
+    spans = written(one.groupBy("dk", "tk").agg(F.collect_set("s").alias("spans")), "spans")
+    dropped(places, *parts)
+    return spans
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -319,11 +423,10 @@ def keyed(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "text", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("dk"), F.xxhash64(F.lit(8), "text").alias("tk"))
 
 
-def drop_repeats(docs: DataFrame) -> DataFrame:
+def drop_repeats(docs: DataFrame, max_group: int = MAX_GROUP) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every document."""
     rows = keyed(docs)
-    spans = written(repeated_spans(rows), "spans")
-    cut = packed(rows).join(spans, ["dk", "tk"], "left").select("doc_id", "packed", "spans")
+    cut = packed(rows).join(repeated_spans(rows, max_group), ["dk", "tk"], "left").select("doc_id", "packed", "spans")
     return cut.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 

@@ -138,17 +138,30 @@ def brute_repeats(texts):
     return out
 
 
-@pytest.mark.parametrize("max_group", [50_000, 2])
+@pytest.mark.parametrize("max_group", [32_768, 40, 2])
 def test_suffixes(spark, docs, empty, max_group):
-    all_ = docs.collect()
+    passage = prose(26, 8)
+    more = spark.createDataFrame([(50 + i, prose(3 + i, 60 + i) + passage + prose(30, 90 + i) + ("=-" * (700 * i) if i < 6 else "")) for i in range(60)], "doc_id long, text string")
+    all_ = [*docs.select("doc_id", "text").collect(), *more.collect()]
     want = Counter((r.doc_id, *w) for r, w in zip(all_, brute_repeats([r.text for r in all_]), strict=True))
-    keyed = suffixes.keyed(docs)
-    spans = suffixes.repeated_spans(keyed, max_group)
-    got = suffixes.packed(keyed).join(spans, ["dk", "tk"], "left").select("doc_id", "packed", "spans").mapInArrow(suffixes._cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    got = suffixes.drop_repeats(docs.select("doc_id", "text").union(more).repartition(3), max_group)
     assert Counter(map(tuple, got.collect())) == want
     assert suffixes.drop_repeats(empty).count() == 0
 
 
+def test_very_long_runs_and_pieces(spark, monkeypatch):
+    long = "x" * 3_000_000
+    rows_ = [(0, long), (1, prose(300, 1) + "x" * 250), (2, prose(40, 2) + "-=" * 4000), (3, "-=" * 110 + prose(90, 3))]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in suffixes.drop_repeats(spark.createDataFrame(rows_, "doc_id long, text string")).collect()}
+    want = [(n, k, s) for n, k, s, _ in brute_repeats([t[:5000] if i == 0 else t for i, t in rows_])]
+    assert got[0] == (3_000_000, 3_000_000, 1) and [got[i] for i in (1, 2, 3)] == want[1:]
+    assert len(suffixes.anchors(long.encode())[0]) < 2000
+    raw = (prose(3000, 4) + "ab" * 3000 + prose(900, 5)).encode()
+    whole = suffixes.anchors(raw)
+    monkeypatch.setattr(suffixes, "PIECE", 700)
+    assert all(np.array_equal(a, b) for a, b in zip(whole, suffixes.anchors(raw), strict=True))
+
+
 def test_deep_shallow_sort():
     rng = np.random.default_rng(0)
     long = bytes(rng.integers(97, 100, 150, dtype=np.uint8))
