@@ -5,6 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,6 +68,13 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the files that a DataFrame reads, as far as Spark knows them."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(s for s in sizes if s < 1 << 60)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -83,3 +93,45 @@ def bucket_of(key: str, bounds: list[int]):
         return F.lit(0)
     cuts = F.array(*[F.lit(b).cast("long") for b in bounds])
     return F.size(F.filter(cuts, lambda c: c <= F.col(key)))
+
+
+def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """(offsets, codes, words): text i, split at spaces, is words[c] for c in codes[offsets[i]:offsets[i + 1]]."""
+    lists = pc.split_pattern(texts, " ")
+    coded = lists.values.dictionary_encode()
+    return lists.offsets.to_numpy(), coded.indices.to_numpy(), coded.dictionary.to_pylist()
+
+
+class IdLists:
+    """Lists of ids by their keys, in arrays, so that many keys' lists are put together at once."""
+
+    def __init__(self):
+        self.index: dict[str, int] = {}
+        self.ids, self.used = np.empty(1 << 16, np.int32), 0
+        self.starts, self.lengths = np.empty(1 << 12, np.int64), np.empty(1 << 12, np.int64)
+
+    def add(self, keys: list[str], lengths: np.ndarray, ids: np.ndarray) -> None:
+        """New keys, the lengths of their lists, and the lists one after another."""
+        n, m = len(self.index), len(self.index) + len(keys)
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+        while m > len(self.starts):
+            self.starts, self.lengths = (np.concatenate([x, np.empty_like(x)]) for x in (self.starts, self.lengths))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.lengths[n:m] = lengths
+        self.starts[n:m] = self.used + np.cumsum(lengths) - lengths
+        self.used += len(ids)
+        self.index.update(zip(keys, range(n, m), strict=True))
+
+    def gather(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(lengths, ids) of the lists with these numbers."""
+        lengths = self.lengths[which]
+        ends = np.cumsum(lengths)
+        total = int(ends[-1]) if len(ends) else 0
+        return lengths, self.ids[np.repeat(self.starts[which] - (ends - lengths), lengths) + np.arange(total)]
+
+
+def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Sum of values[offsets[i]:offsets[i + 1]] for each i."""
+    total = np.concatenate([np.zeros(1, values.dtype), np.cumsum(values)])
+    return total[offsets[1:]] - total[offsets[:-1]]

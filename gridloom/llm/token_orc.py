@@ -16,16 +16,19 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucket_of, partitions, range_bounds, shared_path, small_batches, table
+from .common import IdLists, input_bytes, partitions, shared_path, small_batches, split_words, sums, table
 
 END_ID = 0
-#: Chunks in the younger half of a Python worker's cache; results do not depend on it.
-CACHE_CHUNKS = 600_000
-#: Characters of texts whose new chunks are looked up together, and chunks given to the library in a call.
-GROUP_CHARS, JOINED = 1 << 21, 4096
+#: Chunks, and ids of chunks, of a Python worker's table, which then starts anew; results do not depend on it.
+CACHE_CHUNKS, CACHE_IDS = 600_000, 1 << 24
+#: Bytes of texts encoded together, and chunks given to the library in a call; results depend on neither.
+GROUP_BYTES, JOINED = 8 << 20, 4096
+#: Bytes of text for a file and its task.
+FILE_BYTES, MAX_FILES = 256 << 20, 1 << 19
 ORC_OPTIONS = {
     "orc.bloom.filter.columns": "doc_id",
     "orc.bloom.filter.fpp": "0.01",
@@ -35,8 +38,12 @@ ORC_OPTIONS = {
     "compression": "zstd",
 }
 MIN_LONG = -(1 << 63)
+#: White space as Python has it, which holds all that the pre-tokenizer takes for it, for RE2.
+_WHITE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: A space between white space: there a cut before the space could part a run that the tokenizer keeps whole.
-UNSAFE, SPACES = re.compile(r"\s \s"), re.compile(r"\s")
+UNSAFE = f"{_WHITE} {_WHITE}"
+#: The other places before spaces.
+CUT, SPACES = re.compile(r"(?<!\s)(?= )|(?= (?!\s))"), re.compile(r"\s")
 
 
 class ChunkEncoder:
@@ -58,59 +65,71 @@ class ChunkEncoder:
         self.lengths = np.zeros(max(vocab.values()) + 1, dtype=np.int64)  # a byte-level token has a character a byte
         for token, i in vocab.items():
             self.lengths[i] = len(token)
-        self.cache: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def whole(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def chunks(self, text: str) -> list[str] | None:
-        """A text's chunks, or none if a cut could part a run of white space or the text holds an added token."""
-        if UNSAFE.search(text) or self.added and self.added.search(text):
-            return None
-        return text.replace(" ", "\0 ").split("\0") if "\0" not in text else [c if i == 0 else " " + c for i, c in enumerate(text.split(" "))]
-
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        return next(self.encode_all([text]))
-
-    def encode_all(self, texts: list[str | None]):
-        """The ids of each text; null is empty. New chunks of a group of texts are encoded together."""
-        group, chars = [], 0
-        for k, text in enumerate(texts, 1):
-            group.append((text or "", self.chunks(text or "")))
-            chars += len(text or "")
-            if chars >= GROUP_CHARS or k == len(texts):
-                self.learn([chunks for _, chunks in group if chunks is not None])
-                for own, chunks in group:
-                    yield self.whole(own) if chunks is None else b"".join(map(self.cache.__getitem__, chunks))
-                group, chars = [], 0
-
-    def learn(self, texts: list[list[str]]) -> None:
-        """Keep the chunks of these texts; new ones without inner white space are encoded in long texts, whose ids
-        are parted by their bytes."""
-        if len(self.cache) > CACHE_CHUNKS:
-            self.cache, self.old = {}, self.cache
-        cache, old, plain, other = self.cache, self.old, [], []
-        for c in set().union(*texts).difference(cache):
-            if (e := old.get(c)) is not None:
-                cache[c] = e
-            elif c[:1] == " " and len(c) > 1 and not SPACES.search(c, 1):
-                plain.append(c)
-            else:
-                other.append(c)
+        self.table = IdLists()
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.int32)
+
+    def encode(self, text: str) -> np.ndarray:
+        return self.encode_all(pa.array([text], pa.string()))[1]
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each text, all ids); null is empty."""
+        if len(self.table.index) > CACHE_CHUNKS or self.table.used > CACHE_IDS:
+            self.table = IdLists()
+        texts = pc.fill_null(texts, "")
+        odd = pc.match_substring_regex(texts, UNSAFE)
+        if self.added:
+            odd = pc.or_(odd, pc.match_substring_regex(texts, self.added.pattern))
+        odd = odd.to_numpy(zero_copy_only=False)
+        counts, ids = self._plain(texts.filter(pa.array(~odd)) if odd.any() else texts)
+        if not odd.any():
+            return counts, ids
+        every = np.zeros(len(texts), np.int64)
+        every[~odd] = counts
+        plain, ends, parts = np.flatnonzero(~odd), np.cumsum(counts), [ids[:0]] * len(texts)
+        for i, a, b in zip(plain.tolist(), (ends - counts).tolist(), ends.tolist(), strict=True):
+            parts[i] = ids[a:b]
+        for i in np.flatnonzero(odd).tolist():
+            text = texts[i].as_py()
+            parts[i] = self.whole(text) if self.added and self.added.search(text) else self.table.gather(self._numbers(CUT.split(text)))[1]
+            every[i] = len(parts[i])
+        return every, np.concatenate(parts)
+
+    def _plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """encode_all of texts that can be cut before every space."""
+        offsets, codes, words = split_words(texts)
+        if not len(codes):
+            return np.zeros(len(texts), np.int64), np.zeros(0, np.int32)
+        first = [words[c] for c in codes[offsets[:-1]].tolist()]
+        numbers = self._numbers([" " + w for w in words])[codes]
+        numbers[offsets[:-1]] = self._numbers(first)
+        lengths, ids = self.table.gather(numbers)
+        return sums(lengths, offsets), ids
+
+    def _numbers(self, chunks: list[str]) -> np.ndarray:
+        """The chunks' numbers in the table; new ones are learned."""
+        get = self.table.index.get
+        got = list(map(get, chunks))
+        if None in got:
+            self.learn({c for c, g in zip(chunks, got, strict=True) if g is None})
+            got = list(map(get, chunks))
+        return np.array(got, dtype=np.int64)
+
+    def learn(self, chunks: set[str]) -> None:
+        """Put chunks in the table; those without inner white space are encoded in long texts, whose ids are parted by
+        their bytes."""
+        plain = [c for c in chunks if c[:1] == " " and len(c) > 1 and not SPACES.search(c, 1)]
+        other = list(chunks.difference(plain))
         for at in range(0, len(other), JOINED):
             part = other[at : at + JOINED]
-            for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                cache[c] = np.asarray(e.ids, dtype="<u4").tobytes()
+            ids = [np.asarray(e.ids, dtype=np.int32) for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            self.table.add(part, np.array(list(map(len, ids))), np.concatenate(ids))
         for at in range(0, len(plain), JOINED):
             part = plain[at : at + JOINED]
-            ids = np.asarray(self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = 4 * (np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum([len(c.encode()) for c in part])) + 1)
-            data, start = ids.tobytes(), 0
-            for c, end in zip(part, ends.tolist(), strict=True):
-                cache[c] = data[start:end]
-                start = end
+            ids = np.asarray(self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, dtype=np.int32)
+            ends = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum([len(c.encode()) for c in part])) + 1
+            self.table.add(part, np.diff(ends, prepend=0), ids)
 
 
 @lru_cache(maxsize=1)
@@ -120,49 +139,68 @@ def _chunk_encoder(path: str) -> ChunkEncoder:
 
 
 def _encoder(path: str):
+    """A task's rows in order, all of one block."""
+    schema = pa.schema([("doc_id", pa.int64()), ("block", pa.int32()), ("block_start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
+
     def run(batches):
-        encoder, start, block = _chunk_encoder(path), 0, None
-        schema = pa.schema([("doc_id", pa.int64()), ("block", pa.int32()), ("block_start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
+        encoder, start, held, size = _chunk_encoder(path), 0, [], 0
+
+        def packed(group: list[pa.RecordBatch]) -> pa.RecordBatch:
+            nonlocal start
+            rows = pa.Table.from_batches(group).combine_chunks()
+            doc_id, block, text = (rows.column(c).chunk(0) for c in ("doc_id", "block", "text"))
+            counts, ids = encoder.encode_all(text)
+            values = np.full(len(ids) + len(counts), END_ID, dtype=np.int32)
+            values[np.arange(len(ids)) + np.repeat(np.arange(len(counts)), counts)] = ids
+            counts = counts + 1
+            ends = np.cumsum(counts)
+            starts, start = start + ends - counts, start + int(ends[-1])
+            offsets = np.concatenate([[0], ends]).astype(np.int32)
+            return pa.RecordBatch.from_arrays([doc_id, block, pa.array(starts), pa.array(counts), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], schema=schema)
+
         for batch in batches:
-            blocks, starts, counts, parts = batch.column("block").to_pylist(), [], [], []
-            for b, got in zip(blocks, encoder.encode_all(batch.column("text").to_pylist()), strict=True):
-                if b != block:
-                    block, start = b, 0
-                ids = got + END_ID.to_bytes(4, "little")
-                parts.append(ids)
-                starts.append(start)
-                counts.append(len(ids) // 4)
-                start += len(ids) // 4
-            offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-            values = pa.array(np.frombuffer(b"".join(parts), dtype="<i4"))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("block"), pa.array(starts, pa.int64()), pa.array(counts, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), values)], schema=schema)
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.nbytes
+            if size > GROUP_BYTES:
+                yield packed(held)
+                held, size = [], 0
+        if held:
+            yield packed(held)
 
     return run
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str) -> None:
-    """Write (doc_id, block, block_start, n_tokens, ids) as ORC, files and rows in ascending doc_id order."""
+    """Write (doc_id, block, block_start, n_tokens, ids) as ORC, files (blocks) and rows in ascending doc_id order."""
     spark = docs.sparkSession
     small_batches(spark)
-    n = partitions(spark)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     keyed = keyed.withColumn("key", F.coalesce("doc_id", F.lit(MIN_LONG)))
-    keyed = keyed.withColumn("block", bucket_of("key", range_bounds(keyed.where("doc_id is not null"), "key", n)))
-    dealt = keyed.repartitionById(n, "block").sortWithinPartitions("block", "key", F.xxhash64("text"))
-    out = dealt.select("doc_id", "block", "text").mapInArrow(_encoder(tokenizer_path), "doc_id long, block int, block_start long, n_tokens long, ids array<int>")
+    n = max(partitions(spark), min(-(-input_bytes(docs) // FILE_BYTES), MAX_FILES))
+    dealt = keyed.repartitionByRange(n, "key").sortWithinPartitions("key", F.xxhash64("text"))
+    out = dealt.select("doc_id", F.spark_partition_id().alias("block"), "text").mapInArrow(_encoder(tokenizer_path), "doc_id long, block int, block_start long, n_tokens long, ids array<int>")
     out.write.options(**ORC_OPTIONS).orc(path)
 
 
+def _blocks(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("doc_id long, block int, block_start long, n_tokens long, ids array<int>").orc(path)
+
+
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids): start counts the ids of all documents before, in file order."""
-    rows = spark.read.schema("doc_id long, block int, block_start long, n_tokens long, ids array<int>").orc(path)
-    sums = {r["block"]: r["n"] for r in rows.groupBy("block").agg(F.sum("n_tokens").alias("n")).collect()}  # one row a file
-    offsets, total = [], 0
-    for b in range(max(sums, default=-1) + 1):
-        offsets.append(F.lit(total).cast("long"))
-        total += sums.get(b, 0)
-    start = F.element_at(F.array(*offsets), F.col("block") + 1) + F.col("block_start") if offsets else F.lit(0).cast("long")
-    return rows.select("doc_id", start.alias("start"), "n_tokens", "ids")
+    rows = _blocks(spark, path)
+    sizes = sorted((r["block"], r["n"]) for r in rows.groupBy("block").agg(F.sum("n_tokens").alias("n")).collect())  # one row a file
+    before = np.cumsum([0, *(n for _, n in sizes)]).tolist()
+    offsets = spark.createDataFrame([(b, x) for (b, _), x in zip(sizes, before, strict=False)], "block int, before long")
+    rows = rows.join(F.broadcast(offsets), "block")  # MAX_FILES rows at most
+    return rows.select("doc_id", (F.col("before") + F.col("block_start")).alias("start"), "n_tokens", "ids")
+
+
+def lookup(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
+    """(doc_id, n_tokens, ids) of some documents: stripes and row groups that cannot hold them, by their statistics and
+    Bloom filters, are not read."""
+    return _blocks(spark, path).where(F.col("doc_id").isin(doc_ids)).select("doc_id", "n_tokens", "ids")
 
 
 def _checksums(batches):
