@@ -8,8 +8,8 @@ word's best path and what its second best loses are known; among a text's N best
 least can change, so the A-star search runs on those, and the text's N best are merged from their lists. The output has
 the best path's ids and what each other path changes in them; path_ids() puts a path together.
 
-Piece scores are the model file's, or (scores="zipf", the default) the logarithm of 1 / (rank + 1): a BPE file holds
-merge ranks rather than log probabilities. Uncovered characters become byte pieces at a penalty, as the library does it.
+Piece scores are the model file's, or with scores="zipf" the logarithm of 1 / (rank + 1): a BPE file holds merge ranks
+rather than log probabilities. Uncovered characters become byte pieces at a penalty, as the library does it.
 Of equal scores the best path is the one with fewer pieces, then smaller ids; the others come in a fixed order.
 
 Cases: null text is empty: no pieces, one path of score 0; spaces are kept as they are, with a mark before the first;
@@ -30,17 +30,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import IdLists, small_batches, split_words, sums, table
 
 N_BEST = 4
 MARK = "▁"
 #: What an uncovered character costs beyond the worst piece.
 UNKNOWN_PENALTY = 10.0
-#: Words in the younger half of a Python worker's cache; longer words than LONG_WORD are not kept.
-CACHE_WORDS, LONG_WORD = 400_000, 64
-#: Characters of texts whose new words are looked up together, and the least words of a length worth a joint pass;
-#: results depend on neither.
-GROUP_CHARS, GROUP_WORDS = 1 << 21, 8
+#: Words, and ids of words, of a Python worker's table, which then starts anew; words beyond LONG_WORD go another way.
+CACHE_WORDS, CACHE_IDS, LONG_WORD = 800_000, 1 << 24, 64
+#: Bytes of texts encoded together, and the least words of a length worth a joint pass; results depend on neither.
+GROUP_BYTES, GROUP_WORDS = 8 << 20, 8
 #: Ids that are decoded together; results do not depend on it.
 DECODE_IDS = 1 << 22
 INF, EPS = float("inf"), 1e-9
@@ -48,7 +47,7 @@ WORDS = re.compile(f"{MARK}+[^{MARK}]*|^[^{MARK}]+")
 
 
 class Pieces:
-    def __init__(self, path: str, scores: str = "zipf"):
+    def __init__(self, path: str, scores: str = "model"):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -74,9 +73,13 @@ class Pieces:
         self._build_trie()
         self.spaced = pa.array([x.replace(MARK, " ") for x in self.text])
         self.is_byte = np.array([b is not None for b in self.bytes])
-        self.cache: dict[str, tuple[float, float, bytes]] = {}
-        self.old: dict[str, tuple[float, float, bytes]] = {}
-        self.lists: dict[str, list[tuple[float, tuple[int, ...]]]] = {}
+        self.start_anew()
+
+    def start_anew(self) -> None:
+        """An empty table of words: their ids, best scores, losses of the second best, and some words' n best."""
+        self.table, self.names = IdLists(), []
+        self.scores = self.losses = np.empty(1 << 12)
+        self.lists: dict[int, list[tuple[float, tuple[int, ...]]]] = {}
 
     def _build_trie(self) -> None:
         """The prefixes as a trie in arrays: node 0 is empty, a step from a node by a character's class is a search in
@@ -226,28 +229,34 @@ class Pieces:
             out[k] = (*out[k][:2], np.array(path(n, k)[1], dtype="<i4").tobytes())
         return out
 
-    def learn(self, texts: list[list[str]]) -> None:
-        """Keep the entries of the words of these texts; new words of equal length are found together."""
-        if len(self.cache) > CACHE_WORDS:
-            self.cache, self.old, self.lists = {}, self.cache, {}
+    def learn(self, words: set[str]) -> None:
+        """Put new words in the table; those of equal length are found together."""
         by_length: dict[int, list[str]] = {}
-        for w in set().union(*texts).difference(self.cache):
-            if (found := self.old.get(w)) is not None:
-                self.cache[w] = found
-            elif len(w) <= LONG_WORD:
-                by_length.setdefault(len(w), []).append(w)
-        for words in by_length.values():
-            if len(words) >= GROUP_WORDS:
-                self.cache.update(zip(words, self.viterbi_many(words), strict=True))
-
-    def entry(self, w: str) -> tuple[float, float, bytes]:
-        """Best score, loss of the second best, and ids."""
-        found = self.cache.get(w) or self.old.get(w)
-        if found is None:
-            found = self.viterbi(w) if len(w) <= LONG_WORD else self.long_word(w)
-        if len(w) <= LONG_WORD:
-            self.cache[w] = found
-        return found
+        for w in sorted(words):
+            by_length.setdefault(len(w), []).append(w)
+        for n, own in by_length.items():
+            if n > LONG_WORD:
+                got = list(map(self.long_word, own))
+            else:
+                got = self.viterbi_many(own) if len(own) >= GROUP_WORDS else list(map(self.viterbi, own))
+            score, loss, ids = zip(*got, strict=True)
+            at = len(self.names)
+            self.names += own
+            self.table.add(own, np.array([len(x) // 4 for x in ids]), np.frombuffer(b"".join(ids), dtype="<i4"))
+            while len(self.names) > len(self.scores):
+                self.scores, self.losses = (np.concatenate([x, np.empty_like(x)]) for x in (self.scores, self.losses))
+            if self.losses is self.scores:
+                self.losses = self.scores.copy()
+            self.scores[at : len(self.names)], self.losses[at : len(self.names)] = score, loss
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        """The words' numbers in the table; new ones are learned."""
+        get = self.table.index.get
+        got = list(map(get, words))
+        if None in got:
+            self.learn({w for w, g in zip(words, got, strict=True) if g is None})
+            got = list(map(get, words))
+        return np.array(got, dtype=np.int64)
 
     def long_word(self, w: str) -> tuple[float, float, bytes]:
         """As viterbi, by the search: paths of long words are too long to carry along."""
@@ -255,54 +264,59 @@ class Pieces:
         return paths[0][0], paths[0][0] - paths[1][0] if len(paths) > 1 else INF, np.asarray(paths[0][1], dtype="<i4").tobytes()
 
     def words(self, text: str) -> list[str]:
-        if "  " in text or MARK in text or text[0] == " " or text[-1] == " ":
-            return WORDS.findall(MARK + text.replace(" ", MARK))
-        return (MARK + text.replace(" ", " " + MARK)).split(" ")
-
-    def grouped(self, texts: list[str | None]):
-        """(text, its words) of each text, after the words of a group of texts are learned; null is empty."""
-        group, chars = [], 0
-        for k, text in enumerate(texts, 1):
-            group.append((text or "", self.words(text) if text else []))
-            chars += len(text or "")
-            if chars >= GROUP_CHARS or k == len(texts):
-                self.learn([words for _, words in group])
-                yield from group
-                group, chars = [], 0
-
-    def encode(self, text: str, n: int = N_BEST, words: list[str] | None = None) -> tuple[np.ndarray, list[float], list[dict[int, tuple[int, ...]]], list[str], bool]:
-        """Ids of the best path, the N best scores, the words changed in each of the N paths, the words, and whether
-        the best path decodes to the text."""
-        out = self.paths(text, n, words)
-        return *out[:4], self.decode(out[0].tolist()) == (text or "").replace(MARK, " ")
-
-    def paths(self, text: str, n: int = N_BEST, words: list[str] | None = None) -> tuple:
-        """encode without the decoding, which decode_all does for many texts, and with each path's changed words as
-        (first id in the best path, ids there, own ids), in rising order."""
-        if not text:
-            return np.zeros(0, np.int32), [0.0], [{}], [], [[]]
-        if words is None:
-            self.learn([words := self.words(text)])
-        got = list(map(self.cache.get, words))
-        if None in got:
-            got = [self.entry(w) if e is None else e for w, e in zip(words, got, strict=True)]
-        scores, loss, parts = zip(*got, strict=True)
-        total, ids = sum(scores), np.frombuffer(b"".join(parts), dtype="<i4")
-        few = heapq.nsmallest(n - 1, range(len(loss)), key=loss.__getitem__)  # equal losses: the first words
-        paths: list[tuple[float, dict]] = [(0.0, {})]
-        for i in few:
-            options = self.lists.get(words[i])
-            if options is None:
-                options = self.n_best(words[i], n)
-                if len(words[i]) <= LONG_WORD:
-                    self.lists[words[i]] = options
-            paths = sorted(((s + options[0][0] - p, c | {i: ids_} if k else c) for s, c in paths for k, (p, ids_) in enumerate(options)), key=lambda x: x[0])[:n]
-        starts, at, word = {}, 0, 0
-        for i in sorted({i for _, c in paths for i in c}):
-            at, word = at + sum(map(len, parts[word:i])), i
-            starts[i] = at // 4, len(parts[i]) // 4
-        spans = [[(*starts[i], c[i]) for i in sorted(c)] for _, c in paths]
-        return ids, [total - s for s, _ in paths], [c for _, c in paths], words, spans
+        return WORDS.findall(MARK + text.replace(" ", MARK)) if text else []
+
+    def in_words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(offsets, numbers) of the words of each text."""
+        odd = pc.equal(pc.binary_length(texts), 0)
+        for found in (pc.match_substring(texts, "  "), pc.match_substring(texts, MARK), pc.starts_with(texts, " "), pc.ends_with(texts, " ")):
+            odd = pc.or_(odd, found)
+        odd = odd.to_numpy(zero_copy_only=False)
+        offsets, codes, words = split_words(texts.filter(pa.array(~odd)) if odd.any() else texts)
+        numbers = self.numbers([MARK + w for w in words])[codes] if len(codes) else np.zeros(0, np.int64)
+        if not odd.any():
+            return offsets.astype(np.int64), numbers
+        parts = [numbers[:0]] * len(texts)
+        for i, a, b in zip(np.flatnonzero(~odd).tolist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            parts[i] = numbers[a:b]
+        for i in np.flatnonzero(odd).tolist():
+            parts[i] = self.numbers(self.words(texts[i].as_py()))
+        return np.cumsum([0, *map(len, parts)]), np.concatenate(parts)
+
+    def encode_all(self, texts: pa.Array, n: int = N_BEST) -> tuple[np.ndarray, np.ndarray, list[list[float]], list[list[list[tuple]]]]:
+        """(number of ids of each text's best path, all ids, its n best scores, each path's changes); null is empty.
+        Changes are (first id in the best path, ids there, own ids), in rising order."""
+        if len(self.names) > CACHE_WORDS or self.table.used > CACHE_IDS:
+            self.start_anew()
+        offsets, numbers = self.in_words(pc.fill_null(texts, ""))
+        lengths, ids = self.table.gather(numbers)
+        firsts = np.cumsum(lengths) - lengths
+        score, loss = self.scores[numbers], self.losses[numbers]
+        totals, full = np.zeros(len(texts)), offsets[1:] > offsets[:-1]
+        if full.any():
+            totals[full] = np.add.reduceat(score, offsets[:-1][full])
+        best, changed = [], []
+        for a, b, total in zip(offsets[:-1].tolist(), offsets[1:].tolist(), totals.tolist(), strict=True):
+            few = np.arange(a, b)
+            if b - a >= n:  # the words that lose least; of equal losses the first words
+                own = loss[a:b]
+                few = a + np.flatnonzero(own <= np.partition(own, n - 2)[n - 2]) if n > 1 else few[:0]
+            few = few[np.argsort(loss[few], kind="stable")][: n - 1]
+            paths: list[tuple[float, dict]] = [(0.0, {})]
+            for i, k in zip(few.tolist(), numbers[few].tolist(), strict=True):
+                options = self.lists.get(k)
+                if options is None:
+                    options = self.lists[k] = self.n_best(self.names[k], n)
+                paths = sorted(((s + options[0][0] - p, c | {i: x} if j else c) for s, c in paths for j, (p, x) in enumerate(options)), key=lambda x: x[0])[:n]
+            best.append([total - s for s, _ in paths])
+            spans = {i: (int(firsts[i] - firsts[a]), int(lengths[i])) for i in {i for _, c in paths for i in c}}
+            changed.append([[(*spans[i], c[i]) for i in sorted(c)] for _, c in paths])
+        return sums(lengths, offsets), ids, best, changed
+
+    def encode(self, text: str | None, n: int = N_BEST) -> tuple[np.ndarray, list[float], list[list[tuple]], bool]:
+        """Ids of the best path, the n best scores, each path's changes, and whether the ids decode to the text."""
+        _, ids, best, changed = self.encode_all(pa.array([text], pa.string()), n)
+        return ids, best[0], changed[0], self.decode(ids.tolist()) == (text or "").replace(MARK, " ")
 
     def decode(self, ids: list[int]) -> str:
         """The text of a path: byte pieces as UTF-8, marks as spaces, without the first."""
@@ -375,25 +389,33 @@ def _pieces(path: str, scores: str) -> Pieces:
 def _encode(path: str, n: int, scores: str, keep: list[str]):
     def run(batches):
         pieces = _pieces(path, scores)
-        for batch in batches:
-            ids, lists, changed = [], [], []
-            for text, words in pieces.grouped(batch.column("text").to_pylist()):
-                got, best, _, _, spans = pieces.paths(text, n, words)
-                ids.append(got)
-                lists.append(best)
-                changed.append(spans)
-            counts = [len(x) for x in ids]
+
+        def packed(group: list[pa.RecordBatch]) -> pa.RecordBatch:
+            rows = pa.Table.from_batches(group).combine_chunks().to_batches()[0]
+            text = rows.column("text").cast(pa.string())
+            counts, values, lists, changed = pieces.encode_all(text, n)
             offsets = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
-            values = np.concatenate([*ids, np.zeros(0, np.int32)]).astype(np.int32)
-            wanted = pc.replace_substring(pc.fill_null(batch.column("text").cast(pa.string()), ""), MARK, " ")
+            wanted = pc.replace_substring(pc.fill_null(text, ""), MARK, " ")
             same = pc.equal(pieces.decode_all(offsets, values), pa.chunked_array([wanted])).combine_chunks()
-            added = [pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values)), pa.array(counts, pa.int64()), pa.array(lists, _ADDED[2][1]), _changes(changed), same]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *added], names=[*keep, *(a for a, _ in _ADDED)])
+            best = _lists([len(x) for x in lists], pa.array([s for x in lists for s in x], pa.float64()))
+            added = [pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values)), pa.array(counts, pa.int64()), best, _changes(changed), same]
+            return pa.RecordBatch.from_arrays([*(rows.column(c) for c in keep), *added], names=[*keep, *(a for a, _ in _ADDED)])
+
+        held, size = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.nbytes
+            if size > GROUP_BYTES:
+                yield packed(held)
+                held, size = [], 0
+        if held:
+            yield packed(held)
 
     return run
 
 
-def encoded(docs: DataFrame, model: str, n: int = N_BEST, scores: str = "zipf") -> DataFrame:
+def encoded(docs: DataFrame, model: str, n: int = N_BEST, scores: str = "model") -> DataFrame:
     """All columns but text, and ids of the best path, n_pieces, nbest_scores (best first), nbest_changes and round_trip
     (each text's ids were decoded and gave the text; literal space marks in a text decode to spaces, as in the library).
 
@@ -408,7 +430,7 @@ def encoded(docs: DataFrame, model: str, n: int = N_BEST, scores: str = "zipf")
 
 def _decode(path: str, keep: list[str], column: str):
     def run(batches):
-        pieces = _pieces(path, "zipf")  # decoding needs no scores
+        pieces = _pieces(path, "model")  # decoding needs no scores
         for batch in batches:
             ids = batch.column(column)
             ids = ids.cast(pa.list_(pa.int32()))
