@@ -5,9 +5,14 @@ Each source has a target share of the corpus's characters; its mean repetition r
 distribution of its source's rate; the document is exploded by that count and all copies are put in the global order of
 a second MD5.
 
+A rate over PART is the sum of equal parts of at most PART, each with a hashed number of its own: a sum of Poisson numbers
+is one of the summed rates. A part's table covers 12 standard deviations on both sides of its mean, and is normalised, so
+no rate is too large or too small.
+
 Cases: null source is a source of its own; null doc_id hashes as an empty string; a null or empty text has length 0, and
 a source without characters has rate epochs; repeated rows get equal counts, each with its own copies; an empty table
-gives an empty result. Input columns named like the added ones (copy_no, shuffle_key) are replaced.
+gives an empty result. Input columns named like the added ones (copy_no, shuffle_key) are replaced; others may have any
+name.
 """
 
 from __future__ import annotations
@@ -15,14 +20,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 
 SEED = 17
 #: Target share of a source: its characters to this power, over all sources' sum.
 ALPHA = 0.7
 EPOCHS = 1.0
-#: Sources whose rates may be broadcast; with more, Spark joins them by shuffling and splits a hot source.
-MAX_BROADCAST_SOURCES = 1000
+#: Rate of a part, at most.
+PART = 2048.0
 
 
 def uniform(*parts: Column) -> Column:
@@ -35,20 +40,31 @@ def shuffle_key(*parts: Column) -> Column:
 
 
 def poisson_table(rate: Column) -> Column:
-    """Cumulative probabilities of Poisson(rate) for 0, 1, ...; beyond the last one less than 2^-53 is left."""
-    last = F.ceil(rate + 12 * F.sqrt(rate) + 24).cast("int")
-    start = F.struct(F.exp(-rate).alias("p"), F.exp(-rate).alias("c"), F.array(F.exp(-rate)).alias("a"))
+    """(first, cumulative) of Poisson(rate): the probabilities of at most first, first + 1, ...; less than 2^-53 lies
+    outside."""
+    reach = 12 * F.sqrt(rate) + 24
+    first = F.greatest(F.lit(0), F.floor(rate - reach)).cast("int")
+    start = F.struct(F.lit(1.0).alias("w"), F.lit(1.0).alias("c"), F.array(F.lit(1.0)).alias("a"))
 
     def step(acc, k):
-        p = acc["p"] * rate / k
-        return F.struct(p.alias("p"), (acc["c"] + p).alias("c"), F.concat(acc["a"], F.array(acc["c"] + p)).alias("a"))
+        w = acc["w"] * rate / k  # weights, in units of the first one's
+        return F.struct(w.alias("w"), (acc["c"] + w).alias("c"), F.concat(acc["a"], F.array(acc["c"] + w)).alias("a"))
 
-    return F.aggregate(F.sequence(F.lit(1), last), start, step, lambda acc: acc["a"])
+    cumulative = F.aggregate(F.sequence(first + 1, F.ceil(rate + reach).cast("int")), start, step, lambda acc: F.transform(acc["a"], lambda c: c / acc["c"]))
+    return F.struct(first.alias("first"), cumulative.alias("cumulative"))
 
 
-def poisson_count(u: Column, cumulative: Column) -> Column:
+def poisson_count(u: Column, table_: Column) -> Column:
     """The inverse: how many cumulative probabilities are at or below u."""
-    return F.size(F.filter(cumulative, lambda c: c <= u))
+    return table_["first"] + F.size(F.filter(table_["cumulative"], lambda c: c <= u))
+
+
+def own_name(name: str, taken: list[str]) -> str:
+    """A name that no column has."""
+    low = {c.lower() for c in taken}
+    while name in low:
+        name += "_"
+    return name
 
 
 def source_rates(docs: DataFrame, alpha: float = ALPHA, epochs: float = EPOCHS, weights: dict[str, float] | None = None) -> DataFrame:
@@ -69,14 +85,18 @@ def source_rates(docs: DataFrame, alpha: float = ALPHA, epochs: float = EPOCHS,
 def mix(docs: DataFrame, seed: int = SEED, alpha: float = ALPHA, epochs: float = EPOCHS, weights: dict[str, float] | None = None) -> DataFrame:
     """The documents' columns, copy_no (from 1) and shuffle_key, in shuffled order."""
     docs = docs.drop("copy_no", "shuffle_key")
-    rates = source_rates(docs, alpha, epochs, weights)
+    rates = source_rates(docs, alpha, epochs, weights).withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("rate") / PART)).cast("int"))
+    own = own_name("mixed", docs.columns)
+    # Written, so that Spark knows the size of one row a source, and broadcasts it below its own bound.
+    rates = written(rates.select("mix_source", "parts", poisson_table(F.col("rate") / F.col("parts")).alias("table")), "rates").select(F.struct("*").alias(own))
     ids = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    u = uniform(F.lit(str(seed)), ids)
-    few = rates.limit(MAX_BROADCAST_SOURCES + 1).collect()
-    if len(few) <= MAX_BROADCAST_SOURCES:  # counted, so the broadcast has a bound; a hot source's rows stay where they are
-        rates = F.broadcast(docs.sparkSession.createDataFrame([(r["mix_source"], r["rate"]) for r in few], "mix_source string, rate double"))
-    rates = rates.withColumn("cumulative", poisson_table(F.col("rate")))
-    counted = docs.join(rates, F.col("source").eqNullSafe(F.col("mix_source"))).withColumn("copy_no", poisson_count(u, F.col("cumulative"))).drop("mix_source", "rate", "cumulative")
+
+    def drawn(i: Column | None = None) -> Column:
+        return poisson_count(uniform(F.lit(str(seed)), ids, *([] if i is None else [i.cast("string")])), F.col(f"{own}.table"))
+
+    more = F.aggregate(F.sequence(F.lit(1), F.col(f"{own}.parts") - 1), F.lit(0), lambda n, i: n + drawn(i))
+    count = drawn() + F.when(F.col(f"{own}.parts") > 1, more).otherwise(0)
+    counted = docs.join(rates, F.col("source").eqNullSafe(F.col(f"{own}.mix_source"))).withColumn("copy_no", count).drop(own)
     copies = counted.where("copy_no > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("copy_no"))))
     copies = copies.withColumn("shuffle_key", shuffle_key(F.lit(f"{seed}s"), ids, F.col("copy_no").cast("string")))
     return copies.orderBy("shuffle_key", "doc_id", "copy_no")
@@ -101,10 +121,10 @@ cum(source, rate, k, p, c) AS (
 drawn AS (
   SELECT doc_id, source, text,
     CAST(CAST('0x' || substr(md5('{SEED}:' || COALESCE(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) AS DOUBLE)
-      / 4503599627370496.0 AS u FROM documents),
+      / 4503599627370496.0 AS u, row_number() OVER () AS row FROM documents),
 counted AS (
   SELECT d.doc_id, d.source, d.text, COUNT(*) AS n FROM drawn d JOIN cum c
-    ON d.source IS NOT DISTINCT FROM c.source AND c.c <= d.u GROUP BY d.doc_id, d.source, d.text)
+    ON d.source IS NOT DISTINCT FROM c.source AND c.c <= d.u GROUP BY d.row, d.doc_id, d.source, d.text)
 SELECT doc_id, source, CAST(copy_no AS INT) AS copy_no,
   CAST('0x' || substr(md5('{SEED}s:' || COALESCE(CAST(doc_id AS VARCHAR), '') || ':' || CAST(copy_no AS VARCHAR)), 1, 15) AS BIGINT)
     AS shuffle_key, text
