@@ -18,10 +18,12 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset."""
+    """Folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset and all is local."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not base:
         base = f"file://{tempfile.mkdtemp(prefix='gridloom-')}"
         spark.sparkContext.setCheckpointDir(base)
@@ -64,6 +66,14 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+def own_name(name: str, taken: list[str]) -> str:
+    """A name that no column has."""
+    low = {c.lower() for c in taken}
+    while name in low:
+        name += "_"
+    return name
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -95,11 +105,11 @@ def bucket_of(key: str, bounds: list[int]):
     return F.size(F.filter(cuts, lambda c: c <= F.col(key)))
 
 
-def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """(offsets, codes, words): text i, split at spaces, is words[c] for c in codes[offsets[i]:offsets[i + 1]]."""
     lists = pc.split_pattern(texts, " ")
     coded = lists.values.dictionary_encode()
-    return lists.offsets.to_numpy(), coded.indices.to_numpy(), coded.dictionary.to_pylist()
+    return lists.offsets.to_numpy(), coded.indices.to_numpy(), coded.dictionary
 
 
 class IdLists:
@@ -107,12 +117,13 @@ class IdLists:
 
     def __init__(self):
         self.index: dict[str, int] = {}
+        self.n = 0
         self.ids, self.used = np.empty(1 << 16, np.int32), 0
         self.starts, self.lengths = np.empty(1 << 12, np.int64), np.empty(1 << 12, np.int64)
 
-    def add(self, keys: list[str], lengths: np.ndarray, ids: np.ndarray) -> None:
-        """New keys, the lengths of their lists, and the lists one after another."""
-        n, m = len(self.index), len(self.index) + len(keys)
+    def append(self, lengths: np.ndarray, ids: np.ndarray) -> None:
+        """The lengths of new lists, and the lists one after another."""
+        n, m = self.n, self.n + len(lengths)
         while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
         while m > len(self.starts):
@@ -121,7 +132,11 @@ class IdLists:
         self.lengths[n:m] = lengths
         self.starts[n:m] = self.used + np.cumsum(lengths) - lengths
         self.used += len(ids)
-        self.index.update(zip(keys, range(n, m), strict=True))
+        self.n = m
+
+    def add(self, keys: list[str], lengths: np.ndarray, ids: np.ndarray) -> None:
+        self.index.update(zip(keys, range(self.n, self.n + len(keys)), strict=True))
+        self.append(lengths, ids)
 
     def gather(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(lengths, ids) of the lists with these numbers."""
@@ -131,6 +146,50 @@ class IdLists:
         return lengths, self.ids[np.repeat(self.starts[which] - (ends - lengths), lengths) + np.arange(total)]
 
 
+class WordTable:
+    """IdLists whose keys are in an Arrow array, so that many words are looked up at once. Number 0 is the empty word.
+    A look-up costs time by the table's size, so shrink() leaves the words used most."""
+
+    def __init__(self):
+        self.lists, self.keys = IdLists(), pa.array([""], pa.string())
+        self.lists.append(np.zeros(1, np.int64), np.zeros(0, np.int32))
+        self.uses = np.zeros(1, np.int64)
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def used(self, numbers: np.ndarray) -> None:
+        """Count the uses of words by their numbers."""
+        counts = np.bincount(numbers, minlength=len(self))
+        counts[: len(self.uses)] += self.uses
+        self.uses = counts
+
+    def shrink(self, keep: int) -> None:
+        """Leave about keep words, those used most; numbers change, but that of the empty word."""
+        least = np.partition(self.uses, len(self.uses) - keep)[len(self.uses) - keep] if keep < len(self.uses) else 0
+        stay = np.flatnonzero(self.uses > least)
+        stay = np.concatenate([[0], stay[stay > 0]])
+        lengths, ids = self.gather(stay)
+        keys, uses = self.keys.take(pa.array(stay)), self.uses[stay]
+        self.lists = IdLists()
+        self.lists.append(lengths, ids)
+        self.keys, self.uses = keys, uses // 2
+
+    def find(self, words: pa.Array) -> np.ndarray:
+        """The words' numbers, -1 for unknown ones."""
+        return pc.fill_null(pc.index_in(words, value_set=self.keys), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def add(self, words: pa.Array, lengths: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """New, distinct words with their lists; their numbers."""
+        at = len(self.keys)
+        self.lists.append(lengths, ids)
+        self.keys = pa.concat_arrays([self.keys, words])
+        return np.arange(at, at + len(words))
+
+    def gather(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self.lists.gather(which)
+
+
 def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Sum of values[offsets[i]:offsets[i + 1]] for each i."""
     total = np.concatenate([np.zeros(1, values.dtype), np.cumsum(values)])

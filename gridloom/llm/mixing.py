@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import own_name, table, written
 
 SEED = 17
 #: Target share of a source: its characters to this power, over all sources' sum.
@@ -59,14 +59,6 @@ def poisson_count(u: Column, table_: Column) -> Column:
     return table_["first"] + F.size(F.filter(table_["cumulative"], lambda c: c <= u))
 
 
-def own_name(name: str, taken: list[str]) -> str:
-    """A name that no column has."""
-    low = {c.lower() for c in taken}
-    while name in low:
-        name += "_"
-    return name
-
-
 def source_rates(docs: DataFrame, alpha: float = ALPHA, epochs: float = EPOCHS, weights: dict[str, float] | None = None) -> DataFrame:
     """(mix_source, rate): one row a source. weights, if given, are target shares; sources without one get none."""
     sizes = docs.groupBy(F.col("source").alias("mix_source")).agg(F.sum(F.coalesce(F.length("text"), F.lit(0))).cast("double").alias("size"))

@@ -273,7 +273,7 @@ class Pieces:
             odd = pc.or_(odd, found)
         odd = odd.to_numpy(zero_copy_only=False)
         offsets, codes, words = split_words(texts.filter(pa.array(~odd)) if odd.any() else texts)
-        numbers = self.numbers([MARK + w for w in words])[codes] if len(codes) else np.zeros(0, np.int64)
+        numbers = self.numbers([MARK + w for w in words.to_pylist()])[codes] if len(codes) else np.zeros(0, np.int64)
         if not odd.any():
             return offsets.astype(np.int64), numbers
         parts = [numbers[:0]] * len(texts)

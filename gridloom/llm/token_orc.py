@@ -13,6 +13,7 @@ import os
 import re
 import zlib
 from functools import lru_cache
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -20,13 +21,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import IdLists, input_bytes, partitions, shared_path, small_batches, split_words, sums, table
+from .common import WordTable, input_bytes, partitions, shared_path, small_batches, split_words, sums, table
 
 END_ID = 0
-#: Chunks, and ids of chunks, of a Python worker's table, which then starts anew; results do not depend on it.
-CACHE_CHUNKS, CACHE_IDS = 600_000, 1 << 24
+#: Chunks of a Python worker's table, which then keeps the KEPT used most, and ids of chunks, beyond which it starts
+#: anew; results do not depend on it.
+CACHE_CHUNKS, KEPT, CACHE_IDS = 450_000, 120_000, 1 << 23
 #: Bytes of texts encoded together, and chunks given to the library in a call; results depend on neither.
-GROUP_BYTES, JOINED = 8 << 20, 4096
+GROUP_BYTES, JOINED = 12 << 20, 4096
 #: Bytes of text for a file and its task.
 FILE_BYTES, MAX_FILES = 256 << 20, 1 << 19
 ORC_OPTIONS = {
@@ -38,20 +40,16 @@ ORC_OPTIONS = {
     "compression": "zstd",
 }
 MIN_LONG = -(1 << 63)
-#: White space as Python has it, which holds all that the pre-tokenizer takes for it, for RE2.
-_WHITE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-#: A space between white space: there a cut before the space could part a run that the tokenizer keeps whole.
-UNSAFE = f"{_WHITE} {_WHITE}"
-#: The other places before spaces.
-CUT, SPACES = re.compile(r"(?<!\s)(?= )|(?= (?!\s))"), re.compile(r"\s")
+#: Places before spaces but those between white space, where a cut could part a run that the tokenizer keeps whole.
+CUT = re.compile(r"(?<!\s)(?= )|(?= (?!\s))")
 
 
 class ChunkEncoder:
     """Byte-level BPE through the tokenizers library.
 
     The pre-tokenizer always cuts before a space that has no white space on both sides, and merges never cross such a
-    cut, so a text's ids are those of its chunks; each distinct chunk is encoded by the library once. Texts that hold an
-    added token are encoded whole.
+    cut, so a text's ids are those of its chunks, and a chunk's are those of its parts; each distinct part is encoded by
+    the library once. Texts that hold an added token are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -65,7 +63,7 @@ class ChunkEncoder:
         self.lengths = np.zeros(max(vocab.values()) + 1, dtype=np.int64)  # a byte-level token has a character a byte
         for token, i in vocab.items():
             self.lengths[i] = len(token)
-        self.table = IdLists()
+        self.table, self.tails = WordTable(), {}
 
     def whole(self, text: str) -> np.ndarray:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.int32)
@@ -75,14 +73,19 @@ class ChunkEncoder:
 
     def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(number of ids of each text, all ids); null is empty."""
-        if len(self.table.index) > CACHE_CHUNKS or self.table.used > CACHE_IDS:
-            self.table = IdLists()
+        if self.table.lists.used > CACHE_IDS:
+            self.table, self.tails = WordTable(), {}
+        elif len(self.table) > CACHE_CHUNKS:
+            self.table.shrink(KEPT)
+            self.tails = {}
         texts = pc.fill_null(texts, "")
-        odd = pc.match_substring_regex(texts, UNSAFE)
-        if self.added:
-            odd = pc.or_(odd, pc.match_substring_regex(texts, self.added.pattern))
-        odd = odd.to_numpy(zero_copy_only=False)
-        counts, ids = self._plain(texts.filter(pa.array(~odd)) if odd.any() else texts)
+        offsets, codes, words = split_words(texts)
+        offsets = offsets.astype(np.int64)
+        odd = self._odd(offsets, codes, words)
+        if odd.any():
+            codes = codes[np.repeat(~odd, np.diff(offsets))]
+            offsets = np.cumsum(np.concatenate([[0], np.diff(offsets)[~odd]]))
+        counts, ids = self._plain(offsets, codes, words)
         if not odd.any():
             return counts, ids
         every = np.zeros(len(texts), np.int64)
@@ -92,44 +95,141 @@ class ChunkEncoder:
             parts[i] = ids[a:b]
         for i in np.flatnonzero(odd).tolist():
             text = texts[i].as_py()
-            parts[i] = self.whole(text) if self.added and self.added.search(text) else self.table.gather(self._numbers(CUT.split(text)))[1]
+            parts[i] = self.whole(text) if self.added and self.added.search(text) else self._in_parts(CUT.split(text))
             every[i] = len(parts[i])
         return every, np.concatenate(parts)
 
-    def _plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """encode_all of texts that can be cut before every space."""
-        offsets, codes, words = split_words(texts)
+    def _odd(self, offsets: np.ndarray, codes: np.ndarray, words: pa.Array) -> np.ndarray:
+        """Texts, given by their words, with a space between white space, where a cut before the space could part a run
+        that the tokenizer keeps whole, or with an added token (which has no space)."""
+        flags = lambda x: pc.fill_null(x, False).to_numpy(zero_copy_only=False)
+        empty = flags(pc.equal(pc.binary_length(words), 0))
+        white = [flags(pc.utf8_is_space(pc.utf8_slice_codeunits(words, *at))) for at in ((0, 1), (-1,))]
+        begins, ends = (empty | w for w in white)
+        held = flags(pc.match_substring_regex(words, self.added.pattern)) if self.added else empty & False
+        if not (begins.any() or held.any()):
+            return np.zeros(len(offsets) - 1, dtype=bool)
+        # The space between word i - 1 and word i of a text; an empty first or last word is no white space.
+        before, after = ends[codes[:-1]], begins[codes[1:]]
+        inner = np.zeros(len(codes), dtype=bool)
+        inner[1:] = before & after
+        inner[offsets[:-1]] = False
+        first, last, none = offsets[:-1], offsets[1:] - 1, empty[codes]
+        second = first[first < last] + 1
+        inner[second] &= ~none[second - 1]
+        closing = last[first < last]
+        inner[closing] &= ~none[closing]
+        return sums((inner | held[codes]).astype(np.int64), offsets) > 0
+
+    def _plain(self, offsets: np.ndarray, codes: np.ndarray, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """encode_all of texts, given by their words, that can be cut before every space."""
         if not len(codes):
-            return np.zeros(len(texts), np.int64), np.zeros(0, np.int32)
-        first = [words[c] for c in codes[offsets[:-1]].tolist()]
-        numbers = self._numbers([" " + w for w in words])[codes]
-        numbers[offsets[:-1]] = self._numbers(first)
+            return np.zeros(len(offsets) - 1, np.int64), np.zeros(0, np.int32)
+        first = words.take(pa.array(codes[offsets[:-1]])).dictionary_encode()
+        spaced = pc.binary_join_element_wise(" ", words, "")
+        every = self.numbers(pa.concat_arrays([spaced, first.dictionary]))
+        numbers = every[codes]
+        numbers[offsets[:-1]] = every[len(words) :][first.indices.to_numpy()]
+        self.table.used(numbers)
         lengths, ids = self.table.gather(numbers)
         return sums(lengths, offsets), ids
 
-    def _numbers(self, chunks: list[str]) -> np.ndarray:
-        """The chunks' numbers in the table; new ones are learned."""
-        get = self.table.index.get
-        got = list(map(get, chunks))
-        if None in got:
-            self.learn({c for c, g in zip(chunks, got, strict=True) if g is None})
-            got = list(map(get, chunks))
-        return np.array(got, dtype=np.int64)
-
-    def learn(self, chunks: set[str]) -> None:
-        """Put chunks in the table; those without inner white space are encoded in long texts, whose ids are parted by
-        their bytes."""
-        plain = [c for c in chunks if c[:1] == " " and len(c) > 1 and not SPACES.search(c, 1)]
-        other = list(chunks.difference(plain))
+    def _in_parts(self, chunks: list[str]) -> np.ndarray:
+        coded = pa.array(chunks, pa.string()).dictionary_encode()
+        return self.table.gather(self.numbers(coded.dictionary)[coded.indices.to_numpy()])[1]
+
+    def numbers(self, chunks: pa.Array) -> np.ndarray:
+        """The distinct chunks' numbers in the table; new ones are learned."""
+        out = self.table.find(chunks)
+        new = np.flatnonzero(out < 0)
+        if len(new):
+            out[new] = self.learn(chunks.take(pa.array(new)))
+        return out
+
+    def learn(self, chunks: pa.Array) -> np.ndarray:
+        """Put new chunks in the table, by their parts: the pre-tokenizer cuts in any case at single line ends, and after
+        letters that only ASCII punctuation follows up to the end of a line. Chunks with other white space are encoded
+        whole."""
+        out = np.zeros(len(chunks), np.int64)
+        lines = pc.split_pattern(chunks, "\n")
+        odd = pc.or_(pc.invert(pc.utf8_is_printable(lines.values)), pc.or_(pc.ends_with(lines.values, " "), pc.equal(pc.binary_length(lines.values), 0)))
+        odd = sums(odd.to_numpy(zero_copy_only=False).astype(np.int64), lines.offsets.to_numpy()) > 0
+        if odd.any():
+            out[odd] = self.encode_parts(chunks.filter(pa.array(odd)))
+        rest = np.flatnonzero(~odd)
+        if not len(rest):
+            return out
+        own = chunks.take(pa.array(rest))
+        lines = pc.split_pattern(own, "\n")
+        offsets, lines = lines.offsets.to_numpy().astype(np.int64), lines.values
+        stems = pc.utf8_rtrim(lines, characters=punctuation)
+        cut = pc.and_(pc.less(pc.binary_length(stems), pc.binary_length(lines)), pc.utf8_is_alpha(pc.utf8_slice_codeunits(stems, -1)))
+        stems = pc.if_else(cut, stems, lines).dictionary_encode()
+        parts = np.zeros((len(lines), 3), np.int64)  # the stem, its punctuation and the line's end; 0 is empty
+        parts[:, 0] = self._parts(stems.dictionary)[stems.indices.to_numpy()]
+        at = np.flatnonzero(cut.to_numpy(zero_copy_only=False))
+        if len(at):
+            whole, stem = lines.take(pa.array(at)).to_pylist(), stems.dictionary.take(stems.indices.take(pa.array(at))).to_pylist()
+            parts[at, 1] = self._tails([w[len(s) :] for w, s in zip(whole, stem, strict=True)])
+        ends = np.ones(len(lines), dtype=bool)
+        ends[offsets[1:] - 1] = False
+        if ends.any():
+            parts[ends, 2] = self._tails(["\n"])[0]
+        several = np.diff(offsets) > 1
+        several |= parts[offsets[:-1], 1] > 0
+        single = np.flatnonzero(~several)
+        out[rest[single]] = parts[offsets[single], 0]
+        if several.any():
+            of_row = np.repeat(several, np.diff(offsets))
+            lengths, ids = self.table.gather(parts[of_row].ravel())
+            rows = 3 * np.cumsum(np.concatenate([[0], np.diff(offsets)[several]]))
+            out[rest[several]] = self.table.add(own.filter(pa.array(several)), sums(lengths, rows), ids)
+        return out
+
+    def _tails(self, tails: list[str]) -> np.ndarray:
+        """Numbers of a few distinct punctuations."""
+        new = [t for t in set(tails) if t not in self.tails]
+        if new:
+            self.tails.update(zip(new, self._parts(pa.array(new)).tolist(), strict=True))
+        return np.array(list(map(self.tails.__getitem__, tails)), dtype=np.int64)
+
+    def _parts(self, parts: pa.Array) -> np.ndarray:
+        out = self.table.find(parts)
+        new = np.flatnonzero(out < 0)
+        if len(new):
+            out[new] = self.encode_parts(parts.take(pa.array(new)))
+        return out
+
+    def encode_parts(self, parts: pa.Array) -> np.ndarray:
+        """Encode new parts by the library: many in one text if that cannot change them, and its ids parted by their
+        bytes."""
+        out = np.zeros(len(parts), np.int64)
+        spaced = pc.starts_with(parts, " ")
+        inner = pc.if_else(spaced, pc.utf8_ltrim(parts, characters=" "), parts)
+        plain = pc.and_(pc.and_(pc.utf8_is_printable(parts), pc.invert(pc.match_substring(inner, " "))), pc.less_equal(pc.subtract(pc.binary_length(parts), pc.binary_length(inner)), 1))
+        plain = pc.and_(plain, pc.greater(pc.binary_length(inner), 0))
+        for mask, gap in ((pc.and_(plain, spaced), ""), (pc.and_(plain, pc.invert(spaced)), "\n")):
+            every = np.flatnonzero(mask.to_numpy(zero_copy_only=False))
+            for at in range(0, len(every), JOINED):
+                places = every[at : at + JOINED]
+                part = parts.take(pa.array(places))
+                ids = np.asarray(self.tokenizer.encode_batch_fast([gap.join(part.to_pylist())], add_special_tokens=False)[0].ids, dtype=np.int32)
+                sizes = pc.binary_length(part).to_numpy().astype(np.int64)
+                stops = np.cumsum(sizes + len(gap)) - len(gap)
+                ends = np.cumsum(self.lengths[ids])
+                last = np.searchsorted(ends, stops) + 1
+                first = np.searchsorted(ends, stops - sizes, side="right")
+                inside = np.ones(len(ids), dtype=bool)
+                if gap:
+                    inside[last[:-1]] = False
+                out[places] = self.table.add(part, last - first, ids[inside])
+        other = np.flatnonzero(~plain.to_numpy(zero_copy_only=False))
         for at in range(0, len(other), JOINED):
-            part = other[at : at + JOINED]
-            ids = [np.asarray(e.ids, dtype=np.int32) for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-            self.table.add(part, np.array(list(map(len, ids))), np.concatenate(ids))
-        for at in range(0, len(plain), JOINED):
-            part = plain[at : at + JOINED]
-            ids = np.asarray(self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, dtype=np.int32)
-            ends = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum([len(c.encode()) for c in part])) + 1
-            self.table.add(part, np.diff(ends, prepend=0), ids)
+            places = other[at : at + JOINED]
+            part = parts.take(pa.array(places))
+            ids = [np.asarray(e.ids, dtype=np.int32) for e in self.tokenizer.encode_batch_fast(part.to_pylist(), add_special_tokens=False)]
+            out[places] = self.table.add(part, np.array(list(map(len, ids))), np.concatenate(ids))
+        return out
 
 
 @lru_cache(maxsize=1)
