@@ -2,7 +2,7 @@
 
 A page's block elements are binary variables (content or not) on the DOM's tree. A node's potential comes from its tag,
 its class, id and role words, and its own text; potentials between parent and child favour equal labels as far as
-training says. Sum-product messages, once upward and once downward, give every node's exact content marginal; blocks of
+training says, those between the page's frame (html, body) and its parts having weights of their own. Sum-product messages, once upward and once downward, give every node's exact content marginal; blocks of
 nodes at 0.5 and above are the text. The weights are trained by maximum likelihood, gradients from the same messages,
 on labelled pages that page_examples() generates (articles of many layouts with menus, notices, adverts, forms, comments
 and the like around and inside them); no page of the table is learned from.
@@ -33,13 +33,14 @@ TOKEN = re.compile(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BREAKS = frozenset("br hr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font hr i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr area base col embed input link meta param source track button".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font hr i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr area base col embed input link meta param source track".split())
 #: An opening tag closes these, up to the nearest of the second group.
 CLOSES = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select")}
 CLOSES = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in CLOSES.items()}
 ATTRIBUTE = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
 LABEL = re.compile(r'data-content="([01])"')
-GROUPS = ("html body", "head title", "nav menu", "header", "footer", "aside", "form fieldset", "article main", "section", "div center", "p", "h1", "h2 h3 h4 h5 h6", "ul ol dl", "li dt dd", "blockquote pre figure figcaption", "table tbody thead tr td th", "dialog details summary address")
+FRAME = frozenset(("html", "body"))
+GROUPS = ("html body", "head title", "nav menu", "header", "footer", "aside", "form fieldset button", "article main", "section", "div center", "p", "h1", "h2 h3 h4 h5 h6", "ul ol dl", "li dt dd", "blockquote pre figure figcaption", "table tbody thead tr td th", "dialog details summary address")
 TAG_OF = {t: i for i, g in enumerate(GROUPS) for t in g.split()}
 #: Parts of class, id and role words.
 CONTENT_WORDS = ("article", "content", "post", "entry", "story", "main", "body", "text")
@@ -51,11 +52,11 @@ OTHER = {w: i for i, g in enumerate(OTHER_WORDS) for w in g.split()}
 SPLIT = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 N_TAGS, N_OTHER = len(GROUPS) + 1, len(OTHER_WORDS)
 N = N_TAGS + 1 + N_OTHER + 6
-SEED, N_EXAMPLES, EPOCHS, STEP = 5, 240, 14, 0.4
+SEED, N_EXAMPLES, EPOCHS, STEP = 5, 520, 14, 0.4
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "chars", "link", "stops", "label", "x", "up", "down")
+    __slots__ = ("tag", "attrs", "parent", "chars", "link", "stops", "label", "x", "up", "down", "edge")
 
     def __init__(self, tag: str, attrs: str, parent: int):
         self.tag, self.attrs, self.parent, self.chars, self.link, self.stops = tag, attrs, parent, 0, 0, 0
@@ -93,8 +94,6 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 run.append(" ")
             elif tag == "a":
                 links = 0 if closing else 1
-            elif tag == "button" and not closing:
-                run.append(" ")
             continue
         flush()
         if closing:
@@ -104,7 +103,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                     break
             links = 0
             continue
-        if nodes[stack[-1]].tag == "p":
+        if nodes[stack[-1]].tag == "p" and tag != "button":
             stack.pop()
         if tag in CLOSES:
             same, stop = CLOSES[tag]
@@ -133,6 +132,8 @@ def node_features(node: Node) -> list[tuple[int, float]]:
             out.append((N_TAGS, 1.0))
     base = N_TAGS + 1 + N_OTHER
     out.append((base, 1.0))
+    if len(out) == 2:  # no name says anything
+        out.append((base + 5, 1.0))
     if node.chars:
         out += [(base + 1, min(1.0, node.chars / 200)), (base + 2, min(1.0, node.link / node.chars)), (base + 3, min(1.0, 10 * node.stops / node.chars)), (base + 4, float(node.chars < 25))]
     return out
@@ -143,43 +144,45 @@ def _log_sum(a: float, b: float) -> float:
 
 
 class Model:
-    """unary: weight of each feature for content; pair[p][c]: potential of a parent's and a child's labels."""
+    """unary: weight of each feature for content; pair[f][p][c]: potential of a parent's and a child's labels, f being 1
+    if the parent is the page's frame."""
 
     def __init__(self):
-        self.unary, self.pair = np.zeros(N), np.zeros((2, 2))
+        self.unary, self.pair = np.zeros(N), np.zeros((2, 2, 2))
 
     def marginals(self, nodes: list[Node]) -> list[float]:
         """Log odds of content for each node, by sum-product messages upward, then downward."""
-        w, ((t00, t01), (t10, t11)) = self.weights(), self.pair.tolist()
+        w, pairs = self.unary.tolist(), [[t for row in pair for t in row] for pair in self.pair.tolist()]
         for node in nodes:
             node.x = node_features(node)
             node.up = sum([w[i] * v for i, v in node.x])
+            node.edge = pairs[node.parent >= 0 and nodes[node.parent].tag in FRAME]
         for node in reversed(nodes[1:]):
+            t00, t01, t10, t11 = node.edge
             node.down = _log_sum(t10, t11 + node.up) - _log_sum(t00, t01 + node.up)  # the message to the parent
             nodes[node.parent].up += node.down
         out = [nodes[0].up]
         for node in nodes[1:]:
+            t00, t01, t10, t11 = node.edge
             above = out[node.parent] - node.down  # the parent without this child
             node.down = above
             out.append(node.up + _log_sum(t01, t11 + above) - _log_sum(t00, t10 + above))
         return out
 
-    def weights(self) -> list[float]:
-        return self.unary.tolist()
-
     def step(self, nodes: list[Node], rate: float) -> None:
         """One gradient step on a labelled page's log likelihood."""
-        odds, (t0, t1) = self.marginals(nodes), self.pair.tolist()
-        unary, pair = np.zeros(N), np.zeros((2, 2))
+        odds, unary, pair = self.marginals(nodes), np.zeros(N), np.zeros((2, 2, 2))
         for node, o in zip(nodes, odds, strict=True):
             miss = node.label - 1 / (1 + exp(-o)) if o > -700 else node.label
             for i, v in node.x:
                 unary[i] += miss * v
         for node in nodes[1:]:
-            logs = np.array([[t0[0], t0[1] + node.up], [t1[0] + node.down, t1[1] + node.down + node.up]])
+            t00, t01, t10, t11 = node.edge
+            logs = np.array([[t00, t01 + node.up], [t10 + node.down, t11 + node.down + node.up]])
             p = np.exp(logs - logs.max())
-            pair -= p / p.sum()
-            pair[nodes[node.parent].label, node.label] += 1
+            own = pair[int(nodes[node.parent].tag in FRAME)]
+            own -= p / p.sum()
+            own[nodes[node.parent].label, node.label] += 1
         self.unary += rate * (unary / len(nodes) ** 0.5 - 0.0003 * self.unary)
         self.pair += rate * (pair / len(nodes) ** 0.5 - 0.0003 * self.pair)
 
@@ -202,6 +205,13 @@ def page_examples(n: int, seed: int) -> list[str]:
     def link(lo=1, hi=4) -> str:
         return f'<a href="/x">{words(lo, hi, False)}</a>'
 
+    def odd_name() -> str:
+        """A class that says nothing, or none."""
+        return "" if rng.random() < 0.5 else "".join(pick(*sylls) for _ in range(rng.integers(1, 4))) + pick("", "-1", "_x")
+
+    def button() -> str:
+        return el("button", 0, words(1, 3, False), pick("", "", odd_name()))
+
     def menu() -> str:
         return el("ul", 0, "".join(el("li", 0, link()) for _ in range(rng.integers(2, 8))))
 
@@ -217,11 +227,11 @@ def page_examples(n: int, seed: int) -> list[str]:
         if kind == 3:
             return el("aside", 0, text + (menu() if rng.random() < 0.5 else ""))
         if kind == 4:
-            return el("div", 0, text + "<button>" + words(1, 2, False) + "</button>", pick("cookie", "cookie-notice", "consent", "popup", "alert", "notice"))
+            return el("div", 0, text + button(), pick("cookie", "cookie-notice", "consent", "popup", "alert", "notice"))
         if kind == 5:
             return el("form", 0, words(1, 6) + "<input type=text>" + el("p", 0, words(2, 8)), pick("", "search", "newsletter", "login"))
         if kind == 6:
-            return el("div", 0, link() + " " + link() + " " + link(), pick("share", "social", "share-links"))
+            return el("div", 0, link() + " " + link() + " " + link(), pick("share", "social", "share-links", odd_name()))
         if kind == 7:
             return comments()
         if kind == 8:
@@ -233,9 +243,16 @@ def page_examples(n: int, seed: int) -> list[str]:
         return el(pick("section", "div", "ol"), 0, el("h3", 0, words(1, 3, False)) + each, pick("comments", "comment-list", "replies", "disqus"))
 
     def body_block() -> str:
-        kind = rng.integers(14)
+        kind = rng.integers(16)
         if kind < 8:
-            return el("p", 1, words(1, 120) if rng.random() < 0.85 else words(1, 4))
+            inside = words(1, 120) if rng.random() < 0.85 else words(1, 4)
+            if rng.random() < 0.05:
+                inside += " " + button()
+            return el("p", 1, inside, odd_name() if rng.random() < 0.2 else "")
+        if kind == 14:
+            return el("pre", 1, words(3, 60))
+        if kind == 15:
+            return el(pick("div", "section"), 1, "".join(el("p", 1, words(5, 60)) for _ in range(rng.integers(1, 3))) if rng.random() < 0.7 else words(8, 60), odd_name())
         if kind == 8:
             return el("p", 1, "<b>" + words(2, 12) + pick("</b>", "<br>", "</b><br>") + words(1, 30))
         if kind == 9:
@@ -250,22 +267,35 @@ def page_examples(n: int, seed: int) -> list[str]:
 
     out = []
     for _ in range(n):
-        inside = [el("h1", 1, words(1, 12, bool(rng.random() < 0.4)))] if rng.random() < 0.9 else []
-        inside += [body_block() for _ in range(rng.integers(1, 12 if rng.random() < 0.7 else 3))]
+        inside = [el("h1", 1, words(1, 12, bool(rng.random() < 0.4)))] if rng.random() < 0.6 else []
+        inside += [body_block() for _ in range(rng.integers(1, 12 if rng.random() < 0.6 else 3))]
+        if rng.random() < 0.15:  # nothing but a paragraph or two
+            inside = [el("p", 1, words(4, 60)) for _ in range(rng.integers(1, 3))]
         for _ in range(rng.integers(0, 3)):  # adverts, forms and the like within the article
             inside.insert(int(rng.integers(1, len(inside) + 1)), aside_block())
         if rng.random() < 0.3:
             inside.append(comments())
         if rng.random() < 0.3:
-            inside = [el(pick("div", "section"), 1, "".join(inside), pick("", "content", "body", "entry-content"))]
+            inside = [el(pick("div", "section"), 1, "".join(inside), pick("", "content", "body", "entry-content", odd_name()))]
         if rng.random() < 0.2:
             inside.insert(0, el("header", 0, words(1, 6) if rng.random() < 0.5 else menu()))
         shape = rng.random()
-        main = el("article", 1, "".join(inside)) if shape < 0.6 else el("main", 1, "".join(inside)) if shape < 0.75 else el("div", 1, "".join(inside), pick("content", "article-body", "post", "entry", "story", "main-content"))
+        if shape < 0.4:
+            main = el("article", 1, "".join(inside), odd_name() if rng.random() < 0.2 else "")
+        elif shape < 0.5:
+            main = el("main", 1, "".join(inside))
+        elif shape < 0.7:
+            main = el("div", 1, "".join(inside), pick("content", "article-body", "post", "entry", "story", "main-content"))
+        elif shape < 0.92:
+            main = el("div", 1, "".join(inside), odd_name())
+        else:  # text without an element of its own
+            main = el("div", 1, words(20, 200), odd_name())
         if rng.random() < 0.2:
-            main = el(pick("div", "main"), 0, main, pick("", "wrapper", "container", "page"))
-        around = [aside_block() for _ in range(rng.integers(0, 4))], [aside_block() for _ in range(rng.integers(0, 4))]
-        foot = el(pick("footer", "footer", "div"), 0, el("p", 0, words(3, 20)) if rng.random() < 0.4 else words(3, 20), pick("footer", "footer", "site-footer")) if rng.random() < 0.9 else ""
+            main = el(pick("div", "main"), 1, main, pick("", "wrapper", "container", "page", odd_name()))
+        alone = rng.random() < 0.15
+        around = [[aside_block() for _ in range(0 if alone else rng.integers(0, 4))] for _ in range(2)]
+        tag = pick("footer", "footer", "div")
+        foot = el(tag, 0, el("p", 0, words(3, 20)) if rng.random() < 0.4 else words(3, 30), pick("footer", "site-footer") if tag == "div" else pick("", "", "footer", odd_name())) if not alone and rng.random() < 0.9 else ""
         out.append(el("html", 0, "<head><title>" + words(2, 8) + "</title></head>" + el("body", 0, "".join([*around[0], main, *around[1], foot]))))
     return out
 

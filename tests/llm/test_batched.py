@@ -45,6 +45,7 @@ def test_whole_texts_have_the_n_best_paths_of_their_whole_lattices():
 def test_chunks_of_many_texts_equal_whole_texts():
     e = token_orc.ChunkEncoder(public_tokenizers.path("byte_bpe_50k.json"))
     texts = [*TEXTS, "a   b\n \nc  d", "\u3000 \u3000x y", "<|endoftext|> a b", "\x1c \x1c! z"]
+    texts += ["one.\nTwo, three!!\nfour", "it's dogs' \"quoted\" a_b_ x1. 1,2 é. ß!\nß", "a\n\nb \nc\n d", "end.\n", "\nstart", "x'\ns 'll. 're", "naïve.… “q”, ok"]
     for t in (texts, texts[::-1], ["a b"], []):
         counts, ids = e.encode_all(pa.array(t, pa.string()))
         want = [e.whole(x or "").tolist() for x in t]

@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from gridloom.llm import mixing, neardup, pages, pieces, secrets, suffixes, syncmers, token_orc, topk, toxicity
 
@@ -52,7 +53,6 @@ def test_tokens(spark, docs, empty, tmp_path):
     token_orc.write_tokens(docs, str(tmp_path / "t"), TOK)
     got = [tuple(r) for r in token_orc.token_digest(token_orc.read_tokens(spark, str(tmp_path / "t"))).collect()]
     tok = Tokenizer.from_file(TOK)
-    tok.encode_special_tokens = True
     want = Counter()
     for r in docs.collect():
         ids = [*tok.encode(r.text or "", add_special_tokens=False).ids, 0]
@@ -68,7 +68,32 @@ def test_tokens(spark, docs, empty, tmp_path):
 def test_chunked_encoding_is_exact():
     e = token_orc.ChunkEncoder(TOK)
     for t in ["a  b", "a  \nb", " x\n \ny", "x   y  ", "it's  'll   b", "<|endoftext|> x", "\0 \0", "\x1c \x1c!", "tab\t x \t y", *(r[1] or "" for r in rows())]:
-        assert e.encode(t) == e.whole(t) == e.encode(t)
+        assert e.encode(t).tolist() == e.whole(t).tolist() == e.encode(t).tolist()
+
+
+def test_lookup_reads_few_row_groups(spark, tmp_path):
+    import os
+
+    import pyarrow.orc
+
+    path = str(tmp_path / "tokens")
+    docs = spark.range(0, 40_000, 2).select(F.col("id").alias("doc_id"), F.expr("repeat(concat('w', id, ' '), 30)").alias("text"))
+    token_orc.write_tokens(docs, path, TOK)
+
+    def scanned(ids):
+        df = token_orc.lookup(spark, path, ids)
+        found = df.collect()
+        plan = df._jdf.queryExecution().executedPlan()
+        while plan.children().size():
+            plan = plan.children().apply(0)
+        return len(found), plan.metrics().apply("numOutputRows").value()
+
+    n, rows_ = scanned([20_000])
+    assert n == 1 and rows_ <= 1000 < 20_000  # one row group of one stripe of one file
+    n, rows_ = scanned([20_001])  # in a row group's range, but in no Bloom filter (or, one time in a hundred, in one)
+    assert n == 0 and rows_ in (0, 1000)
+    files = [f for f in os.listdir(path) if f.endswith(".orc")]
+    assert len(files) == 4 and all(pyarrow.orc.ORCFile(f"{path}/{f}").nrows for f in files)
 
 
 def brute_components(docs_, k):
@@ -112,6 +137,17 @@ def test_near_duplicates(spark, k):
     assert got == brute_components(data, k)
 
 
+def test_near_duplicates_in_tiles(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "TILE", 3)
+    monkeypatch.setattr(neardup, "CELL", 1 << 30)
+    data = near_rows()
+    df = spark.createDataFrame(data, "doc_id long, text string").withColumn("dup_id", F.lit(1))
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(df, 4).collect()}
+    assert got == brute_components(data, 4)
+    kept = neardup.drop_duplicates(df, 4)
+    assert kept.columns == df.columns and kept.count() == sum(i == c for i, c in got.items())
+
+
 def test_near_duplicates_odd_rows(spark, docs, empty):
     out = [tuple(r) for r in neardup.near_duplicates(docs, 4).collect()]
     assert len(out) == docs.count() and (None, 1, None, True) in out
@@ -202,8 +238,6 @@ def test_syncmers_by_definition():
 def test_top_k(spark):
     rng = np.random.default_rng(1)
     topk_rows = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(1500)] + [(2000, None), (2050, [float("nan")] * 6), (2100, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (1600, [0.5] * 6), (1650, [0.5] * 6)]
-    from pyspark.sql import functions as F
-
     df = spark.createDataFrame(topk_rows, "vec_id long, embedding array<double>")
     v = df.where(topk.usable(F.col("embedding"))).select("vec_id", topk.quantised(F.col("embedding")).alias("v"))
     got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.top_k(v, F.col("vec_id") % 50 == 0).collect()}
@@ -218,6 +252,34 @@ def test_top_k(spark):
     assert topk.top_k(v.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_top_k_of_huge_numbers_is_exact(spark):
+    base = [(0, [1e6, 1 / 256]), (1, [1e6 + 1 / 256, 1 / 256]), (2, [1e6 + 1 / 256, 2 / 256]), (3, [-1e6, 0.0]), (4, [1e38, 1e38]), (5, [1e38, 1.0000001e38]), (50, [-1e38, 1.0])]
+    df = spark.createDataFrame(base, "vec_id long, embedding array<double>").select("vec_id", topk.quantised(F.col("embedding")).alias("v"))
+    whole = {r.vec_id: [int(x) for x in r.v] for r in df.collect()}
+    assert whole[1] == [256_000_001, 1] and whole[0] == [256_000_000, 1]
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.top_k(df, F.col("vec_id") % 50 == 0).collect()}
+    for q in (0, 50):
+        best = sorted(((-sum(a * b for a, b in zip(whole[q], whole[i], strict=True)), i) for i in whole if i != q))[:5]
+        assert [got[q, r] for r in range(1, 6)] == [(i, max(-(1 << 63), min((1 << 63) - 1, -s))) for s, i in best]
+
+
+def test_top_k_in_many_groups_prunes_blocks(spark, monkeypatch):
+    for name, value in (("PIVOT_ROWS", 100), ("GROUP_ROWS", 150), ("QUERY_CELL", 7), ("GROUPS_AT_ONCE", 5), ("BLOCK_ROWS", 16)):
+        monkeypatch.setattr(topk, name, value)
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(12, 8)) * 4
+    v = np.floor(256 * (centres[rng.integers(0, 12, 2000)] + rng.normal(size=(2000, 8)) * 0.2))
+    v[:300] = v[7]  # a third of a group and more are the same
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, v array<double>")
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.top_k(df, F.col("vec_id") % 50 == 0).collect()}
+    s = (v @ v.T).astype(int)
+    for q in range(0, 2000, 50):
+        best = sorted((-s[q, i], i) for i in range(2000) if i != q)[:5]
+        assert [got[q, r] for r in range(1, 6)] == [(i, -x) for x, i in best]
+    _, scored, of = topk.search(np.arange(0, 2000, 50), v[::50], [None] * 40, np.arange(2000), v, 5)
+    assert scored < 0.2 * of
+
+
 def whole_lattice(p, s, n):
     return [(round(a, 6), len(i)) for a, i in p.n_best(pieces.MARK + s.replace(" ", pieces.MARK), n)]
 
@@ -225,10 +287,10 @@ def whole_lattice(p, s, n):
 def test_pieces():
     p = pieces.Pieces(SPM)
     for s in ["hello world", "a  b", "ß☃漢 x", "the erou tionhe", " lead", "tail ", "x"]:
-        ids, scores, changes, words, same = p.encode(s, 4)
+        ids, scores, changes, same = p.encode(s, 4)
         assert same and p.decode(ids.tolist()) == s
         assert [round(x, 6) for x in scores] == [a for a, _ in whole_lattice(p, s, 4)]
-        assert scores == sorted(scores, reverse=True) and len(changes) == len(scores) and len(words) >= 1
+        assert scores == sorted(scores, reverse=True) and len(changes) == len(scores)
 
     def every(s):  # all paths of a short string
         if not s:
@@ -285,6 +347,29 @@ def test_mixing_rate(spark):
     assert n["a"] == pytest.approx(10_000, rel=0.05) and n["b"] == pytest.approx(10_000, rel=0.05)
 
 
+@pytest.mark.parametrize("rate", [0.01, 1.0, 50.0, 1_000.0, 2_048.0, 100_000.0])
+def test_poisson_at_any_rate(spark, rate):
+    import math
+
+    parts = max(1, math.ceil(rate / mixing.PART))
+    r = rate / parts
+    got = spark.range(1).select(mixing.poisson_table(F.lit(r)).alias("t")).first().t
+    exact = [math.exp(k * math.log(r) - r - math.lgamma(k + 1)) for k in range(math.ceil(r + 12 * r**0.5 + 25))]
+    cumulative = np.cumsum(exact)
+    assert cumulative[got.first - 1] < 1e-16 if got.first else True
+    assert np.allclose(got.cumulative, cumulative[got.first : got.first + len(got.cumulative)], rtol=0, atol=1e-9)
+    n = 4000 if rate < 5000 else 60
+    df = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("abcd").alias("text"), F.lit("s").alias("source"), F.lit(1).alias("rate"), F.lit(2).alias("mixed"), F.lit(3).alias("cumulative"), F.lit(4).alias("mix_source"))
+    if rate <= 50 or n == 60:
+        out = mixing.mix(df, epochs=rate)
+        assert out.columns == [*df.columns, "copy_no", "shuffle_key"]
+        total = out.agg(F.count("*"), F.sum("mixed")).first()
+        assert abs(total[0] - n * rate) < 5 * math.sqrt(n * rate) and total[1] == 2 * total[0]
+    us = [int(hashlib.md5(f"{mixing.SEED}:{i}".encode()).hexdigest()[:13], 16) / 2**52 for i in range(n)]
+    if rate == 50.0:
+        assert total[0] == sum(int(np.searchsorted(cumulative, u, side="right")) for u in us)
+
+
 def test_toxicity(spark, docs, empty):
     data, labels = [], []
     for i in range(1200):
@@ -326,6 +411,27 @@ def test_pages(spark):
     assert pages.extract(df.limit(0)).count() == 0
 
 
+LONG = "The river rose in the night, and by morning the lower fields stood under water. Nobody in the village had seen the like."
+HAND_WRITTEN = [
+    (f"<html><body><article><p>{LONG}</p></article></body></html>", LONG),
+    ("<html><body><article><p>One sentence stands here alone.</p></article></body></html>", "One sentence stands here alone."),
+    (f"<body><nav><a href=/>Home</a> <a href=/b>News</a></nav><article><p>One sentence, then.</p><p>{LONG}</p></article><footer>Imprint</footer>", f"One sentence, then. {LONG}"),
+    (f"<body><article><p>{LONG}</p><pre>x = 1\ny = 2</pre><div class=comments><p>Great read, thanks!</p></div></article>", f"{LONG} x = 1 y = 2"),
+    (f"<body><div><p>{LONG}</p><p>{LONG}</p></div></body>", f"{LONG} {LONG}"),
+    (f"<body><div class=qx7><p>{LONG}</p></div><div class=footer>Copyright</div></body>", LONG),
+    (f"<body><div class=zz-top>{LONG} {LONG}</div>", f"{LONG} {LONG}"),
+    (f"<body><header><h2>Site</h2></header><article><h1>Flood</h1><p>{LONG}</p><button>Subscribe now</button><p>More, later. {LONG}</p></article>", f"Flood {LONG} More, later. {LONG}"),
+    (f"<body><article><p>{LONG} <button>Share</button></p></article><aside><ul><li><a href=x>Other</a></ul></aside>", LONG),
+    (f"<body><main><h1>Title</h1><p>{LONG}</p><form>Mail <input><button>Send</button></form></main>", f"Title {LONG}"),
+]
+
+
+def test_hand_written_pages():
+    model = pages.train()
+    for html, want in HAND_WRITTEN:
+        assert pages.main_text(html, model) == want, html
+
+
 def test_messages_are_exact_marginals():
     model = pages.train(20, 3)
     nodes, _ = pages.parse(pages.page_examples(1, 8)[0])
@@ -335,7 +441,7 @@ def test_messages_are_exact_marginals():
     weight = np.zeros((len(nodes), 2))
     for bits in range(2 ** len(nodes)):
         y = [bits >> i & 1 for i in range(len(nodes))]
-        s = np.exp(sum(a * b for a, b in zip(u, y, strict=True)) + sum(model.pair[y[n.parent], y[i]] for i, n in enumerate(nodes) if i))
+        s = np.exp(sum(a * b for a, b in zip(u, y, strict=True)) + sum(model.pair[int(nodes[n.parent].tag in pages.FRAME), y[n.parent], y[i]] for i, n in enumerate(nodes) if i))
         for i, v in enumerate(y):
             weight[i, v] += s
     assert np.allclose(odds, np.log(weight[:, 1] / weight[:, 0]))
