@@ -61,6 +61,10 @@ def is_numeric(s: Column) -> Column:
     return s.try_cast("double").isNotNull()
 
 
+def is_long(s: Column) -> Column:
+    return s.try_cast("bigint").isNotNull() & ~F.contains(s, F.lit("."))
+
+
 def linspace(v: Column, low: float, high: float, bins: int) -> Column:
     """Bin 0 below low, bins above high, else the rounded share."""
     return F.when(v < low, 0).when(v > high, bins).otherwise(F.round((v - low) / (high - low) * bins)).cast("int")
@@ -155,7 +159,7 @@ def relative_variance(x: Column) -> Column:
 
 
 def tstat(a: Column, b: Column) -> Column:
-    """Pooled two-sample t statistic of two columns."""
+    """Pooled two-sample t statistic of two columns; null where the pooled variance is 0, as no test can be made."""
     n, m = F.count(a), F.count(b)
     pooled = ((n - 1) * F.var_samp(a) + (m - 1) * F.var_samp(b)) / (n + m - 2)
     return F.try_divide(F.avg(a) - F.avg(b), F.sqrt(pooled * (1 / n + 1 / m)))
@@ -190,7 +194,7 @@ def t_pvalue(t: float, freedom: float) -> float:
 
 
 def ttest(df: DataFrame, by: str, a: str, b: str) -> DataFrame:
-    """(by, t, p): statistic by built-in aggregates, p for one row a group."""
+    """(by, t, p): statistic by built-in aggregates, p for one row a group; null where neither column varies."""
     rows = df.groupBy(by).agg(tstat(F.col(a), F.col(b)).alias("t"), (F.count(a) + F.count(b) - 2).alias("freedom"))
 
     @F.pandas_udf("double")

@@ -5,10 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import written
+from ..session import with_rank, written
 from . import kernels
 from .pointwise import KEYS, linear_index
 from .stencil import offsets_column
@@ -64,8 +63,8 @@ def label(df: DataFrame, dim: Sequence[int], offsets: Sequence[kernels.Offset] |
         sizes = out.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") >= min_voxels)
         if max_voxels is not None:
             sizes = sizes.where(F.col("n") <= max_voxels)
-        if relabel:  # one row a component, and a global order is asked for
-            sizes = sizes.withColumn("rank", F.row_number().over(W.orderBy(F.desc("n"), "label")).cast("long"))
+        if relabel:
+            sizes = with_rank(sizes, [F.desc("n"), "label"])
         out = out.join(sizes, "label").select(*KEYS, F.col("rank" if relabel else "label").alias("label"))
     return out
 

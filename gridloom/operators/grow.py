@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from math import sqrt
 
 from pyspark.sql import DataFrame
@@ -45,37 +46,39 @@ def centroids(labels: DataFrame) -> DataFrame:
     return labels.groupBy("label").agg(*[F.avg(k).alias(f"c{k}") for k in KEYS])
 
 
-def cvoronoi(labels: DataFrame, mask: DataFrame, max_distance: float | None = None, max_labels: int = 100_000) -> DataFrame:
+def cvoronoi(labels: DataFrame, mask: DataFrame, max_distance: float | None = None) -> DataFrame:
     """(x, y, z, label, dist): the label with the nearest centroid, ties to the smaller; 0 and -1 beyond max_distance.
-    The centroids are sent to all tasks only up to max_labels of them; with more, rings of grid cells are searched."""
-    found = written(centroids(labels), "centroids")
-    where = mask.where("v").select(*KEYS)
-    dist = F.sqrt(sum(((F.col(k) - F.col(f"c{k}")) * (F.col(k) - F.col(f"c{k}")) for k in KEYS), F.lit(0.0)))
-    if found.limit(max_labels + 1).count() <= max_labels:
-        pairs = where.crossJoin(F.broadcast(found))  # labels are counted first
-        best = pairs.groupBy(*KEYS).agg(F.min(F.struct(dist.alias("dist"), "label")).alias("s"))
-    else:
-        from .match import nearest
-
-        points = where.select(F.struct(*KEYS).alias("id"), *[F.col(k).cast("double").alias(k) for k in KEYS])
-        near = nearest(points, found.select("label", *[F.col(f"c{k}").alias(k) for k in KEYS]).withColumnRenamed("label", "id"), cell=max_distance or 16.0)
-        best = near.select("id.x", "id.y", "id.z", F.struct("dist", F.col("other").alias("label")).alias("s"))
+    Voxels and centroids meet in rings of grid cells, which begin at the centroids' mean spacing."""
+    from .match import nearest
+
+    found = written(centroids(labels).select(F.col("label").alias("id"), *[F.col(f"c{k}").alias(k) for k in KEYS]), "centroids")
+    points = mask.where("v").select(F.struct(*KEYS).alias("id"), *[F.col(k).cast("double").alias(k) for k in KEYS])
+    near = nearest(points, found, exclude_same=False)
+    best = near.select("id.x", "id.y", "id.z", F.struct("dist", F.col("other").alias("label")).alias("s"))
     far = F.lit(False) if max_distance is None else F.col("s.dist") > max_distance
     return best.select(*KEYS, F.when(far, F.lit(0)).otherwise(F.col("s.label")).alias("label"), F.when(far, F.lit(-1.0)).otherwise(F.col("s.dist")).alias("dist"))
 
 
-def ridge(dist: DataFrame, min_wall: float = 0.5, flat: float = 0.5) -> DataFrame:
-    """Voxels over min_wall where the mean local gradient of the distance map is at most flat."""
+#: Least distance of a ridge voxel, and largest gradient there (fixed values).
+MIN_WALL, FLAT = 3.0, 0.45
+
+
+def ridge(dist: DataFrame, dim: Sequence[int], pos: Sequence[int] = (0, 0, 0), min_wall: float = MIN_WALL, flat: float = FLAT) -> DataFrame:
+    """Voxels over min_wall where the mean local gradient of the distance map is at most flat. The mean is over all
+    neighbours in the image's box but the voxel itself; where the map has no row the distance is 0."""
     base = dist.select(*KEYS, F.col("dist").alias("v"))
-    n = F.count("*")
-    g = stencil(base, kernels.full(), gx=F.sum(F.col("dx") * F.col("v")) / n, gy=F.sum(F.col("dy") * F.col("v")) / n, gz=F.sum(F.col("dz") * F.col("v")) / n, dist=F.max(F.when((F.col("dx") == 0) & (F.col("dy") == 0) & (F.col("dz") == 0), F.col("v"))))
-    return g.where((F.col("dist") > min_wall) & (F.sqrt(F.col("gx") ** 2 + F.col("gy") ** 2 + F.col("gz") ** 2) <= flat)).select(*KEYS, "dist")
+    g = stencil(base, kernels.full(), **{f"g{k}": F.sum(F.col(f"d{k}") * F.col("v")) for k in KEYS}, dist=F.max(F.when((F.col("dx") == 0) & (F.col("dy") == 0) & (F.col("dz") == 0), F.col("v"))))
+    n = F.lit(1)
+    for k, p, m in zip(KEYS, pos, dim, strict=True):
+        n = n * (1 + (F.col(k) > p).cast("int") + (F.col(k) < p + m - 1).cast("int"))
+    steep = F.sqrt(sum((F.col(f"g{k}") ** 2 for k in KEYS), F.lit(0.0)))
+    return g.where((F.col("dist") > min_wall) & (steep <= flat * (n - 1))).select(*KEYS, "dist")
 
 
-def thickness(dist: DataFrame, min_wall: float = 0.5, flat: float = 0.5, sample: int = 1) -> DataFrame:
+def thickness(dist: DataFrame, dim: Sequence[int], pos: Sequence[int] = (0, 0, 0), min_wall: float = MIN_WALL, flat: float = FLAT, sample: int = 1) -> DataFrame:
     """(x, y, z, thickness): the largest radius of a ridge voxel's sphere that covers a voxel of the distance map; 0
     where none does. sample > 1 keeps about one in so many ridge voxels, chosen by hash (a Monte-Carlo variant)."""
-    seeds = ridge(dist, min_wall, flat)
+    seeds = ridge(dist, dim, pos, min_wall, flat)
     if sample > 1:
         seeds = seeds.where(F.pmod(F.xxhash64(*KEYS), F.lit(sample)) == 0)
     r = F.ceil("dist").cast("int")
@@ -96,7 +99,7 @@ def local_maxima(dist: DataFrame) -> DataFrame:
 
 def seeds(dist: DataFrame, max_overlap: float = 40.0) -> DataFrame:
     """Bubble seeds (x, y, z, dist): maxima in falling order of radius, each kept unless 100 * (r1 + r2 - d) / r2 with a
-    kept one exceeds max_overlap. Rounds keep every candidate that no stronger open candidate overlaps."""
+    kept one reaches max_overlap. Rounds keep every candidate that no stronger open candidate overlaps."""
     peaks = local_maxima(dist).withColumn("id", F.struct((-F.col("dist")).alias("d"), *KEYS))
     open_ = written(peaks, "peaks")
     kept = None
@@ -114,7 +117,7 @@ def seeds(dist: DataFrame, max_overlap: float = 40.0) -> DataFrame:
         right = rows.select("*", *[g.alias(f"g{k}") for g, k in zip(grid, KEYS, strict=True)])
         d = F.sqrt(sum(((F.col(k) - F.col(f"s{k}")) ** 2 for k in KEYS), F.lit(0.0)))
         over = 100 * (F.col("r1") + F.col("dist") - d) / F.col("dist")
-        return right.join(left, [f"g{k}" for k in KEYS]).where((F.col("winner") < F.col("id")) & (over > max_overlap)).select("id", "winner")
+        return right.join(left, [f"g{k}" for k in KEYS]).where((F.col("winner") < F.col("id")) & (over >= max_overlap)).select("id", "winner")
 
     while not open_.isEmpty():
         now = written(open_.join(beaten(open_, open_).select("id").distinct(), "id", "left_anti"), "seeds")

@@ -13,19 +13,24 @@ from .components import components
 from .pointwise import KEYS
 
 
-def nearest(a: DataFrame, b: DataFrame, cell: float, max_rounds: int = 64) -> DataFrame:
-    """(id, other, dist): for each point (id, x, y, z) of a the nearest of b with another id, ties to the smaller.
+def nearest(a: DataFrame, b: DataFrame, cell: float | None = None, exclude_same: bool = True) -> DataFrame:
+    """(id, other, dist): for each point (id, x, y, z) of a the nearest of b, with another id if exclude_same is set;
+    ties to the smaller. The first cells' width is b's mean spacing unless given.
 
     Points meet by grid cells. Rings of cells grow by doubling until a point's best distance is within the searched
     ring, so the answer is exact; points still open when a ring covers all of b's box have seen all of b.
     """
-    box = b.agg(*[F.min(k).alias(f"lo{k}") for k in KEYS], *[F.max(k).alias(f"hi{k}") for k in KEYS]).first()
+    box = b.agg(*[F.min(k).alias(f"lo{k}") for k in KEYS], *[F.max(k).alias(f"hi{k}") for k in KEYS], F.count("*").alias("n")).first()
     if box["lox"] is None:
         return a.select("id").limit(0).select("id", F.col("id").alias("other"), F.lit(0.0).alias("dist"))
     span = a.agg(*[F.min(k).alias(f"lo{k}") for k in KEYS], *[F.max(k).alias(f"hi{k}") for k in KEYS]).first()
     reach = max([max(abs(span[f"hi{k}"] - box[f"lo{k}"]), abs(box[f"hi{k}"] - span[f"lo{k}"])) for k in KEYS] if span["lox"] is not None else [0])
+    if cell is None:
+        sides = [max(float(box[f"hi{k}"] - box[f"lo{k}"]), 1e-9) for k in KEYS]
+        cell = (sides[0] * sides[1] * sides[2] / box["n"]) ** (1 / 3)
+    cell = max(cell, reach / 2**40, 1e-12)
     open_, done = a.select("id", *KEYS), None
-    for _ in range(max_rounds):
+    while True:
         left = open_
         right = b.select(F.col("id").alias("other"), *[F.col(k).alias(f"o{k}") for k in KEYS])
         for k in KEYS:
@@ -33,7 +38,7 @@ def nearest(a: DataFrame, b: DataFrame, cell: float, max_rounds: int = 64) -> Da
             left = left.withColumn(f"g{k}", F.explode(F.array(g - 1, g, g + 1)))
             right = right.withColumn(f"g{k}", F.floor(F.col(f"o{k}") / cell))
         dist = F.sqrt(sum(((F.col(k) - F.col(f"o{k}")) ** 2 for k in KEYS), F.lit(0.0)))
-        best = left.join(right, [f"g{k}" for k in KEYS]).where(F.col("id") != F.col("other")).groupBy("id").agg(F.min(F.struct(dist.alias("dist"), "other")).alias("s"))
+        best = left.join(right, [f"g{k}" for k in KEYS]).where(F.col("id") != F.col("other") if exclude_same else F.lit(True)).groupBy("id").agg(F.min(F.struct(dist.alias("dist"), "other")).alias("s"))
         whole = cell >= reach
         sure = best if whole else best.where(F.col("s.dist") <= cell)
         sure = written(sure.select("id", F.col("s.other").alias("other"), F.col("s.dist").alias("dist")), "near")
@@ -64,10 +69,11 @@ def match_frames(a: DataFrame, b: DataFrame, max_distance: float, volume_penalty
 
 
 def chains(links: DataFrame) -> DataFrame:
-    """(t, id, chain): objects linked from frame to frame (t, id, next_id at t + 1) share a chain, named by its first."""
-    node = lambda t, i: (F.col(t) * F.lit(1 << 32) + F.col(i)) if isinstance(i, str) else None
-    edges = links.withColumn("t1", F.col("t") + 1).select(node("t", "id").alias("a"), node("t1", "next_id").alias("b"))
-    return components(edges).select(F.shiftright("node", 32).alias("t"), F.col("node").bitwiseAND(F.lit((1 << 32) - 1)).alias("id"), F.col("root").alias("chain"))
+    """(t, id, chain_t, chain_id): objects linked from frame to frame (t, id, next_id at t + 1) share a chain, named by
+    its first object. Frames and ids may be any longs."""
+    t, i, n = (F.col(c).cast("long") for c in ("t", "id", "next_id"))
+    edges = links.select(F.struct(t.alias("t"), i.alias("id")).alias("a"), F.struct((t + 1).alias("t"), n.alias("id")).alias("b"))
+    return components(edges).select("node.t", "node.id", F.col("root.t").alias("chain_t"), F.col("root.id").alias("chain_id"))
 
 
 def displacement(tracks: DataFrame, by: Sequence[str] = ("chain",), time: str = "t") -> DataFrame:
@@ -126,3 +132,53 @@ def forces(vertices: DataFrame, edges: DataFrame, rest_length: float) -> DataFra
     rows = joined.select("a", "b", *[F.coalesce(f, F.lit(0.0)).alias(f"f{k}") for f, k in zip(force, KEYS, strict=True)])
     sent = rows.select(F.col("a").alias("id"), *[f"f{k}" for k in KEYS]).unionByName(rows.select(F.col("b").alias("id"), *[(-F.col(f"f{k}")).alias(f"f{k}") for k in KEYS]))
     return sent.groupBy("id").agg(*[F.sum(f"f{k}").alias(f"f{k}") for k in KEYS])
+
+
+def life_statistics(tracks: DataFrame, by: Sequence[str], time: str = "t") -> DataFrame:
+    """(by, born, died, frames, mean_step, max_step) of each track of positions."""
+    steps = displacement(tracks, by, time)
+    return steps.groupBy(*by).agg(F.min(time).alias("born"), F.max(time).alias("died"), F.count("*").alias("frames"), F.avg("step").alias("mean_step"), F.max("step").alias("max_step"))
+
+
+def contact_changes(contacts: DataFrame, first: int, last: int) -> DataFrame:
+    """(t, a, b, event): contacts (t, a, b) that the frame before had and t has not (lost), or the reverse (gained)."""
+    keys = ["t", "a", "b"]
+    rows = contacts.select(*keys).distinct()
+    later = rows.select((F.col("t") + 1).alias("t"), "a", "b")
+    lost = later.where(F.col("t") <= last).join(rows, keys, "left_anti").withColumn("event", F.lit("lost"))
+    gained = rows.where(F.col("t") > first).join(later, keys, "left_anti").withColumn("event", F.lit("gained"))
+    return lost.unionByName(gained)
+
+
+def orientation_step(points: DataFrame, axes: Sequence[Sequence[float]], features: Sequence[str]) -> DataFrame:
+    """(cluster, n, mean tensor): directions assigned to the axis with the largest |cos|, ties to the first; null vectors
+    take no part. The tensor's main axis is the cluster's next one."""
+    length = F.sqrt(sum((F.col(f) * F.col(f) for f in features), F.lit(0.0)))
+    unit = points.where(length > 0).select(*[(F.col(f) / length).alias(f) for f in features])
+    near = [-F.abs(sum((F.col(f) * float(c) for f, c in zip(features, axis, strict=True)), F.lit(0.0))) for axis in axes]
+    cluster = F.array_min(F.array(*[F.struct(c.alias("d"), F.lit(i).alias("i")) for i, c in enumerate(near)]))["i"]
+    pairs = [(p, q) for i, p in enumerate(features) for q in features[i:]]
+    return unit.groupBy(cluster.alias("cluster")).agg(F.count("*").alias("n"), *[F.avg(F.col(p) * F.col(q)).alias(p + q) for p, q in pairs])
+
+
+def orientation_kmeans(points: DataFrame, axes: Sequence[Sequence[float]], features: Sequence[str], epsilon: float = 1e-6, rounds: int = 50) -> list[list[float]]:
+    """Axes moved to their clusters' main directions until none turns by more than epsilon (1 - |cos|)."""
+    import numpy as np
+
+    axes = [list(map(float, a)) for a in axes]
+    pairs = [(i, j) for i in range(len(features)) for j in range(i, len(features))]
+    for _ in range(rounds):
+        found = {r["cluster"]: r for r in orientation_step(points, axes, features).collect()}  # a row a cluster
+        new = []
+        for c, axis in enumerate(axes):
+            tensor = np.zeros((len(features), len(features)))
+            if c in found:
+                for i, j in pairs:
+                    tensor[i, j] = tensor[j, i] = found[c][features[i] + features[j]]
+                axis = np.linalg.eigh(tensor)[1][:, -1].tolist()
+            new.append(axis)
+        turned = max(1 - abs(float(np.dot(a, b))) for a, b in zip(axes, new, strict=True))
+        axes = new
+        if turned <= epsilon:
+            break
+    return axes

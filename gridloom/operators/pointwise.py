@@ -160,3 +160,29 @@ def tiles(df: DataFrame, levels: int) -> DataFrame:
         now = now.groupBy(F.floor(F.col("x") / 2).cast("int").alias("x"), F.floor(F.col("y") / 2).cast("int").alias("y")).agg(F.avg("v").alias("v")).select(F.lit(level).alias("level"), "x", "y", "v")
         out = out.unionByName(now)
     return out
+
+
+def map_voxels(df: DataFrame, **columns: Column) -> DataFrame:
+    """Keys and value mapped together by expressions of the old ones; keys stay whole numbers."""
+    return df.select(*[columns.get(k, F.col(k)).cast("int").alias(k) for k in KEYS], columns.get("v", F.col("v")).alias("v"))
+
+
+def magnitude(v: Column) -> Column:
+    """Length of an array-valued voxel."""
+    return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+
+
+def matrix_op(a: DataFrame, b: DataFrame, op: str) -> DataFrame:
+    """Sum, difference or product, entry by entry, of coordinate matrices; entries that one lacks are 0."""
+    p, q = F.coalesce("va", F.lit(0.0)), F.coalesce("vb", F.lit(0.0))
+    joined = a.withColumnRenamed("v", "va").join(b.withColumnRenamed("v", "vb"), ["row", "col"], "full_outer")
+    return joined.select("row", "col", {"+": p + q, "-": p - q, "*": p * q}[op].alias("v"))
+
+
+def crop_slices(slices: DataFrame, nx: int, pos: Sequence[int], dim: Sequence[int], padding: float = 0.0) -> DataFrame:
+    """Slices (z, data) of the box [pos, pos + dim), each cut to it; slices that are not there are blank."""
+    (x0, y0, z0), (mx, my, mz) = pos, dim
+    cut = F.flatten(F.transform(F.sequence(F.lit(y0), F.lit(y0 + my - 1)), lambda y: F.slice("data", y * nx + x0 + 1, mx)))
+    found = slices.where((F.col("z") >= z0) & (F.col("z") < z0 + mz)).select("z", cut.alias("data"))
+    every = slices.sparkSession.range(z0, z0 + mz).select(F.col("id").cast("int").alias("z"))
+    return every.join(found, "z", "left").select("z", F.coalesce("data", F.array_repeat(F.lit(padding), mx * my)).alias("data"))

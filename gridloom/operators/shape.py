@@ -127,11 +127,11 @@ def sphericity(volume: Column, radius: Column) -> Column:
     return F.when(radius > 0, volume / (4 / 3 * pi * F.pow(4 / 3 * radius, 3))).otherwise(F.lit(0.0))
 
 
-def hull(points: np.ndarray) -> tuple[float, float, int]:
-    """Area, volume and number of faces of the convex hull of 3-D points; zeros if they lie in a plane."""
+def hull_faces(points: np.ndarray) -> tuple[np.ndarray, set[tuple[int, int, int]], np.ndarray]:
+    """Distinct points, the faces of their convex hull, outward, and a point inside; no faces if they lie in a plane."""
     pts = np.unique(points, axis=0).astype(float)
     if len(pts) < 4:
-        return 0.0, 0.0, 0
+        return pts, set(), pts[:0]
     i0 = 0
     i1 = int(np.argmax(((pts - pts[i0]) ** 2).sum(1)))
     line = pts[i1] - pts[i0]
@@ -141,7 +141,7 @@ def hull(points: np.ndarray) -> tuple[float, float, int]:
     i3 = int(np.argmax(np.abs(side)))
     scale = np.abs(pts).max() + 1
     if abs(side[i3]) <= 1e-9 * scale**3:
-        return 0.0, 0.0, 0
+        return pts, set(), pts[:0]
     inner = pts[[i0, i1, i2, i3]].mean(0)
 
     def face(a, b, c):
@@ -155,6 +155,12 @@ def hull(points: np.ndarray) -> tuple[float, float, int]:
             edges = {e for f in seen for e in ((f[0], f[1]), (f[1], f[2]), (f[2], f[0]))}
             faces -= set(seen)
             faces |= {(a, b, p) for a, b in edges if (b, a) not in edges}
+    return pts, faces, inner
+
+
+def hull(points: np.ndarray) -> tuple[float, float, int]:
+    """Area, volume and number of faces of the convex hull of 3-D points; zeros if they lie in a plane."""
+    pts, faces, inner = hull_faces(points)
     area = volume = 0.0
     for a, b, c in faces:
         n = np.cross(pts[b] - pts[a], pts[c] - pts[a])
@@ -163,16 +169,57 @@ def hull(points: np.ndarray) -> tuple[float, float, int]:
     return area, volume, len(faces)
 
 
+#: Edge of the blocks whose hulls are taken first.
+HULL_BLOCK = 64
+
+
 def hulls(labels: DataFrame) -> DataFrame:
-    """(label, area, hull_volume, faces). Only the ends of each object's x runs, then y runs, go to Python: inner
-    voxels cannot be corners, so a group has at most four voxels a plane and row of the object's surface."""
+    """(label, area, hull_volume, faces). Only the ends of each object's x runs, then y runs, go to Python, as inner
+    voxels cannot be corners; there each block of the image gives its own hull's corners, and an object's hull is that
+    of its blocks' corners."""
     ends = labels.where("label > 0")
     for line in ("x", "y", "z"):
         others = [k for k in KEYS if k != line]
         lo_hi = ends.groupBy("label", *others).agg(F.min(line).alias("lo"), F.max(line).alias("hi"))
         ends = lo_hi.select("label", *others, F.explode(F.array_distinct(F.array("lo", "hi"))).alias(line))
+    block = [F.floor(F.col(k) / HULL_BLOCK).alias(f"b{k}") for k in KEYS]
+
+    def corners(key, frame):
+        pts, faces, _ = hull_faces(frame[KEYS].to_numpy())
+        pts = pts[sorted({i for f in faces for i in f})] if faces else pts
+        return pd.DataFrame(pts.astype(int), columns=KEYS).assign(label=key[0])[["label", *KEYS]]
 
     def one(key, frame):
         return pd.DataFrame([(key[0], *hull(frame[KEYS].to_numpy()))], columns=["label", "area", "hull_volume", "faces"])
 
-    return ends.groupBy("label").applyInPandas(one, "label long, area double, hull_volume double, faces int")
+    outer = ends.select("label", *KEYS, *block).groupBy("label", *[f"b{k}" for k in KEYS]).applyInPandas(corners, "label long, x int, y int, z int")
+    return outer.groupBy("label").applyInPandas(one, "label long, area double, hull_volume double, faces int")
+
+
+def info(labels: DataFrame) -> DataFrame:
+    """One row: the number of objects and their mean volume."""
+    return labels.where("label > 0").groupBy("label").agg(F.count("*").alias("n")).agg(F.count("*").alias("groups"), F.avg("n").alias("average_volume"))
+
+
+def gray_columns(labels: DataFrame, values: DataFrame, over: float | None = None, invert: bool = False, mask: DataFrame | None = None) -> DataFrame:
+    """gray_stats with covariances of place and value (cov), value-weighted spread about the plain centroid (sov) and the
+    angle in degrees between the object's position and its gradient (ang). invert takes values under the threshold; with
+    a mask only its true voxels count. One aggregation: the spread comes from moments."""
+    rows = labels.where("label > 0").join(values, KEYS)
+    if over is not None:
+        rows = rows.where(F.col("v") < over if invert else F.col("v") >= over)
+    if mask is not None:
+        rows = rows.join(mask.where("v").select(*KEYS), KEYS, "left_semi")
+    w = F.sum("v")
+    means = {k: F.avg(k) for k in KEYS}
+    weighted = {k: F.try_divide(F.sum(F.col(k) * F.col("v")), w) for k in KEYS}
+    spread = {k: F.sqrt(F.greatest(F.try_divide(F.sum(F.col(k) * F.col(k) * F.col("v")), w) - 2 * means[k] * weighted[k] + means[k] * means[k], F.lit(0.0))) for k in KEYS}
+    g = rows.groupBy("label").agg(
+        F.count("*").alias("n"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"),
+        *[F.covar_pop(k, "v").alias(f"cov_{k}") for k in KEYS], *[means[k].alias(f"pos_{k}") for k in KEYS], *[weighted[k].alias(f"com_{k}") for k in KEYS], *[spread[k].alias(f"sov_{k}") for k in KEYS],
+    )
+    grads = {k: F.col(f"com_{k}") - F.col(f"pos_{k}") for k in KEYS}
+    length = F.sqrt(sum((c * c for c in grads.values()), F.lit(0.0)))
+    away = F.sqrt(sum((F.col(f"pos_{k}") * F.col(f"pos_{k}") for k in KEYS), F.lit(0.0)))
+    dot = F.try_divide(sum((grads[k] * F.col(f"pos_{k}") for k in KEYS), F.lit(0.0)), length * away)
+    return g.select("*", *[c.alias(f"grad_{k}") for k, c in grads.items()], length.alias("grad"), F.degrees(F.acos(F.least(F.greatest(dot, F.lit(-1.0)), F.lit(1.0)))).alias("ang"))

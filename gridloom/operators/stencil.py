@@ -78,9 +78,9 @@ def gradient(df: DataFrame, n: int = 1) -> DataFrame:
 
 
 def laplace(df: DataFrame, n: int = 1) -> DataFrame:
-    """Difference of the mean at the edge and at the centre (distance rounded below 1)."""
-    near = F.round(_distance(*OFFSET)) < 1
-    return stencil(df, kernels.full(n), v=F.abs(F.avg(F.when(~near, F.col("v"))) - F.avg(F.when(near, F.col("v")))))
+    """Difference of the mean at the edge (distance rounded to 1 or 2) and at the centre (below 1); 0 without an edge."""
+    r = F.round(_distance(*OFFSET))
+    return stencil(df, kernels.full(n), v=F.coalesce(F.abs(F.avg(F.when((r >= 1) & (r <= 2), F.col("v"))) - F.avg(F.when(r < 1, F.col("v")))), F.lit(0.0)))
 
 
 def median(df: DataFrame, n: int = 1) -> DataFrame:
@@ -144,7 +144,7 @@ def filter_scale(df: DataFrame, dim: Sequence[int], up: int, down: int, r: float
     for k, n in zip(KEYS, dim, strict=True):
         size = n * up // down
         low = F.greatest(F.lit(0), F.floor((F.col(k) - down) * up / down)).cast("int")
-        high = F.least(F.lit(size - 1), F.ceil((F.col(k) + down) * up / down)).cast("int")
+        high = F.least(F.lit(size - 1), F.ceil((F.col(k) + down + 1) * up / down)).cast("int")
         rows = rows.where(high >= low).withColumn(f"o{k}", F.explode(F.sequence(low, high)))
         p = F.col(f"o{k}") * down / up
         rows = rows.where((F.col(k) >= F.floor(p - down)) & (F.col(k) < F.ceil(p + down)))

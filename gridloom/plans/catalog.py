@@ -10,10 +10,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import sqlfn
-from ..operators import algebra, components, contour, grow, hist, kernels, match, pointwise, shape, stencil
+from ..operators import algebra, components, contour, grow, hist, kernels, keyed, match, pointwise, shape, stencil
 from ..sources import phantoms, tables
 from ..streaming import frames
-from . import params, workflow
+from . import oracles, params, workflow
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -285,12 +285,15 @@ def erode_image(spark, d):
     return stencil.erode(mask(spark, d), occupancy=0.6)
 
 
-@query(None)
+KERNEL = f"((a.x = b.x AND a.y = b.y AND a.z = b.z) OR {CROSS})"
+
+
+@query(f"{VOX}, {DENSE}, {oracles.morphology('d', 'dense', KERNEL, True)}, {oracles.morphology('e', 'd', KERNEL, False)} SELECT x, y, z, v FROM e")
 def close_image(spark, d):
     return stencil.closing(mask(spark, d), kernels.cross())
 
 
-@query(None)
+@query(f"{VOX}, {DENSE}, {oracles.morphology('e', 'dense', KERNEL, False)}, {oracles.morphology('d', 'e', KERNEL, True)} SELECT x, y, z, v FROM d")
 def open_image(spark, d):
     return stencil.opening(mask(spark, d), kernels.cross())
 
@@ -312,9 +315,11 @@ def filter_scale_half(spark, d):
     return stencil.filter_scale(vox(spark, d), DIM, 1, 2).select(*KEYS, *r6("v"))
 
 
-@query(None)
+@query(
+    f"{VOX}, o AS (SELECT CAST(ox AS INT) AS ox, CAST(oy AS INT) AS oy, CAST(oz AS INT) AS oz FROM (SELECT unnest(range(24)) AS ox), (SELECT unnest(range(24)) AS oy), (SELECT unnest(range(12)) AS oz)), w AS (SELECT ox, oy, oz, ox * 2 / 3 AS px, oy * 2 / 3 AS py, oz * 2 / 3 AS pz FROM o), p AS (SELECT ox, oy, oz, v, exp(-(pow(x - px, 2) + pow(y - py, 2) + pow(z - pz, 2))) AS w FROM w JOIN vox ON x >= floor(px - 2) AND x < ceil(px + 2) AND y >= floor(py - 2) AND y < ceil(py + 2) AND z >= floor(pz - 2) AND z < ceil(pz + 2)) SELECT ox AS x, oy AS y, oz AS z, ROUND(SUM(v * w) / SUM(w), 6) AS v FROM p GROUP BY 1, 2, 3"
+)
 def filter_scale_up(spark, d):
-    return stencil.filter_scale(vox(spark, d), DIM, 3, 2)
+    return stencil.filter_scale(vox(spark, d), DIM, 3, 2).select(*KEYS, *r6("v"))
 
 
 # Labels, growth, thickness
@@ -355,28 +360,41 @@ def centroid_voronoi_labels(spark, d):
     return out.select(*KEYS, "label", *r6("dist"))
 
 
-@query(None)
+@query(f"{COMPONENTS}, {DENSE}, {OFF}, big AS (SELECT * FROM lab WHERE label IN (SELECT label FROM lab GROUP BY label HAVING COUNT(*) >= 3)), t AS (SELECT x, y, z FROM dense WHERE v), {oracles.grown('g', 'big', 't')} SELECT x, y, z, COALESCE(label, 0) AS label, ROUND(COALESCE(dist, -1), 6) AS dist FROM t LEFT JOIN g USING (x, y, z)")
 def region_growing(spark, d):
     lab = components.label(sparse(spark, d), DIM, kernels.cross(), min_voxels=3)
-    return grow.kvoronoi(lab, mask(spark, d))
+    return grow.kvoronoi(lab, mask(spark, d)).select(*KEYS, "label", *r6("dist"))
+
 
+DISTANCE = f"WITH RECURSIVE {vox_sql()}, {OFF}, {DENSE}, back AS (SELECT x, y, z, 1::BIGINT AS label FROM dense WHERE NOT v), {oracles.grown('g', 'back', 'dense')}, dm AS (SELECT x, y, z, g.dist FROM g JOIN dense USING (x, y, z) WHERE dense.v)"
 
-@query(None)
+
+@query(f"{DISTANCE} SELECT x, y, z, ROUND(dist, 6) AS dist FROM dm")
 def distance_to_background(spark, d):
-    return grow.distance_map(mask(spark, d))
+    return grow.distance_map(mask(spark, d)).select(*KEYS, *r6("dist"))
+
 
+RIDGE = "ridge AS (SELECT a.x, a.y, a.z, a.dist FROM dm a CROSS JOIN off LEFT JOIN dm b ON b.x = a.x + dx AND b.y = a.y + dy AND b.z = a.z + dz WHERE a.dist > 0.5 AND NOT (dx = 0 AND dy = 0 AND dz = 0) AND a.x + dx BETWEEN 0 AND 15 AND a.y + dy BETWEEN 0 AND 15 AND a.z + dz BETWEEN 0 AND 7 GROUP BY a.x, a.y, a.z, a.dist HAVING sqrt(pow(SUM(dx * COALESCE(b.dist, 0)), 2) + pow(SUM(dy * COALESCE(b.dist, 0)), 2) + pow(SUM(dz * COALESCE(b.dist, 0)), 2)) <= 0.45 * COUNT(*))"
 
-@query(None)
+
+@query(f"{DISTANCE}, {RIDGE} SELECT dm.x, dm.y, dm.z, ROUND(COALESCE(MAX(r.dist), 0), 6) AS thickness FROM dm LEFT JOIN ridge r ON pow(dm.x - r.x, 2) + pow(dm.y - r.y, 2) + pow(dm.z - r.z, 2) < r.dist * r.dist GROUP BY 1, 2, 3")
 def hildebrand_thickness(spark, d):
-    return grow.thickness(grow.distance_map(mask(spark, d)))
+    return grow.thickness(grow.distance_map(mask(spark, d)), DIM, min_wall=0.5).select(*KEYS, *r6("thickness"))
+
 
+PEAKS = f"tops AS (SELECT a.x, a.y, a.z, a.v FROM vox a CROSS JOIN off JOIN vox b ON b.x = a.x + dx AND b.y = a.y + dy AND b.z = a.z + dz GROUP BY 1, 2, 3, 4 HAVING MAX(b.v) <= a.v)"
 
-@query(None)
+
+@query(
+    f"WITH RECURSIVE {vox_sql()}, {OFF}, {PEAKS}, p AS (SELECT x, y, z, v / 300 AS r, row_number() OVER (ORDER BY v DESC, x, y, z) AS n FROM tops), s(n, kept) AS (SELECT 0::BIGINT, []::STRUCT(x INT, y INT, z INT, r DOUBLE)[] UNION ALL SELECT p.n, CASE WHEN len(list_filter(kept, lambda k: 100 * (k.r + p.r - sqrt(pow(p.x - k.x, 2) + pow(p.y - k.y, 2) + pow(p.z - k.z, 2))) / p.r >= 40)) = 0 THEN list_append(kept, {{'x': p.x, 'y': p.y, 'z': p.z, 'r': p.r}}) ELSE kept END FROM s JOIN p ON p.n = s.n + 1), last AS (SELECT unnest(kept) AS k FROM s WHERE n = (SELECT MAX(n) FROM s)) SELECT k.x AS x, k.y AS y, k.z AS z, ROUND(k.r, 6) AS dist FROM last"
+)
 def bubble_seeds(spark, d):
-    return grow.seeds(vox(spark, d).select(*KEYS, (F.col("v") / 300).alias("dist")))
+    return grow.seeds(vox(spark, d).select(*KEYS, (F.col("v") / 300).alias("dist"))).select(*KEYS, *r6("dist"))
 
 
-@query(None)
+@query(
+    f"WITH RECURSIVE {vox_sql()}, {OFF}, {PEAKS}, up AS (SELECT a.x, a.y, a.z, a.v, arg_min({{'x': b.x, 'y': b.y, 'z': b.z}}, {{'v': -b.v, 'x': b.x, 'y': b.y, 'z': b.z}}) AS t, MAX(b.v) AS top FROM vox a CROSS JOIN off JOIN vox b ON b.x = a.x + dx AND b.y = a.y + dy AND b.z = a.z + dz GROUP BY 1, 2, 3, 4), nxt AS (SELECT x, y, z, CASE WHEN top > v THEN t ELSE {{'x': x, 'y': y, 'z': z}} END AS t FROM up), way(x, y, z, t) AS (SELECT x, y, z, t FROM nxt UNION SELECT w.x, w.y, w.z, n.t FROM way w JOIN nxt n ON n.x = w.t.x AND n.y = w.t.y AND n.z = w.t.z), ends AS (SELECT w.x, w.y, w.z, w.t FROM way w JOIN nxt n ON n.x = w.t.x AND n.y = w.t.y AND n.z = w.t.z AND n.t = w.t) SELECT x, y, z, CASE WHEN EXISTS (SELECT 1 FROM tops p WHERE p.x = t.x AND p.y = t.y AND p.z = t.z) THEN CAST(t.x + 16 * (t.y + 16 * t.z) + 1 AS BIGINT) ELSE 0 END AS label FROM ends"
+)
 def watershed_growth(spark, d):
     dist = vox(spark, d).select(*KEYS, F.col("v").alias("dist"))
     peaks = grow.local_maxima(dist).select(*KEYS, (pointwise.linear_index(16, 16) + 1).alias("label"))
@@ -388,7 +406,7 @@ def circle_contour(spark, d):
     return contour.contour(mask(spark, d), "circle")
 
 
-@query(None)
+@query(f"{VOX}, {DENSE}, t AS (SELECT * FROM dense WHERE v), c AS (SELECT z, AVG(x) AS cx, AVG(y) AS cy FROM t GROUP BY z), b AS (SELECT d.x, d.y, d.z, d.v, sqrt(pow(x - cx, 2) + pow(y - cy, 2)) AS r, LEAST(floor((atan2(y - cy, x - cx) + pi()) / (2 * pi()) * 16), 15) AS bin FROM dense d LEFT JOIN c USING (z)), m AS (SELECT z, bin, MAX(r) AS most FROM b WHERE v GROUP BY 1, 2) SELECT x, y, b.z, COALESCE(r <= most, false) AS v FROM b LEFT JOIN m ON m.z = b.z AND m.bin = b.bin")
 def polygon_contour(spark, d):
     return contour.contour(mask(spark, d), "polygon")
 
@@ -408,9 +426,15 @@ def shape_analysis(spark, d):
     return shape.shape_analysis(labelled(spark, d).drop("v")).select("lacuna_number", "volume", *r6("pos_x", "std_x", "obj_radius", "obj_radius_std"))
 
 
-@query(None)
+def _axis(k: int) -> str:
+    return oracles.largest_eigenvalue("covar_pop(x, x)", "covar_pop(y, y)", "covar_pop(z, z)", "covar_pop(x, y)", "covar_pop(x, z)", "covar_pop(y, z)", k)
+
+
+@query(f"{COMPONENTS} SELECT label AS lacuna_number, CAST(COUNT(*) AS DOUBLE) AS volume, {', '.join(f'ROUND(AVG({k}), 6) AS pos_{k}, ROUND(stddev_pop({k}), 6) AS std_{k}, CAST(MAX({k}) - MIN({k}) AS DOUBLE) AS proj_{k}' for k in KEYS)}, {', '.join(f'ROUND(sqrt(GREATEST({_axis(k)}, 0)), 4) AS pca{k + 1}_s' for k in range(3))} FROM lab GROUP BY label")
 def shape_analysis_full(spark, d):
-    return shape.shape_analysis(labelled(spark, d).drop("v"))
+    """Of real components; the axes' directions are left out, as equal eigenvalues leave them open."""
+    out = shape.shape_analysis(components.label(sparse(spark, d), DIM, kernels.cross()))
+    return out.select("lacuna_number", "volume", *r6(*[f"{c}_{k}" for k in KEYS for c in ("pos", "std")]), *[f"proj_{k}" for k in KEYS], *[F.round(f"pca{k}_s", 4).alias(f"pca{k}_s") for k in (1, 2, 3)])
 
 
 @query(f"{VOX}, {LABELS} SELECT label, COUNT(*) AS n, ROUND(AVG(v), 6) AS mean, ROUND(stddev_pop(v), 6) AS std, MIN(v) AS min, MAX(v) AS max, ROUND(SUM(x * v) / SUM(v) - AVG(x), 6) AS grad_x FROM lab WHERE v >= 300 GROUP BY label")
@@ -429,18 +453,25 @@ def neighbour_counts(spark, d):
     return shape.neighbour_counts(labelled(spark, d).drop("v"))
 
 
-@query(None)
+@query("WITH g AS (SELECT label, a, b, c FROM (SELECT unnest([1, 2, 3]) AS label, unnest([9, 70, 5]) AS a, unnest([4, 7, 5]) AS b, unnest([3, 66, 5]) AS c)) SELECT CAST(label AS BIGINT) AS label, CAST(2 * ((a - 1) * (b - 1) + (a - 1) * (c - 1) + (b - 1) * (c - 1)) AS DOUBLE) AS area, CAST((a - 1) * (b - 1) * (c - 1) AS DOUBLE) AS hull_volume FROM g")
 def convex_hulls(spark, d):
-    return shape.hulls(labelled(spark, d).drop("v"))
+    """Of three boxes, one of them over several blocks: the hull of a box is the box."""
+    boxes = [phantoms.grid(spark, dim, F.lit(True), pos).select(*KEYS, F.lit(i).cast("long").alias("label")) for i, (dim, pos) in enumerate((((9, 4, 3), (0, 0, 0)), ((70, 7, 66), (20, 0, 0)), ((5, 5, 5), (100, 60, 60))), 1)]
+    return shape.hulls(boxes[0].union(boxes[1]).union(boxes[2])).select("label", *r6("area", "hull_volume"))
+
+
+REGIONS = f"{COMPONENTS}, {OFF}, whole AS (SELECT x, y, z FROM vox), {oracles.grown('g', 'lab', 'whole')}, edges AS (SELECT a.label AS a, b.label AS b, COUNT(*) AS n FROM g a CROSS JOIN off JOIN g b ON b.x = a.x + dx AND b.y = a.y + dy AND b.z = a.z + dz WHERE a.label <> b.label GROUP BY 1, 2)"
 
 
-@query(f"{COMPONENTS} SELECT label AS lacuna_number, CAST(COUNT(*) AS DOUBLE) AS volume, ROUND(AVG(x), 6) AS pos_x, ROUND(AVG(y), 6) AS pos_y, ROUND(AVG(z), 6) AS pos_z FROM lab GROUP BY label")
+@query(
+    f"{REGIONS}, m AS (SELECT label, COUNT(*) AS n, {', '.join(f'AVG({k}) AS m{k}, stddev_pop({k}) AS s{k}' for k in KEYS)} FROM lab GROUP BY label), k AS (SELECT lab.label, AVG(sqrt(pow(x - mx, 2) + pow(y - my, 2) + pow(z - mz, 2))) AS radius FROM lab JOIN m USING (label) GROUP BY lab.label), w AS (SELECT label, COUNT(*) AS region_volume FROM g GROUP BY label), e AS (SELECT a AS label, COUNT(*) AS neighbours FROM edges GROUP BY a) SELECT label AS lacuna_number, CAST(n AS DOUBLE) AS volume, {', '.join(f'ROUND(m{k}, 6) AS pos_{k}, ROUND(s{k}, 6) AS std_{k}' for k in KEYS)}, ROUND(radius, 6) AS obj_radius, region_volume, ROUND(n / region_volume, 6) AS density, COALESCE(neighbours, 0) AS neighbours FROM m JOIN k USING (label) LEFT JOIN w USING (label) LEFT JOIN e USING (label)"
+)
 def flagship_analyze_phase(spark, d):
     out = workflow.analyze_phase(sparse(spark, d), DIM, offsets=kernels.cross())
-    return out["objects"].select("lacuna_number", "volume", *r6("pos_x", "pos_y", "pos_z"))
+    return out["objects"].select("lacuna_number", "volume", *r6(*[f"{c}_{k}" for k in KEYS for c in ("pos", "std")], "obj_radius"), "region_volume", *r6("density"), "neighbours")
 
 
-@query(None)
+@query(f"{REGIONS} SELECT a, b, n FROM edges")
 def analyze_phase_edges(spark, d):
     return workflow.analyze_phase(sparse(spark, d), DIM, offsets=kernels.cross())["edges"]
 
@@ -532,14 +563,25 @@ def t_test(spark, d):
     return sqlfn.ttest(table(spark, d, "lineitem"), "l_returnflag", "l_discount", "l_tax").select("l_returnflag", F.round("t", 5).alias("t"))
 
 
-@query(None)
+_POOLED = "(AVG(a) - AVG(b)) / sqrt(((COUNT(a) - 1) * var_samp(a) + (COUNT(b) - 1) * var_samp(b)) / (COUNT(a) + COUNT(b) - 2) * (1.0 / COUNT(a) + 1.0 / COUNT(b)))"
+
+
+@query(f"WITH t AS (SELECT l_suppkey, {_POOLED} AS t, COUNT(a) + COUNT(b) - 2 AS n FROM (SELECT l_suppkey, l_discount AS a, l_tax * 1.25 AS b FROM lineitem) GROUP BY 1) SELECT l_suppkey, ROUND(t, 5) AS t, ROUND({oracles.t_pvalue('t', 'n')}, 5) AS p FROM t")
 def t_test_pvalue(spark, d):
-    return sqlfn.ttest(table(spark, d, "lineitem"), "l_linestatus", "l_discount", "l_tax")
+    rows = table(spark, d, "lineitem").select("l_suppkey", "l_discount", (F.col("l_tax") * 1.25).alias("tax"))
+    return sqlfn.ttest(rows, "l_suppkey", "l_discount", "tax").select("l_suppkey", F.round("t", 5).alias("t"), F.round("p", 5).alias("p"))
+
 
+def _texture(w: str) -> str:
+    p = {"x": "(x - 7.5)", "y": "(y - 7.5)", "z": "(z - 4.0)"}
+    c = [f"SUM({w} * {p[a]} * {p[b]}) / SUM({w})" for a, b in ("xx", "yy", "zz", "xy", "xz", "yz")]
+    return f"ROUND(CASE WHEN COUNT(*) < 2 THEN 100 ELSE 150 * ({oracles.largest_eigenvalue(*c)} / ({c[0]} + {c[1]} + {c[2]}) - 1 / 3) END, 5)"
 
-@query(None)
+
+@query(f"{VOX}, {LABELS} SELECT label, {_texture('1.0::DOUBLE')} AS texture, {_texture('v')} AS wtexture FROM lab GROUP BY label")
 def texture_alignment(spark, d):
-    return labelled(spark, d).groupBy("label").agg(sqlfn.texture(F.col("x") - 7.5, F.col("y") - 7.5, F.col("z") - 4.0).alias("texture"), sqlfn.texture(F.col("x") - 7.5, F.col("y") - 7.5, F.col("z") - 4.0, F.col("v")).alias("wtexture"))
+    p = [F.col("x") - 7.5, F.col("y") - 7.5, F.col("z") - 4.0]
+    return labelled(spark, d).groupBy("label").agg(F.round(sqlfn.texture(*p), 5).alias("texture"), F.round(sqlfn.texture(*p, F.col("v")), 5).alias("wtexture"))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_totalprice < 1000 THEN 0 WHEN o_totalprice > 200000 THEN 30 ELSE CAST(ROUND((o_totalprice - 1000) / 199000 * 30) AS INT) END AS bin, ROUND(CASE WHEN o_totalprice < 1000 THEN 0 WHEN o_totalprice > 200000 THEN 30 ELSE ROUND((o_totalprice - 1000) / 199000 * 30) END * (199000.0 / 30) + 1000, 6) AS low FROM orders")
@@ -566,10 +608,10 @@ def sql_functions(spark, d):
     return spark.sql("SELECT c_custkey, round(cosd(c_acctbal), 6) AS c, round(sq(c_acctbal), 4) AS q, linspace(c_acctbal, 0, 9000, 10) AS b FROM {t}", t=table(spark, d, "customer"))
 
 
-@query("SELECT CAST(floor(l_quantity / 10) AS BIGINT) AS gx, CAST(floor(l_discount / 0.03) AS BIGINT) AS gy, COUNT(*) AS n, ROUND(AVG(l_extendedprice), 4) AS mean FROM lineitem GROUP BY 1, 2")
+@query("SELECT CAST(floor(l_quantity / 10) AS BIGINT) AS gx, CAST(floor(l_discount / 0.003 / 10) AS BIGINT) AS gy, COUNT(*) AS n, ROUND(AVG(l_extendedprice), 4) AS mean FROM lineitem GROUP BY 1, 2")
 def grid_average(spark, d):
-    rows = table(spark, d, "lineitem").select(F.floor(F.col("l_quantity") / 10).alias("gx"), F.floor(F.col("l_discount") / 0.03).alias("gy"), "l_extendedprice")
-    return rows.groupBy("gx", "gy").agg(F.count("*").alias("n"), F.round(F.avg("l_extendedprice"), 4).alias("mean"))
+    rows = table(spark, d, "lineitem").groupBy(sqlfn.grid2d(F.col("l_quantity"), F.col("l_discount") / 0.003, 10).alias("g"))
+    return rows.agg(F.count("*").alias("n"), F.round(F.avg("l_extendedprice"), 4).alias("mean")).select("g.gx", "g.gy", "n", "mean")
 
 
 @query("WITH c AS (SELECT label, vec_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z FROM embeddings), m AS (SELECT label, AVG(x) AS mx, AVG(y) AS my, AVG(z) AS mz FROM c GROUP BY label) SELECT vec_id, ROUND(x - mx, 6) AS x, ROUND(y - my, 6) AS y, ROUND(z - mz, 6) AS z FROM c JOIN m USING (label)")
@@ -597,7 +639,7 @@ POINTS = "pts AS (SELECT vec_id AS id, label, CAST(embedding[1] AS DOUBLE) AS x,
 @query(f"WITH {POINTS}, p AS (SELECT a.id, b.id AS other, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)) AS dist FROM pts a JOIN pts b ON a.id <> b.id), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, other) AS k FROM p) SELECT id, other, ROUND(dist, 6) AS dist FROM r WHERE k = 1")
 def nearest_neighbour(spark, d):
     p = points(spark, d)
-    return match.nearest(p, p, 0.1).select("id", "other", *r6("dist"))
+    return match.nearest(p, p).select("id", "other", *r6("dist"))
 
 
 @query(
@@ -608,10 +650,10 @@ def track_match(spark, d):
     return match.match_frames(p.where("id % 2 = 0"), p.where("id % 2 = 1"), 0.2).select("a", "b", F.round("match_dist", 4).alias("match_dist"), "bij_matched")
 
 
-@query("SELECT event_id, user_id, ROUND(value - lag(value) OVER w, 6) AS step, row_number() OVER w - 1 AS t FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
+@query("WITH p AS (SELECT event_id, user_id, value AS x, value * value AS y, CAST(event_id % 7 AS DOUBLE) AS z FROM events), s AS (SELECT *, x - lag(x) OVER w AS dx, y - lag(y) OVER w AS dy, z - lag(z) OVER w AS dz FROM p WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) SELECT event_id, user_id, ROUND(dx, 6) AS dx, ROUND(sqrt(dx * dx + dy * dy + dz * dz), 4) AS step, ROUND(COALESCE(SUM(sqrt(dx * dx + dy * dy + dz * dz)) OVER (PARTITION BY user_id ORDER BY event_id), 0), 3) AS path FROM s")
 def track_displacement(spark, d):
-    w = W.partitionBy("user_id").orderBy("ts", "event_id")
-    return table(spark, d, "events").select("event_id", "user_id", F.round(F.col("value") - F.lag("value").over(w), 6).alias("step"), (F.row_number().over(w) - 1).cast("long").alias("t"))
+    e = table(spark, d, "events").select("event_id", "user_id", F.col("value").alias("x"), (F.col("value") * F.col("value")).alias("y"), (F.col("event_id") % 7).cast("double").alias("z"))
+    return match.displacement(e, ["user_id"], "event_id").select("event_id", "user_id", *r6("dx"), F.round("step", 4).alias("step"), F.round("path", 3).alias("path"))
 
 
 @query("WITH s AS (SELECT user_id, date_trunc('day', ts) AS day, bool_or(event_type = (SELECT MIN(event_type) FROM events)) AS present FROM events GROUP BY 1, 2) SELECT user_id, day, CAST(present AS INT) - COALESCE(CAST(lag(present) OVER (PARTITION BY user_id ORDER BY day) AS INT), 0) AS change FROM s")
@@ -622,7 +664,9 @@ def status_changes(spark, d):
     return match.appearances(s, ["user_id"], "day").select("user_id", "day", "change")
 
 
-@query(None)
+@query(
+    "WITH RECURSIVE e AS (SELECT DISTINCT event_id % 50 AS t, user_id % 1000 AS id, event_id % 997 % 1000 AS n FROM events), l AS (SELECT {'t': t, 'id': id} AS a, {'t': t + 1, 'id': n} AS b FROM e), lb AS (SELECT a, b FROM l UNION SELECT b, a FROM l), r AS (SELECT a, a AS b FROM lb UNION SELECT r.a, j.b FROM r JOIN lb j ON r.b = j.a), m AS (SELECT a, MIN(b) AS f FROM r GROUP BY a) SELECT a.t AS t, a.id AS id, f.t AS chain_t, f.id AS chain_id FROM m"
+)
 def track_chains(spark, d):
     e = table(spark, d, "events").select((F.col("event_id") % 50).alias("t"), (F.col("user_id") % 1000).alias("id"), (F.col("event_id") % 997 % 1000).alias("next_id"))
     return match.chains(e.distinct())
@@ -636,10 +680,10 @@ def kmeans_step(spark, d):
     return match.kmeans_step(points(spark, d), _CENTRES, ["x", "y", "z"]).select("cluster", "n", *r6("x", "y", "z"))
 
 
-@query(None)
+@query(f"WITH {POINTS}, {oracles.lloyd('pts', 'SELECT CAST(row_number() OVER (ORDER BY id) - 1 AS INT) AS cluster, x, y, z FROM (SELECT * FROM pts ORDER BY id LIMIT 4)', 5, ['x', 'y', 'z'], 4)} SELECT cluster, ROUND(x, 6) AS x, ROUND(y, 6) AS y, ROUND(z, 6) AS z FROM c5")
 def kmeans_centres(spark, d):
-    centres = match.kmeans(points(spark, d), 4, ["x", "y", "z"], "id")
-    return spark.createDataFrame([(i, *c) for i, c in enumerate(centres)], "cluster int, x double, y double, z double")
+    centres = match.kmeans(points(spark, d), 4, ["x", "y", "z"], "id", epsilon=0.0, rounds=5)
+    return spark.createDataFrame([(i, *c) for i, c in enumerate(centres)], "cluster int, x double, y double, z double").select("cluster", *r6("x", "y", "z"))
 
 
 @query(f"WITH {POINTS}, e AS (SELECT id AS a, id + 1 AS b FROM pts) SELECT e.a, e.b, ROUND((p.x + q.x) / 2, 6) AS mid_x, ROUND(q.y - p.y, 6) AS dir_y FROM e JOIN pts p ON p.id = e.a JOIN pts q ON q.id = e.b")
@@ -654,7 +698,7 @@ def graph_forces(spark, d):
     return match.forces(p, p.select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")), 0.5).select("id", *r6("fx"))
 
 
-@query(None)
+@query(f"WITH RECURSIVE {POINTS}, e AS (SELECT p.id AS a, q.id AS b FROM pts p JOIN pts q ON q.id = p.id + 1 WHERE abs(q.x - p.x) + abs(q.y - p.y) < 0.15), j AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a, a AS b FROM j UNION SELECT r.a, j.b FROM r JOIN j ON r.b = j.a) SELECT a AS node, MIN(b) AS root FROM r GROUP BY a")
 def grow_edge_groups(spark, d):
     p = points(spark, d)
     e = match.join_edges(p.select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")), p)
@@ -675,21 +719,15 @@ def set_operations(spark, d):
     return c.intersect(s).subtract(table(spark, d, "nation").where("n_regionkey = 0").select(F.col("n_nationkey").alias("k")))
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
-def subtract_by_key(spark, d):
-    c = table(spark, d, "customer")
-    return c.join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
-
-
 @query("SELECT c_custkey, n_name, (SELECT r_name FROM region WHERE r_regionkey = n_regionkey) AS r_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey")
 def named_objects(spark, d):
     n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"), "left")
     return table(spark, d, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey"), "left").select("c_custkey", "n_name", "r_name")
 
 
-@query(None)
+@query("SELECT l_orderkey, l_linenumber, l_returnflag FROM lineitem WHERE CAST(CAST('0x' || substr(md5('7:' || l_orderkey || ':' || l_linenumber), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 < CASE l_returnflag WHEN 'A' THEN 0.1 WHEN 'R' THEN 0.2 WHEN 'N' THEN 0.05 ELSE 0 END")
 def stratified_sample(spark, d):
-    return table(spark, d, "lineitem").sampleBy("l_returnflag", {"A": 0.1, "R": 0.2, "N": 0.05}, seed=7).groupBy("l_returnflag").count()
+    return keyed.sample_by_key(table(spark, d, "lineitem"), "l_returnflag", {"A": 0.1, "R": 0.2, "N": 0.05}, ["l_orderkey", "l_linenumber"], seed=7).select("l_orderkey", "l_linenumber", "l_returnflag")
 
 
 @query(f"{VOX} SELECT t AS threshold, s AS scale, COUNT(*) AS n, SUM(v * s) AS total FROM vox, (SELECT unnest([200.0, 400.0, 600.0, 800.0])::DOUBLE AS t), (SELECT unnest([1, 2]) AS s) WHERE v > t GROUP BY 1, 2")
@@ -721,16 +759,16 @@ def event_sliding_windows(spark, d):
 
 @query("SELECT event_type, COUNT(*) AS n, ROUND(SUM(value), 4) AS total FROM events GROUP BY 1")
 def streamed_totals(spark, d):
-    """The events file as a stream, in one run to its end; the totals are the state after the last batch."""
-    from ..session import shared_dir
-
+    """The events file as a stream, in one run to its end; every batch's state goes to the shared folder, the last is read."""
     import uuid
 
+    from ..session import shared_dir
+
     stream = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events*")
-    name, where = f"totals_{uuid.uuid4().hex}", f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    q = frames.running_totals(stream, "event_type", "value").writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", where).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name).select("event_type", "n", F.round("total", 4).alias("total"))
+    where = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    frames.each_batch(frames.running_totals(stream, "event_type", "value"), lambda b: b, f"{where}/out", f"{where}/state", "complete").awaitTermination()
+    out = spark.read.schema("event_type string, n long, total double, last timestamp, batch int").parquet(f"{where}/out")
+    return out.where(F.col("batch") == out.agg(F.max("batch")).first()[0]).select("event_type", "n", F.round("total", 4).alias("total"))
 
 
 def event_frames(spark, d) -> DataFrame:
@@ -747,7 +785,12 @@ def flat_field_correction(spark, d):
     return frames.flat_field(event_frames(spark, d)).select("frame", F.transform("data", lambda v: F.round(v, 6)).alias("data"))
 
 
-@query(None)
+@query(
+    f"WITH RECURSIVE {vox_sql()}, c AS (SELECT CAST(z AS BIGINT) AS f, x, y, CAST(x + 16 * y + 1 AS BIGINT) AS id FROM vox WHERE v > 900), j AS (SELECT a.f, a.id AS a, b.id AS b FROM c a JOIN c b ON a.f = b.f AND abs(a.x - b.x) + abs(a.y - b.y) = 1), r AS (SELECT f, id AS a, id AS b FROM c UNION SELECT r.f, r.a, j.b FROM r JOIN j ON r.f = j.f AND r.b = j.a), l AS (SELECT f, a AS id, MIN(b) AS label FROM r GROUP BY 1, 2) SELECT c.f AS frame, label, COUNT(*) AS n, ROUND(AVG(x), 6) AS x, ROUND(AVG(y), 6) AS y FROM c JOIN l ON l.f = c.f AND l.id = c.id GROUP BY 1, 2"
+)
 def cell_tracking(spark, d):
     slices = pointwise.to_slices(vox(spark, d), 16, 16)
-    return frames.track_cells(slices.select(F.col("z").cast("long").alias("frame"), "data"), 900, 16)
+    return frames.track_cells(slices.select(F.col("z").cast("long").alias("frame"), "data"), 900, 16).select("frame", "label", "n", *r6("x", "y"))
+
+
+from . import catalog_files, catalog_tables  # noqa: E402, F401  (they add their queries)

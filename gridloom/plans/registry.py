@@ -58,7 +58,7 @@ class Image:
         return shape.shape_analysis(self.df.withColumnRenamed("v", "label"))
 
     def thickness(self) -> DataFrame:
-        return grow.thickness(grow.distance_map(self.df))
+        return grow.thickness(grow.distance_map(self.df), self.dim, self.pos)
 
     def write(self, path: str) -> None:
         from ..sources.tables import write_voxels
@@ -118,13 +118,13 @@ def _cvoronoi(image: Image, maxdistance: float | None = None) -> DataFrame:
 
 
 @operator("HildThickness")
-def _hild(image: Image, minwall: float = 0.5, flat: float = 0.5) -> DataFrame:
-    return grow.thickness(grow.distance_map(image.df), minwall, flat)
+def _hild(image: Image, minwall: float = grow.MIN_WALL, flat: float = grow.FLAT) -> DataFrame:
+    return grow.thickness(grow.distance_map(image.df), image.dim, image.pos, minwall, flat)
 
 
 @operator("MCThickness")
-def _monte_carlo(image: Image, minwall: float = 0.5, flat: float = 0.5, skip: int = 4) -> DataFrame:
-    return grow.thickness(grow.distance_map(image.df), minwall, flat, skip)
+def _monte_carlo(image: Image, minwall: float = grow.MIN_WALL, flat: float = grow.FLAT, skip: int = 4) -> DataFrame:
+    return grow.thickness(grow.distance_map(image.df), image.dim, image.pos, minwall, flat, skip)
 
 
 @operator("DistLabel")
@@ -177,3 +177,79 @@ def _fractal(image: Image) -> DataFrame:
 @operator("JDZ")
 def _tiles(image: Image, z: int = 0, levels: int = 3) -> DataFrame:
     return pointwise.tiles(pointwise.plane(image.df, ("x", "y"), z).select(F.col("row").alias("x"), F.col("col").alias("y"), "v"), levels)
+
+
+@dataclass(frozen=True)
+class Plugin:
+    """An implementation of a named operator: the most voxels that it holds (None: any), its speed, and how it runs."""
+
+    name: str
+    kind: str
+    most_voxels: int | None
+    speed: int
+    run: Callable[..., DataFrame]
+
+
+#: Voxels that a plug-in in one task holds, at most.
+LOCAL_VOXELS = 1 << 24
+PLUGINS: list[Plugin] = []
+
+
+def best(name: str, voxels: int, kind: str | None = None) -> Plugin:
+    """Of the plug-ins of a name (and kind) that hold so many voxels the fastest."""
+    able = [p for p in PLUGINS if p.name.lower() == name.lower() and (p.most_voxels is None or voxels <= p.most_voxels) and kind in (None, p.kind)]
+    if not able:
+        raise KeyError(f"no plug-in {name} for {voxels} voxels")
+    return max(able, key=lambda p: p.speed)
+
+
+def _label_in_task(image: Image, kernel: int | str = 0) -> DataFrame:
+    """(x, y, z, label): components of a small image in one task, by label minima over shifted arrays."""
+    import numpy as np
+    import pandas as pd
+
+    (nx, ny, nz), (x0, y0, z0), at = image.dim, image.pos, kernels.forward(offsets(kernel))
+
+    def run(frames):
+        on = np.zeros((nx, ny, nz), dtype=bool)
+        for f in frames:
+            on[f["x"] - x0, f["y"] - y0, f["z"] - z0] = True
+        x, y, z = np.indices(on.shape)
+        label = np.where(on, x + nx * (y + ny * z) + 1, 0)
+        while True:
+            new = label.copy()
+            for d in at:
+                a = tuple(slice(max(c, 0), n + min(c, 0)) for c, n in zip(d, on.shape, strict=True))
+                b = tuple(slice(max(-c, 0), n + min(-c, 0)) for c, n in zip(d, on.shape, strict=True))
+                both = on[a] & on[b]
+                least = np.minimum(new[a], new[b])
+                new[a] = np.where(both, least, new[a])
+                new[b] = np.where(both, np.minimum(least, new[b]), new[b])
+            if (new == label).all():
+                break
+            label = new
+        x, y, z = np.nonzero(label)
+        yield pd.DataFrame({"x": x + x0, "y": y + y0, "z": z + z0, "label": label[x, y, z]})
+
+    return image.df.where("v").select("x", "y", "z").coalesce(1).mapInPandas(run, "x int, y int, z int, label long")
+
+
+PLUGINS += [
+    Plugin("ComponentLabel", "local", LOCAL_VOXELS, 10, _label_in_task),
+    Plugin("ComponentLabel", "spark", None, 5, lambda image, kernel=0: components.label(image.df, image.dim, offsets(kernel))),
+    *[Plugin(n, "spark", None, 5, f) for n, f in OPERATORS.items() if n != "componentlabel"],
+]
+
+
+def run_all(images: dict[str, Image], name: str, options: str = "") -> dict[str, Image]:
+    """A named operator on every image of a set."""
+    return {k: image.run(name, options) for k, image in images.items()}
+
+
+def statistics(images: dict[str, Image]) -> DataFrame:
+    """(name, n, min, mean, max, std) of a set of images, in one aggregation."""
+    rows = None
+    for k, image in images.items():
+        part = image.df.select(F.lit(k).alias("name"), F.col("v").cast("double").alias("v"))
+        rows = part if rows is None else rows.unionByName(part)
+    return rows.groupBy("name").agg(F.count("*").alias("n"), F.min("v").alias("min"), F.avg("v").alias("mean"), F.max("v").alias("max"), F.stddev_pop("v").alias("std"))

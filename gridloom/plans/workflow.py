@@ -46,8 +46,8 @@ def foam_block(source: str, target: str, low: float, dim: Sequence[int], share:
     return run
 
 
-def thickness_block(mask: str, target: str) -> Block:
-    return lambda s: {target: grow.thickness(grow.distance_map(s[mask]))}
+def thickness_block(mask: str, target: str, dim: Sequence[int], pos: Sequence[int] = (0, 0, 0)) -> Block:
+    return lambda s: {target: grow.thickness(grow.distance_map(s[mask]), dim, pos)}
 
 
 def grow_block(labels: str, mask: str, target: str) -> Block:

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def get_spark(name: str = "gridloom", **conf: str) -> SparkSession:
@@ -18,6 +19,8 @@ def get_spark(name: str = "gridloom", **conf: str) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share: spark.checkpoint.dir; set here only where it is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not base:
         base = f"file://{tempfile.mkdtemp(prefix='gridloom-')}"
         spark.sparkContext.setCheckpointDir(base)
@@ -25,7 +28,30 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str = "step") -> DataFrame:
-    """Cut lineage by a Parquet table in the shared folder: iterations survive lost executors."""
-    path, schema = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}", df.schema
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
+    """Cut lineage by a Parquet table in the shared folder: iterations survive lost executors. The shuffle files that
+    led to the table go as soon as it is there."""
+    spark, key = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    path, schema, before = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", df.schema, spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
+    return spark.read.schema(schema).parquet(path)
+
+
+def with_rank(df: DataFrame, order: list, name: str = "rank", start: int = 1) -> DataFrame:
+    """The rows with their global rank by some columns: ranges are sorted each in a task, and only their sizes, one
+    number a range, come to the driver."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_ = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    rows = written(sorted_.select(*df.columns, F.monotonically_increasing_id().alias("__place")), "ranked")
+    task = F.shiftright("__place", 33)
+    sizes = sorted((r["task"], r["n"]) for r in rows.groupBy(task.alias("task")).agg(F.count("*").alias("n")).collect())
+    offsets, before = [], start
+    for t, size in sizes:
+        offsets.append((t, before))
+        before += size
+    offsets = df.sparkSession.createDataFrame(offsets, "__task long, __before long")
+    place = F.col("__place").bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.withColumn("__task", task).join(F.broadcast(offsets), "__task").select(*df.columns, (F.col("__before") + place).alias(name))

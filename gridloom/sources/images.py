@@ -12,9 +12,10 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import with_rank, written
+
 #: TIFF tags and field types (fixed values of the format).
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_BYTES, SAMPLE_FORMAT = 256, 257, 258, 259, 262, 273, 277, 278, 279, 339
 FIELD_SIZE = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 8: 2, 9: 4, 11: 4, 12: 8}
@@ -88,6 +89,14 @@ def read_isq(raw: bytes) -> list[np.ndarray]:
     return list(np.frombuffer(raw, "<i2", nx * ny * nz, (blocks + 1) * 512).reshape(nz, ny, nx))
 
 
+def write_isq(slices: np.ndarray) -> bytes:
+    """An ISQ volume of 16-bit slices: the header's dimensions and one block before the data."""
+    head = bytearray(1024)
+    struct.pack_into("<3i", head, 44, *slices.shape[::-1])
+    struct.pack_into("<i", head, 508, 1)
+    return bytes(head) + slices.astype("<i2").tobytes()
+
+
 def raw_reader(nx: int, ny: int, dtype: str) -> Callable[[bytes], list[np.ndarray]]:
     return lambda raw: list(np.frombuffer(raw, dtype).reshape(-1, ny, nx))
 
@@ -114,11 +123,11 @@ def image_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame
 
 
 def stack(pages: DataFrame) -> DataFrame:
-    """(z, nx, ny, data): slices in the order of path and page. The rank needs only the names, which are ranked first
-    and joined back, so no pixels pass through the one sorting task."""
-    names = pages.select("path", "page")
-    z = (F.row_number().over(W.orderBy("path", "page")) - 1).alias("z")
-    return names.select("path", "page", z).join(pages, ["path", "page"]).select("z", "nx", "ny", "data")
+    """(z, nx, ny, data): slices in the order of path and page. The pages are decoded once and written; the rank needs
+    their names only."""
+    pages = written(pages, "pages")
+    names = with_rank(pages.select("path", "page"), ["path", "page"], "z", 0)
+    return names.join(pages, ["path", "page"]).select(F.col("z").cast("int").alias("z"), "nx", "ny", "data")
 
 
 def frames_by_name(pages: DataFrame, pattern: str = r"(\d+)(?!.*\d)") -> DataFrame:

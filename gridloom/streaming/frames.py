@@ -62,18 +62,18 @@ def sinograms(projections: DataFrame, nx: int) -> DataFrame:
     return rows
 
 
-def each_batch(stream: DataFrame, transform: Callable[[DataFrame], DataFrame], path: str, checkpoint: str):
+def each_batch(stream: DataFrame, transform: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, mode: str = "append"):
     """Apply a batch transform to every micro-batch; a batch's folder is overwritten if it is run again."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
         transform(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.outputMode(mode).foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def windowed(stream: DataFrame, key: str, value: str, size: str, slide: str | None = None, late: str = "10 minutes") -> DataFrame:
     """Count, sum and mean by (sliding) event-time window and key, with a watermark that bounds the state."""
-    rows = stream.withWatermark("ts", late) if stream.isStreaming else stream
+    rows = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if stream.isStreaming else stream
     w = F.window("ts", size, slide) if slide else F.window("ts", size)
     out = rows.groupBy(w.alias("w"), key).agg(F.count("*").alias("n"), F.sum(value).alias("total"), F.avg(value).alias("mean"))
     return out.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), key, "n", "total", "mean")
@@ -118,3 +118,10 @@ def track_cells(frames: DataFrame, threshold: float, nx: int) -> DataFrame:
             yield pd.concat(out) if out else pd.DataFrame({"frame": [], "label": [], "n": [], "x": [], "y": []})
 
     return frames.select("frame", "data").mapInPandas(run, "frame long, label long, n long, x double, y double")
+
+
+def sessions(events: DataFrame, key: str, gap: str, late: str = "1 day") -> DataFrame:
+    """(key, start, end, n) of each key's session: events less than a gap apart, as a batch or a stream."""
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
+    out = rows.groupBy(F.session_window("ts", gap).alias("w"), key).agg(F.count("*").alias("n"))
+    return out.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")

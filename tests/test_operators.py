@@ -166,7 +166,7 @@ def test_distance_and_thickness(spark):
     dist = grow.distance_map(ball)
     top = dist.orderBy(F.desc("dist")).first()
     assert (top.x, top.y, top.z) == (6, 6, 6) and top.dist == pytest.approx(6, abs=1)
-    thick = voxels(grow.thickness(dist), "thickness")
+    thick = voxels(grow.thickness(dist, (13, 13, 13)), "thickness")
     assert thick[(6, 6, 6)] == top.dist and max(thick.values()) == top.dist
 
 
@@ -202,8 +202,9 @@ def test_nearest_and_matching(spark):
 
 def test_chains(spark):
     links = spark.createDataFrame([(0, 5, 6), (1, 6, 7), (0, 1, 1)], "t long, id long, next_id long")
-    rows = {(r.t, r.id): r.chain for r in match.chains(links).collect()}
-    assert rows[(0, 5)] == rows[(1, 6)] == rows[(2, 7)] == 5 and rows[(0, 1)] == rows[(1, 1)] == 1
+    rows = {(r.t, r.id): (r.chain_t, r.chain_id) for r in match.chains(links.union(spark.createDataFrame([(3, -1, 1 << 40), (4, 1 << 40, 7)], links.schema))).collect()}
+    assert rows[(0, 5)] == rows[(1, 6)] == rows[(2, 7)] == (0, 5) and rows[(0, 1)] == rows[(1, 1)] == (0, 1)
+    assert rows[(3, -1)] == rows[(4, 1 << 40)] == rows[(5, 7)] == (3, -1)
 
 
 def test_sql_functions(spark):
