@@ -9,8 +9,9 @@ their members of different components compared, so no link between different tex
 signature and by an upper bound of their intersection, which leaves out shingles that no other such document has and
 those whose place in the other's bitmap is empty; what passes is confirmed on full sets as well. The bound never lies
 under the true intersection, so it drops no link, and it keeps the pairs of a group of near copies from being emitted.
-A pair at a similarity of exactly 0.8 escapes all BANDS bands
-with a probability of 6e-7.
+Members meet only within neighbouring classes of set size, as sizes that differ by over a quarter cannot be linked, and
+the members of a larger bucket are dealt to tiles of TILE, each of which meets all others in a task of its own. A pair at
+a similarity of exactly 0.8 escapes all BANDS bands with a probability of 6e-7.
 
 Cases: without words or text a set is empty and linked with nothing; rows that share a doc_id are linked; rows without
 one take no part (component null, kept); repeated rows are equal sets; ties go to the smaller doc_id; an empty table
@@ -25,12 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table, written
+from .common import dropped, own_name, small_batches, table, written
 
 BANDS, ROWS = 36, 5
 MINIMA = BANDS * ROWS
 #: Members of a random cell of a larger bucket.
 CELL = 16
+#: Members of a bucket's tile in the residual comparison; results do not depend on it.
+TILE = 2048
 #: Longs of a bitmap of shingles, and shingles that a task holds before it hands on what it has.
 BITMAP, HELD = 16, 1 << 20
 #: Differing bits of two signatures, at most: 5.5 standard deviations beyond the mean at similarity 0.8.
@@ -241,7 +244,8 @@ def components(links: DataFrame) -> DataFrame:
     edges = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     before = state(edges)
     while before[0]:
-        edges = written(star(star(edges, large=True), large=False), "edges")
+        last, edges = edges, written(star(star(edges, large=True), large=False), "edges")
+        dropped(last)
         now = state(edges)
         if now == before:
             break
@@ -274,7 +278,9 @@ def near_duplicates(docs: DataFrame, k: int) -> DataFrame:
         needed = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
         full = written(member_texts.join(needed, "doc_id"), "texts")
         both = pairs.join(full.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(full.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-        return both.select("a", "b", "text_a", "text_b").sortWithinPartitions("a").mapInPandas(_confirm(k), "a long, b long").distinct()
+        links = written(both.select("a", "b", "text_a", "text_b").sortWithinPartitions("a").mapInPandas(_confirm(k), "a long, b long").distinct(), "links")
+        dropped(pairs, full)
+        return links
 
     # 1. Every member of a bucket against the bucket's smallest id, and in larger buckets against the smallest id of
     # a random cell of about CELL members: pairs are as many as members, whatever the buckets' sizes, and in a
@@ -288,7 +294,7 @@ def near_duplicates(docs: DataFrame, k: int) -> DataFrame:
     heads = cells.groupBy("key", "cell").agg(F.min("id").alias("a"))
     led = led.unionByName(cells.join(heads, ["key", "cell"]).where("id <> a").select("a", F.col("id").alias("b"))).distinct()
     led = led.join(side("a"), "a").join(side("b"), "b").where(agree("a", "b")).select("a", "b")
-    links = written(confirmed(led), "links")
+    links = confirmed(led)
     roots = components(links)
     # 2. Buckets that still hold several components: their members of different components, by signature.
     rooted = written(member_of.where("n > 2").select("key", "id").join(roots, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("root", "id").alias("root")), "rooted")
@@ -301,19 +307,27 @@ def near_duplicates(docs: DataFrame, k: int) -> DataFrame:
     # A member whose shingles known to others too are fewer than a link to the bucket's smallest set asks for has none.
     sized = open_.join(maps, "id").join(bits_of, "id")
     least = sized.groupBy("key").agg(F.min("n").alias("least"))
-    sized = written(sized.join(least, "key").where("9 * shared >= 4 * (n + least)").drop("least"), "sized")
+    few = sized = written(sized.join(least, "key").where("9 * shared >= 4 * (n + least)").drop("least"), "sized")
 
     def member_side(name: str) -> DataFrame:
         return sized.select("key", F.col("id").alias(name), F.col("root").alias(f"{name}root"), *[F.col(c).alias(f"{name}{c[1:] if c[0] == 's' and c[1:].isdigit() else c}") for c in sized.columns if c not in ("key", "id", "root")])
 
-    x, y = member_side("a"), member_side("b")
-    rest = x.join(y, (x["key"] == y["key"]) & (F.col("a") < F.col("b")) & (F.col("aroot") != F.col("broot")) & agree("a", "b") & _may_link("a", "b")).select("a", "b").distinct()
-    more = written(confirmed(rest), "links")
+    # Sizes of linked sets differ by a factor of 1.25 at most, so their classes by one at most.
+    size_class = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25)) + 1e-9).cast("int")
+    tiles = sized.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    sized = written(sized.join(tiles, "key").withColumn("size_class", size_class), "tiled")
+    x = member_side("a").withColumn("tile", F.pmod(F.xxhash64("a"), F.col("atiles")).cast("int")).withColumnRenamed("asize_class", "size_class").drop("atiles")
+    y = member_side("b").withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("btiles") - 1))).drop("btiles")
+    y = y.withColumn("size_class", F.explode(F.array(*[F.col("bsize_class") + i for i in (-1, 0, 1)]))).drop("bsize_class")
+    rest = x.join(y, ["key", "tile", "size_class"]).where((F.col("a") < F.col("b")) & (F.col("aroot") != F.col("broot")) & agree("a", "b") & _may_link("a", "b")).select("a", "b").distinct()
+    more = confirmed(rest)
     # A doc_id with several texts links their sets.
     same = member.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("doc_id")
     shared = member.join(same, "doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b")
     if not more.isEmpty() or not shared.isEmpty():
-        roots = components(links.unionByName(more).unionByName(shared))
+        stars = roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+        roots = components(stars.unionByName(more).unionByName(shared))
+    dropped(reps, member_of, member_texts, links, rooted, open_, held, maps, few, sized, more)
     roots = roots.withColumnRenamed("node", "rep")
     found = member.join(roots, "rep", "left").select("doc_id", "n_shingles", F.coalesce("root", "rep").alias("component_id"))
     rest_ = sig.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
@@ -323,11 +337,11 @@ def near_duplicates(docs: DataFrame, k: int) -> DataFrame:
 def drop_duplicates(docs: DataFrame, k: int) -> DataFrame:
     """One document of each group, with all its columns; of rows that share the kept doc_id, the first by text. Rows
     without words are linked with nothing, so all of them stay, whatever their doc_id."""
-    out = near_duplicates(docs, k)
-    out = written(out.select(F.col("doc_id").alias("dup_id"), "n_shingles", "kept"), "kept")
-    linked = (F.col("doc_id") == F.col("dup_id")) & F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(r"[^ \t\n\x0B\f\r]")
-    left = docs.join(out.where("not kept").select("dup_id").distinct(), linked, "left_anti")
-    repeated = out.where("kept and n_shingles > 0 and dup_id is not null").groupBy("dup_id").agg(F.count("*").alias("n")).where("n > 1").select("dup_id")
+    out, dup = near_duplicates(docs, k), own_name("dup_id", docs.columns)
+    out = written(out.select(F.col("doc_id").alias(dup), F.col("n_shingles").alias(f"{dup}_n"), F.col("kept").alias(f"{dup}_kept")), "kept")
+    linked = (F.col("doc_id") == F.col(dup)) & F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(r"[^ \t\n\x0B\f\r]")
+    left = docs.join(out.where(f"not {dup}_kept").select(dup).distinct(), linked, "left_anti")
+    repeated = out.where(f"{dup}_kept and {dup}_n > 0 and {dup} is not null").groupBy(dup).agg(F.count("*").alias("n")).where("n > 1").select(dup)
     if repeated.isEmpty():
         return left
     again = left.join(repeated, linked, "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.struct("text", F.xxhash64(*docs.columns))).alias("row")).select("row.*")
