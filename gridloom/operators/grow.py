@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import written
-from . import kernels
+from . import kernels, keyed
 from .pointwise import KEYS
 from .stencil import spread, stencil
 
@@ -80,7 +80,7 @@ def thickness(dist: DataFrame, dim: Sequence[int], pos: Sequence[int] = (0, 0, 0
     where none does. sample > 1 keeps about one in so many ridge voxels, chosen by hash (a Monte-Carlo variant)."""
     seeds = ridge(dist, dim, pos, min_wall, flat)
     if sample > 1:
-        seeds = seeds.where(F.pmod(F.xxhash64(*KEYS), F.lit(sample)) == 0)
+        seeds = keyed.sample(seeds, 1 / sample, KEYS)
     r = F.ceil("dist").cast("int")
     painted = seeds
     for k in KEYS:  # the sphere's box, then the sphere: rows are those of the spheres painted

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import kernels
+from . import kernels, keyed
 from .pointwise import KEYS
 from .stencil import offsets_column
 
@@ -80,7 +80,7 @@ def correlation(df: DataFrame, length: int, min_count: int = 5, start: Column |
     value = F.col("v").cast("double") if value is None else value
     begin = df.where(start).select(*KEYS)
     if sample > 1:
-        begin = begin.where(F.pmod(F.xxhash64(*KEYS), F.lit(sample)) == 0)
+        begin = keyed.sample(begin, 1 / sample, KEYS)
     moved = begin.withColumn("o", F.explode(offsets_column(kernels.full(length)))).select(*[(F.col(k) + F.col(f"o.d{k}")).cast("int").alias(k) for k in KEYS], "o.dx", "o.dy", "o.dz")
     pairs = moved.join(df.select(*KEYS, value.alias("value")), KEYS)
     out = pairs.groupBy("dx", "dy", "dz").agg(F.count("*").alias("n"), F.avg("value").alias("mean")).where(F.col("n") > min_count)

@@ -7,12 +7,12 @@ import uuid
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..operators import algebra, kernels, pointwise, shape, stencil
+from ..operators import algebra, grow, pointwise, shape, stencil
 from ..session import shared_dir
 from ..sources import images, phantoms, tables, volumes
 from ..streaming import frames
 from . import registry, workflow
-from .catalog import COMPONENTS, CROSS, DENSE, DIM, KEYS, LABELS, OFF, SPARSE, VOX, labelled, mask, query, r6, sparse, table, vox, vox_sql  # noqa: F401
+from .catalog import COMPONENTS, DENSE, DIM, DISTANCE, KEYS, LABELS, OFF, RIDGE, SPARSE, VOX, labelled, mask, query, r6, sparse, table, vox, vox_sql
 
 ALL = f"{VOX} SELECT x, y, z, v FROM vox"
 
@@ -384,3 +384,88 @@ def large_downsample(spark, d):
 def large_phase_profile(spark, d):
     m = pointwise.threshold(large(spark, d), ">", 80)
     return m.groupBy("z").agg(F.count_if("v").alias("inside"), F.count_if(~F.col("v")).alias("outside"))
+
+
+# Variants
+
+
+@query("WITH g AS (SELECT CAST(x AS INT) AS x, CAST(y AS INT) AS y, CAST(z AS INT) AS z FROM (SELECT unnest(range(8)) AS x), (SELECT unnest(range(7)) AS y), (SELECT unnest(range(6)) AS z)) SELECT x, y, z, CAST(z AS DOUBLE) AS along, ROUND(sqrt(pow(x - 3.3, 2) + pow(y - 2.9, 2)), 6) AS cyl_r, ROUND(atan2(y - 2.9, x - 3.3), 6) AS cyl_theta, ROUND(acos((z - 2.2) / sqrt(pow(x - 3.3, 2) + pow(y - 2.9, 2) + pow(z - 2.2, 2))), 6) AS sph_phi, 1.0::DOUBLE AS constant FROM g")
+def position_functions(spark, d):
+    g = phantoms.grid(spark, (8, 7, 6), F.lit(0))
+    at = {n: pointwise.position(n, 3.3, 2.9, 2.2) for n in ("cyl_r", "cyl_theta", "sph_phi")}
+    return g.select(*KEYS, pointwise.position("z").alias("along"), *[F.round(c, 6).alias(n) for n, c in at.items()], pointwise.position("constant").alias("constant"))
+
+
+@query(f"{VOX}, c AS (SELECT zz.z, x, y, COALESCE(vox.v, 0) AS v FROM (SELECT DISTINCT z FROM vox) zz CROSS JOIN (SELECT unnest(range(16)) AS x) CROSS JOIN (SELECT unnest(range(16)) AS y) LEFT JOIN vox USING (x, y, z)) SELECT z, CAST(x + 16 * y AS INT) AS i, ROUND(sqrt(v) + z, 6) AS v FROM c")
+def mapped_slices(spark, d):
+    """A function of value and place over slices, without leaving their layout."""
+    out = pointwise.to_slices(vox(spark, d), 16, 16).select("z", F.transform("data", lambda v: F.sqrt(v) + F.col("z")).alias("data"))
+    return out.select("z", F.posexplode("data").alias("i", "v")).withColumn("v", F.round("v", 6))
+
+
+@query(f"{VOX} SELECT x, y, z, ROUND(1.0 / v, 9) AS v FROM vox")
+def inverted_image(spark, d):
+    return pointwise.invert(vox(spark, d)).select(*KEYS, F.round("v", 9).alias("v"))
+
+
+_CENTRES = "t AS (SELECT * FROM dense WHERE v), c AS (SELECT z, AVG(x) AS cx, AVG(y) AS cy, 2 * stddev_pop(x) AS ax, 2 * stddev_pop(y) AS ay FROM t GROUP BY z)"
+
+
+@query(f"{VOX}, {DENSE}, {_CENTRES} SELECT x, y, z, COALESCE(pow((x - cx) / GREATEST(ax, 0.5), 2) + pow((y - cy) / GREATEST(ay, 0.5), 2) <= 1, false) AS v FROM dense LEFT JOIN c USING (z)")
+def ellipse_contour(spark, d):
+    from ..operators.contour import contour
+
+    return contour(mask(spark, d), "ellipse")
+
+
+@query(f"{VOX}, {DENSE}, {_CENTRES} SELECT x, y, z, COALESCE(sqrt(pow(x - cx, 2) + pow(y - cy, 2)) <= 5.25, false) AS v FROM dense LEFT JOIN c USING (z)")
+def fixed_circle_contour(spark, d):
+    from ..operators.contour import contour
+
+    return contour(mask(spark, d), "fixed", radius=5.25)
+
+
+_SHARE = "CAST(CAST('0x' || substr(md5('0:' || {0}x || ':' || {0}y || ':' || {0}z), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 < {1}"
+
+
+@query(f"{DISTANCE}, {RIDGE}, few AS (SELECT * FROM ridge WHERE {_SHARE.format('', 0.25)}) SELECT dm.x, dm.y, dm.z, ROUND(COALESCE(MAX(r.dist), 0), 6) AS thickness FROM dm LEFT JOIN few r ON pow(dm.x - r.x, 2) + pow(dm.y - r.y, 2) + pow(dm.z - r.z, 2) < r.dist * r.dist GROUP BY 1, 2, 3")
+def monte_carlo_thickness(spark, d):
+    """Of about every fourth ridge voxel."""
+    return grow.thickness(grow.distance_map(mask(spark, d)), DIM, min_wall=0.5, sample=4).select(*KEYS, *r6("thickness"))
+
+
+@query(f"{VOX}, {DENSE}, {OFF}, n AS (SELECT dx, dy, dz, COUNT(*) AS n, AVG(CAST(b.v AS INT)) AS mean FROM dense a CROSS JOIN off JOIN dense b ON b.x = a.x + dx AND b.y = a.y + dy AND b.z = a.z + dz WHERE a.v AND {_SHARE.format('a.', 0.5)} GROUP BY 1, 2, 3 HAVING COUNT(*) > 5) SELECT dx, dy, dz, n, ROUND(CASE WHEN n < 0.25 * (SELECT AVG(n) FROM n) THEN 0 ELSE mean END, 6) AS mean FROM n")
+def sampled_correlation(spark, d):
+    """The two-point function from about every second start voxel."""
+    from ..operators import hist
+
+    return hist.correlation(mask(spark, d), 1, sample=2).select("dx", "dy", "dz", "n", *r6("mean"))
+
+
+@query(f"{VOX}, {SPARSE}, {DENSE}, {OFF}, n AS (SELECT dx, dy, dz, COUNT(*) AS n, AVG(CAST(b.v AS INT)) AS mean FROM dense a CROSS JOIN off JOIN sparse b ON b.x = a.x + dx AND b.y = a.y + dy AND b.z = a.z + dz WHERE a.v GROUP BY 1, 2, 3 HAVING COUNT(*) > 5) SELECT dx, dy, dz, n, ROUND(CASE WHEN n < 0.25 * (SELECT AVG(n) FROM n) THEN 0 ELSE mean END, 6) AS mean FROM n")
+def two_phase_correlation(spark, d):
+    """From voxels of one phase to those of another."""
+    from ..operators import hist
+
+    both = mask(spark, d).withColumnRenamed("v", "a").join(sparse(spark, d).withColumnRenamed("v", "b"), KEYS)
+    return hist.correlation(both.withColumn("v", F.col("a")), 1, start=F.col("a"), value=F.col("b").cast("double")).select("dx", "dy", "dz", "n", *r6("mean"))
+
+
+@query(f"{VOX} SELECT y AS row, CAST(z AS BIGINT) AS frame, list(v ORDER BY x) AS data FROM vox GROUP BY 1, 2 HAVING COUNT(*) = 16")
+def sinogram_rows(spark, d):
+    """Projections transposed to sinograms: a row of each projection."""
+    out = frames.sinograms(pointwise.to_slices(vox(spark, d), 16, 16).select(F.col("z").cast("long").alias("frame"), "data"), 16)
+    return out.where(~F.array_contains("data", 0.0))
+
+
+@query(f"{VOX}, c AS (SELECT zz.z, x, y, COALESCE(vox.v, 0) AS v FROM (SELECT DISTINCT z FROM vox) zz CROSS JOIN (SELECT unnest(range(16)) AS x) CROSS JOIN (SELECT unnest(range(16)) AS y) LEFT JOIN vox USING (x, y, z)), m AS (SELECT x, y, AVG(v) AS b FROM c GROUP BY 1, 2), s AS (SELECT z, AVG(abs(v - b)) AS score, SUM(v - b) AS total FROM c JOIN m USING (x, y) GROUP BY z) SELECT z, ROUND(score, 6) AS score, ROUND(total, 4) AS total FROM s WHERE score > 20")
+def background_subtracted(spark, d):
+    out = frames.subtract_background(pointwise.to_slices(vox(spark, d), 16, 16))
+    return out.select("z", *r6("score"), F.round(F.aggregate("data", F.lit(0.0), lambda a, v: a + v), 4).alias("total"))
+
+
+@query(f"{VOX} SELECT CAST(LEAST(GREATEST(floor((atan2(y - 7.5, x - 7.5) + 3.2) / 0.64), 0), 10) AS INT) AS bin, COUNT(*) AS n, ROUND(AVG(v), 6) AS mean, ROUND(stddev_pop(v), 6) AS std FROM vox GROUP BY 1")
+def angular_profile(spark, d):
+    from ..operators import hist
+
+    return hist.profile(vox(spark, d), pointwise.position("cyl_theta", 7.5, 7.5), -3.2, 3.2, 10).select("bin", "n", *r6("mean", "std"))
