@@ -131,3 +131,25 @@ def test_rows_that_share_a_doc_id_keep_the_first_text_and_empty_rows(spark):
     for rows in (data, data[::-1]):
         kept = neardup.drop_duplicates(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), 5).collect()
         assert sorted((r.doc_id, r.text or "") for r in kept) == [(1, ""), (1, a), (2, " \n"), (3, ""), (3, "one two")]
+
+
+def test_very_long_texts_go_through_every_operator(spark, tmp_path):
+    from gridloom.llm import mixing
+
+    long = " ".join(f"word{i % 977} of{i % 31}" for i in range(90_000))  # over a megabyte
+    texts = [long, long + " and a tail", "y" * 200_000, None, "short"]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string").repartition(2)
+    chars = [len(t or "") for t in texts]
+    scored = toxicity.toxicity(docs, spark.createDataFrame([], "doc_id long, toxic int")).collect()
+    assert len(scored) == 5 and {r.score for r in scored} == {0.0}
+    assert mixing.mix(docs, epochs=3.0).where("length(text) not in (5) and text is not null").agg({"doc_id": "count"}).first()[0] > 0
+    token_orc.write_tokens(docs, str(tmp_path / "t"), public_tokenizers.path("byte_bpe_50k.json"))
+    tokens = {r.doc_id: r for r in token_orc.read_tokens(spark, str(tmp_path / "t")).collect()}
+    e = token_orc.ChunkEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert [tokens[i].ids for i in range(5)] == [[*e.whole(t or "").tolist(), 0] for t in texts]
+    assert all(r.round_trip for r in pieces.encoded(docs, SPM).collect())
+    near = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs, 4).collect()}
+    assert near == {0: 0, 1: 0, 2: 2, 3: 3, 4: 4}
+    assert secrets.secret_spans(docs, TIK).count() == 5
+    prints = {r.doc_id: r for r in syncmers.fingerprints(docs).collect()}
+    assert [prints[i].n_chars for i in range(5)] == chars and prints[1].near_next > 0.99
