@@ -8,10 +8,15 @@ anchor and backward from it: multikey quicksort, eight bytes a key, to SHALLOW b
 that still agree. With the common prefixes of neighbours in both orders, two contexts share the string that starts d
 bytes before the anchor if and only if they are in one run of at least d bytes backward and LENGTH - d forward.
 
+All these strings hold the anchor's bytes, so those of one context cover a single span.
+
 A group of over MAX_GROUP contexts is parted by further bytes before it is sorted: its places d are halved, and for each
-half the contexts that agree in all bytes that every string of that half covers form a group. Parting goes on while
-groups are too large; at a single d the group is one string, and all its contexts are hits. So no task holds an
-unbounded group, and a part only ever loses contexts that cannot match the others there.
+half the contexts that agree in all bytes that every string of that half covers form a group. In each half contexts are
+cut to the bytes that its strings touch, and those equal there are folded: they share all their strings, so their spans
+are known, and one of them stays as the others' partner. Groups that hold a single context or only known ones are done.
+Parting goes on while groups are too large; at a single d equal contexts are equal strings, and folding ends it. So no
+task holds an unbounded group, a part only ever loses contexts that cannot match the others there, and a context whose
+strings repeat up to some place goes through a few parts a level and not through one for every d.
 
 Inside a long run of a short period (padding, rules of one sign) every string repeats within the run, so the run is
 removed as it is, and only the anchors near its ends stand for it elsewhere.
@@ -28,7 +33,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import dropped, small_batches, table, written
@@ -271,16 +276,16 @@ def deep_shallow(group: np.ndarray, strings: list[bytes]) -> tuple[np.ndarray, n
     return order, prefix, lengths
 
 
-def repeated_starts(group: np.ndarray, lefts: list[bytes], rights: list[bytes], many: np.ndarray) -> np.ndarray:
-    """For each context (row) and each d (column), whether the string that starts d bytes before the anchor occurs in
-    another context of the group too, or the context itself does (many)."""
+def repeated_starts(group: np.ndarray, lefts: list[bytes], rights: list[bytes], many: np.ndarray, d0: np.ndarray, d1: np.ndarray) -> np.ndarray:
+    """For each context (row) and each d (column) from its d0 to its d1, whether the string that starts d bytes before
+    the anchor occurs in another context of the group too, or the context itself does (many)."""
     n = len(group)
     by_right, right_prefix, right_length = deep_shallow(group, rights)
     by_left, left_prefix, left_length = deep_shallow(group, [s[::-1] for s in lefts])
     out = np.zeros((n, LEFT + 1), dtype=bool)
     right_class, left_class = np.empty(n, np.int64), np.empty(n, np.int64)
     for d in range(LEFT + 1):
-        fits = (left_length >= d) & (right_length >= LENGTH - d)
+        fits = (d0 <= d) & (d <= d1) & (left_length >= d) & (right_length >= LENGTH - d)
         if not fits.any():
             continue
         right_class[by_right] = np.cumsum(right_prefix < LENGTH - d)
@@ -297,29 +302,27 @@ def repeated_starts(group: np.ndarray, lefts: list[bytes], rights: list[bytes],
     return out
 
 
-_FOUND = pa.schema([("c1", pa.int64()), ("c2", pa.int64()), ("spans", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))])
-_FOUND_DDL = "c1 long, c2 long, spans array<struct<a:int,b:int>>"
+_FOUND = pa.schema([("c1", pa.int64()), ("c2", pa.int64()), ("a", pa.int32()), ("b", pa.int32())])
+_FOUND_DDL = "c1 long, c2 long, a int, b int"
 
 
 def _spans(rows: list[tuple]) -> pa.RecordBatch:
     """Covered bytes, from the anchor on, of complete groups of (k, d0, d1, c1, c2, n, nleft, context): strings that
-    start d0 to d1 bytes before it. A context may come several times, with its counts."""
+    start d0 to d1 bytes before it. A context may come several times, with its counts; those without c1 are partners."""
     distinct: dict[tuple, list] = {}
     for k, d0, d1, c1, c2, n, nleft, context in rows:
-        if (seen := distinct.get((k, d0, c1, c2))) is not None:
+        if (seen := distinct.get((k, d0, nleft, context))) is not None:
             seen[0] += n
         else:
-            distinct[k, d0, c1, c2] = [n, d1, nleft, context]
-    keys = list(distinct)
-    group = np.unique(np.array([x[:2] for x in keys], dtype=np.int64), axis=0, return_inverse=True)[1].ravel()
-    hit = repeated_starts(group, [context[:nleft] for _, _, nleft, context in distinct.values()], [context[nleft:] for _, _, nleft, context in distinct.values()], np.array([x[0] > 1 for x in distinct.values()]))
-    d = np.arange(LEFT + 1)
-    hit &= (d >= np.array([x[1] for x in keys])[:, None]) & (d <= np.array([x[1] for x in distinct.values()])[:, None])
-    out = []
-    for i in np.flatnonzero(hit.any(axis=1)).tolist():
-        edges = np.flatnonzero(np.diff(np.concatenate([[False], hit[i], [False]]).astype(np.int8)))
-        out.append((*keys[i][2:], [{"a": -(int(e) - 1), "b": LENGTH - int(s)} for s, e in zip(edges[::2], edges[1::2], strict=True)]))
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _FOUND.types, strict=True)] if out else [pa.array([], t) for t in _FOUND.types], schema=_FOUND)
+            distinct[k, d0, nleft, context] = [n, d1, c1, c2]
+    low, high = np.array([x[1] for x in distinct]), np.array([x[1] for x in distinct.values()])
+    group = np.unique(np.array([x[:2] for x in distinct], dtype=np.int64), axis=0, return_inverse=True)[1].ravel()
+    hit = repeated_starts(group, [context[:nleft] for _, _, nleft, context in distinct], [context[nleft:] for _, _, nleft, context in distinct], np.array([x[0] > 1 for x in distinct.values()]), low, high)
+    first, last = hit.argmax(axis=1), LEFT - hit[:, ::-1].argmax(axis=1)
+    at = np.flatnonzero(hit.any(axis=1) & np.array([x[2] is not None for x in distinct.values()]))
+    own = list(distinct.values())
+    columns = [own[i][2] for i in at.tolist()], [own[i][3] for i in at.tolist()], -last[at], LENGTH - first[at]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _FOUND.types, strict=True)], schema=_FOUND)
 
 
 _GROUPED = ("k", "d0", "d1", "c1", "c2", "n", "nleft", "context")
@@ -340,23 +343,67 @@ def _sort_groups(batches):
         yield _spans(held)
 
 
-def _halves(groups: DataFrame) -> DataFrame:
+#: What a context is in its group, by its bytes.
+_BYTES = ("k", "d0", "d1", "nleft", "context")
+
+
+def _halves(nodes: DataFrame) -> DataFrame:
     """The groups' contexts in groups of the lower and the upper half of d0 to d1, by all bytes that a half's strings
-    share; contexts too short for a half are not in it."""
+    share, cut to the bytes that they touch; contexts too short for a half are not in it."""
     middle = F.floor((F.col("d0") + F.col("d1")) / 2).cast("int")
     half = F.explode(F.array(F.struct(F.col("d0").alias("a"), middle.alias("b")), F.struct((middle + 1).alias("a"), F.col("d1").alias("b"))))
-    rows = groups.select("c1", "c2", "n", "nleft", "context", half.alias("half")).select("c1", "c2", "n", "nleft", "context", F.col("half.a").alias("d0"), F.col("half.b").alias("d1"))
+    rows = nodes.select("c1", "c2", "n", "nleft", "context", half.alias("half")).select("c1", "c2", "n", "nleft", "context", F.col("half.a").alias("d0"), F.col("half.b").alias("d1"))
     rows = rows.where(f"d0 <= d1 and d0 <= nleft and length(context) - nleft >= {LENGTH} - d1")
-    bytes_ = F.expr(f"substring(context, nleft - d0 + 1, d0 + {LENGTH} - d1)")
-    return rows.select(F.xxhash64("d0", bytes_).alias("k"), "d0", "d1", "c1", "c2", "n", "nleft", "context")
+    shared = F.expr(f"substring(context, nleft - d0 + 1, d0 + {LENGTH} - d1)")
+    touched = F.expr(f"substring(context, nleft - least(nleft, d1) + 1, least(nleft, d1) + {LENGTH} - d0)")
+    known = [F.expr(f"if(n > 1, null, {c})").alias(c) for c in ("c1", "c2")]
+    return rows.select(F.xxhash64("d0", shared).alias("k"), "d0", "d1", *known, "n", F.least("nleft", "d1").alias("nleft"), touched.alias("context"))
+
+
+def _folded(rows: DataFrame) -> DataFrame:
+    """Contexts equal in their group as one row: n over 1, and c1 null if it stands for several or known ones."""
+    one = rows.groupBy(*_BYTES).agg(F.sum("n").alias("n"), F.min("c1").alias("c1"), F.min("c2").alias("c2"))
+    return one.select("k", "d0", "d1", *(F.expr(f"if(n > 1, null, {c})").alias(c) for c in ("c1", "c2")), "n", "nleft", "context")
+
+
+def _whole_spans(rows: DataFrame) -> DataFrame:
+    """Spans of contexts whose strings all repeat: all their bytes."""
+    return rows.select("c1", "c2", (-F.col("nleft")).alias("a"), (F.length("context") - F.col("nleft")).alias("b"))
+
 
+def _undecided(groups: DataFrame) -> DataFrame:
+    """Groups with several contexts of which some are not known, each in one task and sorted by k."""
+    of_group = Window.partitionBy("k")
+    rows = groups.repartition("k").withColumns({"m": F.count("*").over(of_group), "open": F.count("c1").over(of_group)})
+    return rows.where("m > 1 and open > 0").sortWithinPartitions("k").select(*_GROUPED)
 
-def _one_string(groups: DataFrame) -> DataFrame:
-    """Spans of the contexts of groups of a single d: the string's 128-bit digest, counted over all contexts."""
-    one = groups.select("d0", "c1", "c2", "n", F.unhex(F.md5(F.expr(f"substring(context, nleft - d0 + 1, {LENGTH})"))).alias("key"))
-    twice = one.groupBy("d0", "key").agg(F.sum("n").alias("times")).where("times > 1").select("d0", "key")
-    span = F.struct((-F.col("d0")).alias("a"), (F.lit(LENGTH) - F.col("d0")).cast("int").alias("b"))
-    return one.join(twice, ["d0", "key"], "left_semi").select("c1", "c2", F.array(span).alias("spans"))
+
+def _large(groups: DataFrame, max_group: int) -> DataFrame:
+    """Large groups, and whether they have contexts that are not known."""
+    sizes = groups.groupBy("k").agg(F.count("*").alias("m"), (F.count("c1") > 0).alias("open"))
+    return written(sizes.where(F.col("m") > max_group).select("k", "open"), "large")
+
+
+def _parted(groups: DataFrame, max_group: int) -> list[DataFrame]:
+    """Spans of the contexts of large groups, in tables; a context may be in several."""
+    whole = groups.groupBy("c1", "c2", *_BYTES).agg(F.sum("n").alias("n"))
+    nodes = written(whole, "nodes")
+    parts = [written(_whole_spans(nodes.where("n > 1")), "found")]
+    while True:
+        halves = written(_halves(nodes), "halves")
+        folded = written(_folded(halves), "folded")
+        several = folded.where("n > 1").select("k", "d0", "nleft", "context")
+        parts.append(written(_whole_spans(halves.where("c1 is not null").join(several, ["k", "d0", "nleft", "context"], "left_semi")), "found"))
+        large = _large(folded, max_group)
+        some = not large.where("open").isEmpty()
+        usual = folded.join(large, "k", "left_anti")
+        parts.append(written(_undecided(usual).mapInArrow(_sort_groups, _FOUND_DDL), "found"))
+        dropped(nodes, halves)
+        if some:
+            nodes = written(folded.join(large.where("open"), "k", "left_semi").where("d0 < d1"), "nodes")
+        dropped(folded, large)
+        if not some:
+            return parts
 
 
 def _cut(batches):
@@ -394,24 +441,18 @@ def repeated_spans(docs: DataFrame, max_group: int = MAX_GROUP) -> DataFrame:
     dropped(every)
     places = written(packed(docs).join(marks, ["dk", "tk"]).mapInArrow(_emit_contexts, _PLACES_DDL), "contexts")
     dropped(marks)
-    groups, parts, done = places.where("pos is null").select("k", F.lit(0).alias("d0"), F.lit(LEFT).alias("d1"), *_GROUPED[3:]), [], []
-    while True:
-        large = written(groups.groupBy("k").agg(F.count("*").alias("m")).where(F.col("m") > max_group).select("k"), "large")
-        some = not large.isEmpty()
-        usual = groups.join(large, "k", "left_anti") if some else groups
-        parts.append(written(usual.repartition("k").sortWithinPartitions("k").select(*_GROUPED).mapInArrow(_sort_groups, _FOUND_DDL), "found"))
-        if not some:
-            dropped(large, *done)
-            break
-        halves = written(_halves(groups.join(large, "k", "left_semi")), "halves")
-        dropped(large, *done)
-        done, ends = [halves], halves.where("d0 = d1")
-        if not ends.isEmpty():
-            parts.append(written(_one_string(ends), "found"))
-        groups = halves.where("d0 < d1")
-    found = reduce(DataFrame.unionByName, parts)
+    groups = places.where("pos is null").select("k", F.lit(0).alias("d0"), F.lit(LEFT).alias("d1"), *_GROUPED[3:])
+    large = _large(groups, max_group)
+    some = not large.isEmpty()
+    usual = groups.join(large, "k", "left_anti") if some else groups
+    parts = [written(usual.repartition("k").sortWithinPartitions("k").select(*_GROUPED).mapInArrow(_sort_groups, _FOUND_DDL), "found")]
+    found = parts[0]
+    if some:
+        parts += _parted(groups.join(large, "k", "left_semi"), max_group)
+        found = found.unionByName(reduce(DataFrame.unionByName, parts[1:]).groupBy("c1", "c2").agg(F.min("a").alias("a"), F.max("b").alias("b")))
+    dropped(large)
     hits = places.where("pos is not null").select("dk", "tk", "pos", "c1", "c2").join(found, ["c1", "c2"])
-    one = hits.select("dk", "tk", "pos", F.explode("spans").alias("s")).select("dk", "tk", F.struct((F.col("pos") + F.col("s.a")).alias("a"), (F.col("pos") + F.col("s.b")).alias("b")).alias("s"))
+    one = hits.select("dk", "tk", F.struct((F.col("pos") + F.col("a")).alias("a"), (F.col("pos") + F.col("b")).alias("b")).alias("s"))
     spans = written(one.groupBy("dk", "tk").agg(F.collect_set("s").alias("spans")), "spans")
     dropped(places, *parts)
     return spans

@@ -185,6 +185,23 @@ def test_suffixes(spark, docs, empty, max_group):
     assert suffixes.drop_repeats(empty).count() == 0
 
 
+def test_suffixes_large_groups_do_not_multiply(spark, monkeypatch):
+    rows_ = [(i, prose(40, 2 * i) + "the " * (60 + i % 7) + prose(40, 2 * i + 1)) for i in range(60)]
+    want = Counter((r[0], *w) for r, w in zip(rows_, brute_repeats([t for _, t in rows_]), strict=True))
+    tables, real = [], suffixes.written
+
+    def counted(df, name):
+        out = real(df, name)
+        tables.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(suffixes, "written", counted)
+    got = suffixes.drop_repeats(spark.createDataFrame(rows_, "doc_id long, text string"), 8)
+    assert Counter(map(tuple, got.collect())) == want
+    places = dict(tables)["contexts"]  # and contexts: at most two rows an anchor
+    assert sum(n for name, n in tables if name == "halves") < 8 * places
+
+
 def test_very_long_runs_and_pieces(spark, monkeypatch):
     long = "x" * 3_000_000
     rows_ = [(0, long), (1, prose(300, 1) + "x" * 250), (2, prose(40, 2) + "-=" * 4000), (3, "-=" * 110 + prose(90, 3))]
