@@ -44,6 +44,31 @@ MIN_LONG = -(1 << 63)
 CUT = re.compile(r"(?<!\s)(?= )|(?= (?!\s))")
 
 
+def joined(strings: pa.Array) -> str:
+    """The strings one after another, as they lie in the array."""
+    ends = np.frombuffer(strings.buffers()[1], np.int32)[strings.offset :]
+    return str(memoryview(strings.buffers()[2])[ends[0] : ends[len(strings)]], "utf-8")
+
+
+def ascii_tails(strings: pa.Array, sizes: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """(tails, number of each string's tail): the last bytes, so many, of each string, all printable ASCII. Tails of up
+    to eight bytes come once."""
+    ends = np.frombuffer(strings.buffers()[1], np.int32)[strings.offset :][1 : len(strings) + 1]
+    data = np.frombuffer(strings.buffers()[2], np.uint8)
+    keys = np.zeros(len(strings), np.uint64)
+    for j in range(min(8, int(sizes.max()))):
+        at = np.flatnonzero(sizes > j)
+        keys[at] |= data[ends[at] - 1 - j].astype(np.uint64) << np.uint64(8 * j)
+    long = np.flatnonzero(sizes > 8)
+    keys[long] = 0
+    distinct, which = np.unique(keys, return_inverse=True)
+    tails = [int(k).to_bytes(8, "big").lstrip(b"\0").decode() for k in distinct]
+    for i in long.tolist():
+        tails.append(bytes(data[ends[i] - sizes[i] : ends[i]]).decode())
+        which[i] = len(tails) - 1
+    return tails, which
+
+
 class ChunkEncoder:
     """Byte-level BPE through the tokenizers library.
 
@@ -164,13 +189,14 @@ class ChunkEncoder:
         offsets, lines = lines.offsets.to_numpy().astype(np.int64), lines.values
         stems = pc.utf8_rtrim(lines, characters=punctuation)
         cut = pc.and_(pc.less(pc.binary_length(stems), pc.binary_length(lines)), pc.utf8_is_alpha(pc.utf8_slice_codeunits(stems, -1)))
+        sizes = pc.subtract(pc.binary_length(lines), pc.binary_length(stems)).to_numpy()
         stems = pc.if_else(cut, stems, lines).dictionary_encode()
         parts = np.zeros((len(lines), 3), np.int64)  # the stem, its punctuation and the line's end; 0 is empty
         parts[:, 0] = self._parts(stems.dictionary)[stems.indices.to_numpy()]
         at = np.flatnonzero(cut.to_numpy(zero_copy_only=False))
         if len(at):
-            whole, stem = lines.take(pa.array(at)).to_pylist(), stems.dictionary.take(stems.indices.take(pa.array(at))).to_pylist()
-            parts[at, 1] = self._tails([w[len(s) :] for w, s in zip(whole, stem, strict=True)])
+            tails, which = ascii_tails(lines.take(pa.array(at)), sizes[at])
+            parts[at, 1] = self._tails(tails)[which]
         ends = np.ones(len(lines), dtype=bool)
         ends[offsets[1:] - 1] = False
         if ends.any():
@@ -188,10 +214,10 @@ class ChunkEncoder:
 
     def _tails(self, tails: list[str]) -> np.ndarray:
         """Numbers of a few distinct punctuations."""
-        new = [t for t in set(tails) if t not in self.tails]
+        new = [t for t in set(tails) if t and t not in self.tails]
         if new:
             self.tails.update(zip(new, self._parts(pa.array(new)).tolist(), strict=True))
-        return np.array(list(map(self.tails.__getitem__, tails)), dtype=np.int64)
+        return np.array([self.tails[t] if t else 0 for t in tails], dtype=np.int64)
 
     def _parts(self, parts: pa.Array) -> np.ndarray:
         out = self.table.find(parts)
@@ -213,7 +239,8 @@ class ChunkEncoder:
             for at in range(0, len(every), JOINED):
                 places = every[at : at + JOINED]
                 part = parts.take(pa.array(places))
-                ids = np.asarray(self.tokenizer.encode_batch_fast([gap.join(part.to_pylist())], add_special_tokens=False)[0].ids, dtype=np.int32)
+                text = joined(pc.binary_join_element_wise(part, "", gap) if gap else part)
+                ids = np.asarray(self.tokenizer.encode_batch_fast([text[: len(text) - len(gap)]], add_special_tokens=False)[0].ids, dtype=np.int32)
                 sizes = pc.binary_length(part).to_numpy().astype(np.int64)
                 stops = np.cumsum(sizes + len(gap)) - len(gap)
                 ends = np.cumsum(self.lengths[ids])

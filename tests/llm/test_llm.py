@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,6 +72,17 @@ def test_chunked_encoding_is_exact():
         assert e.encode(t).tolist() == e.whole(t).tolist() == e.encode(t).tolist()
 
 
+def test_token_tails_are_looked_up_once_a_kind(monkeypatch):
+    ends = [".", ",", '."', "!?", ")...", "!!!!!!!!", "~~~~~~~~~", "-" * 30, ""]
+    texts = [" ".join(f"{w}{chr(97 + i % 26)}é{ends[(i + j) % 9]}" for j, w in enumerate(prose(300, i).split())) + "\nend.\n" for i in range(20)]
+    encoder, asked, real = token_orc.ChunkEncoder(TOK), [], token_orc.ChunkEncoder._tails
+    monkeypatch.setattr(token_orc.ChunkEncoder, "_tails", lambda self, tails: asked.append(sum(len(t) <= 8 for t in tails)) or real(self, tails))
+    counts, ids = encoder.encode_all(pa.array(texts))
+    want = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert counts.tolist() == list(map(len, want)) and ids.tolist() == sum(want, [])
+    assert max(asked) <= 10  # kinds of punctuation, not words
+
+
 def test_lookup_reads_few_row_groups(spark, tmp_path):
     import os
 
