@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import dropped, own_name, small_batches, table, written
+from .common import dropped, let_go, own_name, small_batches, table, written
 
 BANDS, ROWS = 36, 5
 MINIMA = BANDS * ROWS
@@ -123,6 +123,7 @@ _SIG_DDL = "doc_id long, n_shingles long, h1 long, h2 long, keys array<long>, s0
 
 def _signatures(k: int):
     def run(batches):
+        let_go()
         for batch in batches:
             n, sums, keys, sigs = [], [], [], []
             for text in batch.column("text").to_pylist():
@@ -145,6 +146,7 @@ def _confirm(k: int):
     """Of (a, b, text_a, text_b), sorted by a within the task, the pairs whose full sets are alike enough."""
 
     def run(frames):
+        let_go()
         last, known = None, np.zeros(0, np.uint64)
         for frame in frames:
             keep = np.zeros(len(frame), dtype=bool)
@@ -169,6 +171,7 @@ def _owners(k: int):
         return pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(owner[first]), pa.array(owner[last])], names=["h", "lo", "hi"])
 
     def run(batches):
+        let_go()
         hashes, ids, held = [], [], 0
         for batch in batches:
             for i, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -198,6 +201,7 @@ def _bitmaps(k: int):
     """Of (id, text, own), own being hashes that no other document has: the set's size, that of the rest, its bitmap."""
 
     def run(batches):
+        let_go()
         for batch in batches:
             rows = []
             for i, text, own in zip(*(batch.column(c).to_pylist() for c in ("id", "text", "own")), strict=True):

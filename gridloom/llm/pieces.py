@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import heapq
 import re
-from functools import lru_cache
 from itertools import count
 
 import numpy as np
@@ -30,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import IdLists, small_batches, split_words, sums, table
+from .common import IdLists, kept, small_batches, split_words, sums, table
 
 N_BEST = 4
 MARK = "▁"
@@ -380,10 +379,9 @@ def _changes(paths: list[list[list[tuple[int, int, tuple[int, ...]]]]]) -> pa.Li
     return _lists([len(row) for row in paths], _lists([len(c) for c in rows], structs))
 
 
-@lru_cache(maxsize=1)
 def _pieces(path: str, scores: str) -> Pieces:
     """A Python worker's pieces, with their cache, which its next tasks use again."""
-    return Pieces(path, scores)
+    return kept(Pieces, path, scores)
 
 
 def _encode(path: str, n: int, scores: str, keep: list[str]):

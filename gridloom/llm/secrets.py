@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import let_go, small_batches, table
 
 #: Fixed patterns of the contract.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -99,6 +99,7 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("n_assign", pa.int64()), ("n_access",
 
 def _scan(path: str):
     def run(batches):
+        let_go()
         tokens = encoder(path)
         for batch in batches:
             rows = []
@@ -132,6 +133,7 @@ def redact(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 def _redactor(path: str, text_at: int, chars_at: int | None):
     def run(batches):
+        let_go()
         tokens = encoder(path)
         for batch in batches:
             texts = [t and redact(t, base_spans(t) + token_spans(t, tokens)) for t in batch.column(text_at).to_pylist()]

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import let_go, small_batches, table
 
 #: Labelled rows that are learned from, at most.
 FIT_ROWS = 16_000
@@ -204,6 +204,7 @@ def fold(doc_id="doc_id"):
 
 def _feature_rows(words: dict[str, float], stems: dict[str, float]):
     def run(frames):
+        let_go()
         lexicon = Words(words, stems)
         for frame in frames:
             yield pd.DataFrame({"toxic": frame["toxic"], "fold": frame["fold"], "x": [features(t, lexicon) for t in frame["text"]]})
@@ -252,6 +253,7 @@ def _scorer(model: Model):
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
     def run(batches):
+        let_go()
         for batch in batches:
             scores = model.scores([t or "" for t in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores)], schema=schema)
@@ -268,6 +270,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _cleaner(model: Model):
     def run(batches):
+        let_go()
         for batch in batches:
             keep = model.scores([t or "" for t in batch.column("text").to_pylist()]) < 0.5
             yield batch.filter(pa.array(keep))
