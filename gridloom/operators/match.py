@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -54,18 +55,95 @@ def nearest(a: DataFrame, b: DataFrame, cell: float | None = None, exclude_same:
 
 def match_frames(a: DataFrame, b: DataFrame, max_distance: float, volume_penalty: float = 5000.0) -> DataFrame:
     """(a, b, match_dist, bij_matched): the best of b for each of a within max_distance by sqrt(squared distance +
-    penalty^2 where volumes differ by over half), and whether the choice is mutual. Objects are (id, x, y, z, volume);
-    candidates meet by grid cells of max_distance."""
-    left = a.select(F.col("id").alias("a"), *[F.col(k).alias(f"a{k}") for k in KEYS], F.col("volume").alias("va"), *[F.floor(F.col(k) / max_distance).alias(f"g{k}") for k in KEYS])
-    right = b.select(F.col("id").alias("b"), *[F.col(k).alias(f"b{k}") for k in KEYS], F.col("volume").alias("vb"))
-    for k in KEYS:
-        g = F.floor(F.col(f"b{k}") / max_distance)
-        right = right.withColumn(f"g{k}", F.explode(F.array(g - 1, g, g + 1)))
-    d2 = sum(((F.col(f"a{k}") - F.col(f"b{k}")) ** 2 for k in KEYS), F.lit(0.0))
-    differ = F.abs(F.col("va") - F.col("vb")) / F.greatest((F.col("va") + F.col("vb")) / 2, F.lit(1e-12)) > 0.5
-    pairs = left.join(right, [f"g{k}" for k in KEYS]).where(d2 <= max_distance**2).withColumn("cost", d2 + F.when(differ, F.lit(volume_penalty**2)).otherwise(F.lit(0.0)))
-    ranked = pairs.withColumn("ra", F.row_number().over(W.partitionBy("a").orderBy("cost", "b"))).withColumn("rb", F.row_number().over(W.partitionBy("b").orderBy("cost", "a")))
-    return ranked.where("ra = 1").select("a", "b", F.sqrt("cost").alias("match_dist"), (F.col("rb") == 1).alias("bij_matched"))
+    penalty^2 where volumes differ by over half), ties to the smaller, and whether the choice is mutual. Objects are
+    (id, x, y, z, volume)."""
+    best = written(_cheapest(a, b, max_distance, volume_penalty), "best")
+    chosen = b.join(best.select(F.col("other").alias("id")).distinct(), "id", "left_semi")
+    back = _cheapest(chosen, a, max_distance, volume_penalty).select(F.col("id").alias("b"), F.col("cost").alias("back_cost"), F.col("other").alias("back"))
+    pairs = best.select(F.col("id").alias("a"), F.col("other").alias("b"), "cost").join(back, "b")
+    return pairs.select("a", "b", F.sqrt("cost").alias("match_dist"), ((F.col("back") == F.col("a")) & (F.col("back_cost") == F.col("cost"))).alias("bij_matched"))
+
+
+#: Open places times objects that the last search may meet at once.
+ALL_PAIRS = 1 << 22
+#: Objects in the fullest of the first search's cells, about.
+CELL_OBJECTS = 16
+#: Width of a band of volumes' logarithms: those that do not differ by over half are within ln(5 / 3), 0.511.
+BAND = 0.52
+
+
+def _cheapest(of: DataFrame, among: DataFrame, max_distance: float, volume_penalty: float) -> DataFrame:
+    """(id, other, cost): for each object the cheapest of the others, as match_frames has it.
+
+    Objects at one place with one volume search, and are found, as one. Cells begin with few objects and double until
+    the cheapest is within the searched distance. Objects whose volumes do not differ meet first, by bands of volume;
+    those that find none cheaper than the penalty then meet the others.
+    """
+    place, penalty = [*KEYS, "volume"], float(volume_penalty) ** 2
+    finite = " and ".join(f"abs({k}) < double('infinity')" for k in KEYS)
+    of, among = of.where(finite).select("id", *place), among.where(finite).select("id", *place)
+    targets = written(among.groupBy(*place).agg(F.min("id").alias("other")), "targets")
+    none = F.when(F.lit(False), F.struct(F.lit(0.0).alias("cost"), F.lit(None).cast(among.schema["id"].dataType).alias("other")))
+    places = written(of.select(*place).distinct().withColumn("best", none), "open")
+    differ = F.abs(F.col("volume") - F.col("ovolume")) / F.greatest((F.col("volume") + F.col("ovolume")) / 2, F.lit(1e-12)) > 0.5
+    cost = F.when(differ, F.lit(penalty)).otherwise(F.lit(0.0))
+    alike = _search(places, targets, max_distance, cost, 0.0, F.coalesce(~differ, F.lit(True)))
+    cheap = F.coalesce(F.col("best.cost") < penalty, F.lit(False))
+    found = alike.where(cheap).unionByName(_search(alike.where(~cheap), targets, max_distance, cost, penalty)).where("best is not null")
+    found = found.select(*[F.col(k).alias(f"o{k}") for k in place], "best")
+    rows = of.join(found, [F.col(k).eqNullSafe(F.col(f"o{k}")) for k in place])
+    return rows.groupBy("id").agg(F.min("best").alias("best")).select("id", "best.other", "best.cost")
+
+
+def _search(open_: DataFrame, targets: DataFrame, max_distance: float, cost: Column, least: float, alike: Column | None = None) -> DataFrame:
+    """The open places (x, y, z, volume, best) with the cheapest of the targets within max_distance; by bands of volume
+    if only alike ones are met. Targets that are met cost their squared distance and least, or more."""
+    sizes = lambda d: d.agg(F.count("*").alias("n"), *[F.max(F.abs(k)).alias(k) for k in KEYS], F.count_if(F.col("volume").isNull()).alias("nulls")).first()
+    there, here = sizes(targets), sizes(open_)
+    if not there["n"] or not here["n"]:
+        return open_
+    low = F.greatest(F.least(F.col("volume").cast("double"), F.lit(1e300)), F.lit(1e-10))
+    band, every, null = F.floor(F.log(low) / BAND), F.lit(-(1 << 40)), F.lit(1 << 40)  # a null volume is like any other
+    if alike is None:
+        bands, own = F.array(F.lit(0)), F.array(F.lit(0))
+    else:
+        bands = F.array(band - 1, band, band + 1, *[every] * (here["nulls"] > 0))
+        bands = F.when(F.col("volume").isNull(), F.array(every, null)).otherwise(bands)
+        own = F.when(F.col("volume").isNull(), F.array(every)).otherwise(F.array(band, *[null] * (there["nulls"] > 0)))
+
+    def width(level: int) -> float:
+        return max(2.002 * max_distance / 2**level, 1e-12)
+
+    def cell(k: str, level: int, by: float = 0.0) -> Column:
+        return F.floor(F.greatest(F.least(F.col(k) / width(level), F.lit(2.0**40)), F.lit(-(2.0**40))) + by)
+
+    far = max(float(r[k]) for r in (here, there) for k in KEYS)
+    deepest = max(0, min(30, int(math.log2(max(max_distance, 1e-12) * 2**30 / far)))) if far else 30
+    level, left, done = 0, here["n"], None
+    while left * there["n"] > ALL_PAIRS and level < deepest:
+        full = targets.groupBy(*[cell(k, level).alias(f"g{k}") for k in KEYS], F.lit(0) if alike is None else band).count().agg(F.max("count")).first()[0]
+        if full <= CELL_OBJECTS:
+            break
+        level = min(deepest, level + max(1, math.ceil(math.log2(full / CELL_OBJECTS) / 3)))
+    while left:
+        if left * there["n"] <= ALL_PAIRS:
+            level = 0
+        reach = max_distance / 2**level
+        # A cell is over twice as wide as the reach, so a place's ball is in its own cells and the nearer next ones.
+        near = open_.select(*open_.columns[:-1], F.explode(own).alias("g"))
+        right = targets.select(*[F.col(k).alias(f"o{k}") for k in (*KEYS, "volume")], "other", *[cell(k, level).alias(f"g{k}") for k in KEYS], F.explode(bands).alias("g"))
+        for k in KEYS:
+            near = near.withColumn(f"g{k}", F.explode(F.array(cell(k, level, -0.5), cell(k, level, 0.5))))
+        d2 = sum(((F.col(k) - F.col(f"o{k}")) ** 2 for k in KEYS), F.lit(0.0))
+        met = near.join(right, ["g", *[f"g{k}" for k in KEYS]]).where(d2 <= reach**2)
+        met = met if alike is None else met.where(alike)
+        rows = open_.unionByName(met.select(*KEYS, "volume", F.struct((d2 + cost).alias("cost"), "other").alias("best")))
+        state = written(rows.groupBy(*KEYS, "volume").agg(F.min("best").alias("best")), "met")
+        sure = F.lit(True) if level == 0 else F.coalesce(F.col("best.cost") < reach**2 + least, F.lit(False))
+        done = state.where(sure) if done is None else done.unionByName(state.where(sure))
+        open_, level = state.where(~sure), level - 1
+        left = open_.count()
+    return done
 
 
 def chains(links: DataFrame) -> DataFrame:
