@@ -40,6 +40,13 @@ def written(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of what a DataFrame reads, as far as Spark knows them."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(s for s in sizes if s < 1 << 60)
+
+
 def with_rank(df: DataFrame, order: list, name: str = "rank", start: int = 1) -> DataFrame:
     """The rows with their global rank by some columns: ranges are sorted each in a task, and only their sizes, one
     number a range, come to the driver."""

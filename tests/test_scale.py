@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from gridloom.operators import match
+from gridloom.operators import kernels, match, stencil
 
 
 def records(spark):
@@ -53,3 +53,35 @@ def test_frame_matches_are_not_all_pairs(spark):
     got = match.match_frames(df.where("id % 2 = 0"), df.where("id % 2 = 1"), 0.3).collect()
     assert len(got) == 2000 and any(r.bij_matched for r in got) and not all(r.bij_matched for r in got)
     assert records(spark) - before < 100 * 4000
+
+
+def sparse_image(spark, low, high, share):
+    rng = np.random.default_rng(6)
+    at = [p for p in np.ndindex(*[high - low] * 3) if rng.random() < share]
+    rows = [(*(c + low for c in p), float(v)) for p, v in zip(at, rng.integers(0, 100, len(at)), strict=True)]
+    return rows, spark.createDataFrame(rows, "x int, y int, z int, v double")
+
+
+@pytest.mark.parametrize("large", [0, 1 << 40])
+def test_stencils_across_blocks(spark, monkeypatch, large):
+    """Holes, places below 0, offsets of one side only; blocks narrower than the kernel, and as wide."""
+    monkeypatch.setattr(stencil, "LARGE", large)
+    rows, df = sparse_image(spark, -5, 4, 0.6)
+    at = {r[:3]: r[3] for r in rows}
+    monkeypatch.setattr(stencil, "REACHES", 1)
+    for block, offsets in ((1, kernels.full(2)), (3, kernels.full(1)), (2, [(3, 0, 0), (1, -1, 2), (0, 0, 0)]), (16, kernels.full(1))):
+        monkeypatch.setattr(stencil, "BLOCK", block)
+        out = stencil.stencil(df, offsets, n=stencil.F.count("*"), s=stencil.F.sum(stencil.F.col("v") * (stencil.F.col("dx") + 2 * stencil.F.col("dy") + 5)))
+        got = {(r.x, r.y, r.z): (r.n, r.s) for r in out.collect()}
+        assert out.columns == ["x", "y", "z", "n", "s"] and out.count() == len(rows)
+        for p in at:
+            near = [(d, at[q]) for d in offsets if (q := tuple(c + e for c, e in zip(p, d, strict=True))) in at]
+            assert got[p] == (len(near), sum(v * (d[0] + 2 * d[1] + 5) for d, v in near))
+
+
+def test_stencil_does_not_shuffle_its_scatter(spark):
+    rows, df = sparse_image(spark, 0, 32, 0.9)
+    df = df.repartition(4).localCheckpoint()
+    before = records(spark)
+    assert stencil.box_mean(df).agg(stencil.F.count("v")).first()[0] == len(rows)
+    assert records(spark) - before < 2 * len(rows)
